@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.near_dup import near_dup
 
 QUERIES = {}
 ORACLES = {}
@@ -62,3 +63,8 @@ def op6(spark, sf_dir):
 )
 def op8(spark, sf_dir):
     return decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_near_dup")
+def op9(spark, sf_dir):
+    return near_dup(_read(spark, sf_dir, "documents"))
