@@ -66,6 +66,27 @@ def spans_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends - counts, ends
 
 
+def ranges(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(key, slice) of every run of equal keys in a sorted array."""
+    values, starts = np.unique(keys, return_index=True)
+    for k, s, e in zip(values.tolist(), starts, [*starts[1:], len(keys)][: len(starts)], strict=True):
+        yield k, slice(s, e)
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """F.xxhash64 of a column of longs."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(v: np.ndarray, by: int) -> np.ndarray:
+        return v << np.uint64(by) | v >> np.uint64(64 - by)
+
+    h = turned(x.view(np.uint64) * p2, 31) * p1 ^ p5 + np.uint64(42 + 8)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise into the checkpoint folder that the cluster names; a temporary one only where none is set."""
     sc = df.sparkSession.sparkContext

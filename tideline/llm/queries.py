@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.near_dup import near_dup
+from tideline.llm.substring_dedup import substring_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -68,3 +69,21 @@ def op8(spark, sf_dir):
 @_query("op9_near_dup")
 def op9(spark, sf_dir):
     return near_dup(_read(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op4_substring_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS k FROM
+            (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+    l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM x) WHERE r > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM l),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+    k AS (SELECT s.doc_id, count(*) AS n, string_agg(s.w[s.p], ' ' ORDER BY s.p) AS t FROM s ANTI JOIN c ON s.doc_id = c.doc_id AND s.p = c.p GROUP BY s.doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op4(spark, sf_dir):
+    return substring_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
