@@ -142,8 +142,10 @@ def _listed(prefix: int, hot: np.ndarray):
         first, later = Passages.concat(held).earliest()
         keys = (first.anchor >> np.uint64(64 - prefix)).astype(np.int64) if prefix else np.zeros(len(first), np.int64)
         rows = [(k, 0, first.take(at).pack()) for k, at in ranges(keys)]
-        if len(later):
-            rows.append((int(later.digest[0] % np.uint64(1 << prefix)), 1, later.pack()))
+        for at in range(0, len(later), 8_192):  # known copies only pass through, so they go anywhere
+            part = later.take(slice(at, at + 8_192))
+            where = mix(part.doc[:1].view(np.uint64) + part.digest[-1:]) >> np.uint64(32)
+            rows.append((int(where[0]) % (1 << prefix), 1, part.pack()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
             names=["range", "kind", "block"],
