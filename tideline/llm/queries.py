@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.llm.chat_format import format_chats, read_back
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
 from tideline.llm.substring_dedup import substring_dedup
 
@@ -87,3 +89,31 @@ def op9(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return substring_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@_query("op5_mixing")
+def op5(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").withColumn("_members", F.array("source"))
+    return mix_sources(docs, "_members").drop("members")
+
+
+@_query(
+    "op10_chat_format",
+    r"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+    p AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS l,
+          length('### : </turn>') + 1 + length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:'))
+            + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<')) AS n FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(length(l)) AS BIGINT) AS loss_chars, sha256(string_agg(l, '' ORDER BY turn, role, text)) AS loss_sha256,
+           CAST(sum(n) AS BIGINT) AS formatted_chars
+    FROM p GROUP BY conv_id
+    """,
+)
+def op10(spark, sf_dir):
+    say = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", say), (-7, 1, "assistant", say)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    rows = rows.withColumn("record", F.to_json(F.struct("turn", "role", "text")))
+    return read_back(format_chats(rows, "conv_id", ["turn"], "record"))
