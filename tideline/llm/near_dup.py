@@ -245,7 +245,8 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     sketch = cut_lineage(base.mapInArrow(_sketch, "id long, n_shingles long, h1 long, h2 long, keys binary, short binary"))
-    classes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    # Written out, so that joins with it read plain shuffles, which Spark can split where many texts share a set.
+    classes = cut_lineage(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     reps = cut_lineage(
         sketch.join(classes.withColumnRenamed("rep", "id"), ["h1", "h2", "id"], "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "keys", "short")
     )
