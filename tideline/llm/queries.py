@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tideline.llm.chat_format import format_chats, read_back
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.html_extract import extract_main_text
 from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
+from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
 
 QUERIES = {}
@@ -117,3 +119,13 @@ def op10(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     rows = rows.withColumn("record", F.to_json(F.struct("turn", "role", "text")))
     return read_back(format_chats(rows, "conv_id", ["turn"], "record"))
+
+
+@_query("op3_secrets_scan")
+def op3(spark, sf_dir):
+    return scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+@_query("op2_html_extract")
+def op2(spark, sf_dir):
+    return extract_main_text(_read(spark, sf_dir, "pages"))
