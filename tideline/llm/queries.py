@@ -12,6 +12,7 @@ from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
 from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
+from tideline.llm.toxicity import score_toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -129,3 +130,8 @@ def op3(spark, sf_dir):
 @_query("op2_html_extract")
 def op2(spark, sf_dir):
     return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+@_query("op1_toxicity")
+def op1(spark, sf_dir):
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
