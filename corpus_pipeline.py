@@ -1,4 +1,69 @@
-STAGES = []
+"""A corpus pipeline: from raw documents to a deduplicated, decontaminated mix.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
+columns of `documents`; the last returns the mixed corpus: the documents it takes, how many words of each (repeats
+counted) and how often.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm.decontaminate import decontaminate
+from tideline.llm.exact_dedup import exact_dedup
+from tideline.llm.mixing import mix_sources
+from tideline.llm.near_dup import near_dup
+from tideline.llm.quality import keep_good
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the line field predicts to be good; labels come from the labels table."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    return docs.join(decisions.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the largest doc_id of every group of equal texts."""
+    return _without(docs, exact_dedup(docs))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of every component of near copies."""
+    return _without(docs, near_dup(docs))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which benchmark windows cover a twentieth at least."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
+    return found.where("NOT contaminated").select("row.*")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus: documents that the mix takes, with their words taken and their number of copies."""
+    mix = mix_sources(docs.withColumn("_members", F.array("source")), "_members")
+    mix = mix.where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", F.expr("taken div size").alias("copies"))
+    return docs.join(mix.dropDuplicates(["doc_id"]), "doc_id")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup_stage),
+    ("near dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+]
+
+#: The first and third stage fit models or compare sets by hashes, so no SQL states the result.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`, with no table written between them but the operators' own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -125,7 +125,7 @@ def search(vocabulary: dict[bytes, int], patterns: list[Patterns], docs: list[by
 
 
 def _searcher(vocabulary, patterns, names):
-    """Rows (id, text, edges, items) with what this block finds added: edges of runs of hit words, and items."""
+    """Rows (id, text, edges, items, n_words, ...) with what this block finds added: edges of runs of hit words, and items."""
 
     def run(batches):
         for batch in slices(batches):
@@ -136,8 +136,8 @@ def _searcher(vocabulary, patterns, names):
                 counts.append(n)
                 edges.append((old_edges or []) + edge.tolist())
                 items.append((old_items or []) + [names[i] for i in sorted(found)])
-            columns = [batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "edges", "items", "n_words"])
+            columns = [batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64()), *batch.columns[5:]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return run
 
@@ -155,12 +155,12 @@ def _totals(batches):
             n_hit.append(total)
             n_items.append(len(names))
             digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "n_items", "items_sha256"])
+        columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "n_items", "items_sha256", *batch.schema.names[4:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per row of `docs`: (id, n_words, n_hit, n_items, items_sha256, contaminated).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
+    """Per row of `docs`: (id, n_words, n_hit, n_items, items_sha256, contaminated); with `carry` also `row`, the whole input row.
 
     A word is hit if it lies in an occurrence of a window of any item. A document is contaminated if it has hit words
     and they are a twentieth of its words at least. Null and empty texts have no words and are clean; items without
@@ -172,11 +172,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.expr("array()").cast("array<int>").alias("edges"), F.expr("array()").cast("array<string>").alias("items"))
-    shape = "id long, text string, edges array<int>, items array<string>, n_words long"
+    more = {"row": F.struct(*docs.columns)} if carry else {}
+    found = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.expr("array()").cast("array<int>").alias("edges"),
+        F.expr("array()").cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), *(c.alias(n) for n, c in more.items()),
+    )
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == k)
         tables = spark.sparkContext.broadcast(compile_items([(r["item"], r["text"]) for r in part.collect()]))
-        found = found.select("id", "text", "edges", "items").mapInArrow(lambda batches, t=tables: _searcher(*t.value)(batches), shape)
-    out = found.select("id", "n_words", "edges", "items").mapInArrow(_totals, "id long, n_words long, n_hit long, n_items long, items_sha256 string")
+        found = found.mapInArrow(lambda batches, t=tables: _searcher(*t.value)(batches), found.schema)
+    found = found.select("id", "n_words", "edges", "items", *more)
+    shape = "id long, n_words long, n_hit long, n_items long, items_sha256 string"
+    out = found.mapInArrow(_totals, shape + (f", row {found.schema['row'].dataType.simpleString()}" if carry else ""))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)

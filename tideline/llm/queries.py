@@ -10,6 +10,7 @@ from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.html_extract import extract_main_text
 from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
+from tideline.llm.quality import score_quality
 from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
 from tideline.llm.toxicity import score_toxicity
@@ -135,3 +136,8 @@ def op2(spark, sf_dir):
 @_query("op1_toxicity")
 def op1(spark, sf_dir):
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query("op7_quality")
+def op7(spark, sf_dir):
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
