@@ -1,18 +1,27 @@
-"""Ordered analytics on timelines, as windows over (group, time, id)."""
+"""Timeline boundaries and segments: gaps, adaptive tolerances, window terms, islands, neighbours."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.columns import clamp, haversine_m, jaccard, sigmoid
+from tideline.operators.ordered import running_sum, with_halo, with_row_index
+
+#: Rows of the left and right window, minutes and weights of the boundary score.
+WINDOW = 8
+TAU_MIN, TAU_MAX, TAU_TIMES, HARD_GAP = 20.0, 120.0, 4.0, 240.0
+WEIGHTS = {"gap": 0.45, "dist": 0.20, "people": 0.15, "visual": 0.10, "contrib": 0.10}
+CUT = 0.5
+DIST_SCALE_M, TRAVEL_MINUTES, TRAVEL_KMH = 800.0, 30.0, 90.0
+
 
 def with_segments(items: DataFrame, group: str, us: str, tie: str, gap_us: int) -> DataFrame:
     """Adds `segment`: a counter per group that steps up where the gap to the row before exceeds `gap_us`."""
-    ordered = Window.partitionBy(group).orderBy(us, tie)
-    gap = F.col(us) - F.lag(us).over(ordered)
-    cut = F.when(gap > gap_us, 1).otherwise(0)
-    running = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("_cut", cut).withColumn("segment", F.sum("_cut").over(running)).drop("_cut")
+    rows = with_halo(with_row_index(items, group, us, tie), before=1, after=0)
+    gap = F.col(us) - F.lag(us).over(Window.partitionBy(group, "block").orderBy("ix"))
+    rows = rows.withColumn("_cut", F.when(gap > gap_us, 1).otherwise(0)).where("own").drop("own", "block")
+    return running_sum(rows, group, "_cut", "segment").drop("_cut", "ix")
 
 
 def gap_segments(items: DataFrame, group: str, us: str, tie: str, contributor: str, gap_us: int) -> DataFrame:
@@ -27,3 +36,115 @@ def gap_segments(items: DataFrame, group: str, us: str, tie: str, contributor: s
             F.max(us).alias("end_us"),
         )
     )
+
+
+def _median(values: Column) -> Column:
+    v, n = F.array_sort(values), F.size(values)
+    return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
+
+
+def gap_term(minutes: Column, tau: Column) -> Column:
+    """Beyond HARD_GAP the term is 1, which alone doesn't reach the threshold of a cut."""
+    return F.when(minutes > HARD_GAP, 1.0).otherwise(sigmoid((minutes - tau) / (tau / 2)))
+
+
+def boundaries(
+    items: DataFrame, group: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None,
+) -> DataFrame:
+    """A row per pair of consecutive items of a group: terms, score and cut of the boundary between them.
+
+    Each side is a window of WINDOW items at most. The tolerance tau follows the median positive gap of both windows.
+    A term without evidence is 0.5: fewer than two positions, no people, no embeddings on a side. Columns of evidence
+    that aren't given count as absent. Columns: group, left and right tie, ix, minutes, tau, terms, score, cut.
+    """
+    rows = with_halo(with_row_index(items, group, us, tie), before=WINDOW, after=WINDOW)
+    order = Window.partitionBy(group, "block").orderBy("ix")
+    left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
+    rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumn("right_id", F.lead(tie).over(order))
+    gaps = F.filter(F.collect_list("_gap").over(order.rowsBetween(-(WINDOW - 1), WINDOW - 1)), lambda g: g > 0)
+    rows = rows.withColumn("tau", clamp(TAU_TIMES * F.coalesce(_median(gaps), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
+    minutes = F.col("_gap")
+    terms = {"gap": gap_term(minutes, F.col("tau"))}
+    terms["contrib"] = 1 - jaccard(F.collect_set(contributor).over(left), F.collect_set(contributor).over(right))
+    if people:
+        a, b = (F.array_distinct(F.flatten(F.collect_list(people).over(w))) for w in (left, right))
+        terms["people"] = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(1 - jaccard(a, b))
+    if lat and lon:
+        la, lo = F.radians(lat), F.radians(lon)
+        x, y, z = F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.when(F.col(lon).isNotNull(), F.sin(la))
+        sides = []
+        for w in (left, right):
+            mx, my, mz = (F.avg(v).over(w) for v in (x, y, z))
+            sides.append((F.count(x).over(w), F.degrees(F.atan2(mz, F.sqrt(mx * mx + my * my))), F.degrees(F.atan2(my, mx))))
+        (n1, lat1, lon1), (n2, lat2, lon2) = sides
+        rows = rows.withColumn("_d", F.when((n1 >= 2) & (n2 >= 2), haversine_m(lat1, lon1, lat2, lon2)))
+        d = F.col("_d")
+        dist = 1 - F.exp(-d / DIST_SCALE_M)
+        slow = (minutes > 0) & (minutes < TRAVEL_MINUTES) & ((d / 1000) / (minutes / 60) < TRAVEL_KMH)
+        terms["dist"] = F.when(d.isNull(), 0.5).when(slow, dist * 0.5).otherwise(dist)
+    if emb:
+        a, b = (F.collect_list(emb).over(w) for w in (left, right))
+        cross, within = _mean_dot(a, b), [_within(v) for v in (a, b)]
+        mean = (F.coalesce(within[0], F.lit(0.0)) + F.coalesce(within[1], F.lit(0.0))) / F.nullif(
+            within[0].isNotNull().cast("int") + within[1].isNotNull().cast("int"), F.lit(0)
+        )
+        terms["visual"] = F.coalesce(clamp(0.5 + (mean - cross) * 2), F.lit(0.5))
+    for name in WEIGHTS:  # in this order, so that sums at the threshold come out alike
+        rows = rows.withColumn(name, terms.get(name, F.lit(0.5)))
+    score = sum((w * F.col(n) for n, w in WEIGHTS.items()), F.lit(0.0))
+    rows = rows.where("own AND right_id IS NOT NULL").withColumn("score", score)
+    return rows.select(group, F.col(tie).alias("left_id"), "right_id", "ix", minutes.alias("minutes"), "tau", *WEIGHTS, "score", (F.col("score") >= CUT).alias("cut"))
+
+
+def _sum_vectors(vectors: Column) -> Column:
+    first = F.transform(F.get(vectors, F.lit(0)), lambda x: x.cast("double") * 0)
+    return F.aggregate(vectors, first, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _mean_dot(a: Column, b: Column) -> Column:
+    """Mean of all products of a vector of a with one of b, from the sums of both."""
+    n = F.size(a) * F.size(b)
+    return F.when(n > 0, _dot(_sum_vectors(a), _sum_vectors(b)) / n)
+
+
+def _within(a: Column) -> Column:
+    n = F.size(a)
+    own = F.aggregate(a, F.lit(0.0), lambda s, v: s + F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double")))
+    return F.when(n >= 2, (_dot(_sum_vectors(a), _sum_vectors(a)) - own) / (n * (n - 1)))
+
+
+def cut_segments(items: DataFrame, bounds: DataFrame, group: str, us: str, tie: str) -> DataFrame:
+    """Adds `segment` from the boundaries' cuts."""
+    cuts = bounds.where("cut").select(group, (F.col("ix") + 1).alias("ix"), F.lit(1).alias("_cut"))
+    rows = with_row_index(items, group, us, tie).join(cuts, [group, "ix"], "left").fillna(0, ["_cut"])
+    return running_sum(rows, group, "_cut", "segment").drop("_cut")
+
+
+def neighbours(items: DataFrame, keys: list[str], us: str, reach_us: int) -> DataFrame:
+    """Adds `n_before`, `n_after`: rows within reach on each side, those at the same instant excluded."""
+    order = Window.partitionBy(*keys).orderBy(us)
+    same = F.count("*").over(order.rangeBetween(0, 0))
+    return items.withColumn("n_before", F.count("*").over(order.rangeBetween(-reach_us, 0)) - same).withColumn(
+        "n_after", F.count("*").over(order.rangeBetween(0, reach_us)) - same
+    )
+
+
+def membership(items: DataFrame, event: str, us: str, tie: str, contributor: str) -> DataFrame:
+    """Membership confidence of each item of an event, from time and support; absent evidence counts 0.5.
+
+    interior: 0, 0.5 or 1 for three neighbours within half an hour on no, one or both sides, 0 at the event's ends;
+    support: 1, 0.5 or 0 for five, two or fewer items of the contributor.
+    """
+    rows = neighbours(items, [event], us, 1800 * 1_000_000)
+    w = Window.partitionBy(event)
+    edge = (F.row_number().over(w.orderBy(us, tie)) == 1) | (F.row_number().over(w.orderBy(F.desc(us), F.desc(tie))) == 1)
+    sides = (F.col("n_before") >= 3).cast("int") + (F.col("n_after") >= 3).cast("int")
+    n = F.count("*").over(Window.partitionBy(event, contributor))
+    rows = rows.withColumn("interior", F.when(edge, 0.0).otherwise(sides / 2)).withColumn("support", F.when(n >= 5, 1.0).when(n >= 2, 0.5).otherwise(0.0))
+    return rows.withColumn("confidence", 0.35 * F.col("interior") + 0.25 * 0.5 + 0.20 * 0.5 + 0.10 * 0.5 + 0.10 * F.col("support"))
+
+
