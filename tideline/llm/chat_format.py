@@ -98,13 +98,24 @@ def turns_of(record: dict, known: dict[int, Mapping]) -> list[tuple[str, str]] |
 
 
 END = "</turn>\n"
-_TEXT, _ROLE, _ESCAPED = re.compile(r"([\\#<])"), re.compile(r"([\\#<:])"), re.compile(r"\\(.)", re.DOTALL)
+#: Escapes leave neither "###" nor "</turn>" within a text, not even as part of an escape.
+_ESCAPES = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
+_PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
+_TEXT, _ROLE, _ESCAPED = re.compile(r"[\\#<]"), re.compile(r"[\\#<:]"), re.compile(r"\\(.)", re.DOTALL)
 _PIECE = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.)*)</turn>\n", re.DOTALL)
 
 
+def escaped(pattern: re.Pattern, text: str) -> str:
+    return pattern.sub(lambda m: _ESCAPES[m[0]], text)
+
+
+def unescaped(text: str) -> str:
+    return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
+
+
 def piece_of(role: str, text: str) -> tuple[str, int, int]:
     """(formatted turn, begin and end of its loss mask); only what the assistant says is under the mask."""
-    head, body = f"### {_ROLE.sub(r'\\\1', role)}: ", _TEXT.sub(r"\\\1", text)
+    head, body = f"### {escaped(_ROLE, role)}: ", escaped(_TEXT, text)
     begin = len(head)
     return head + body + END, begin, begin + len(body) if role == "assistant" else begin
 
@@ -114,7 +125,7 @@ def read_piece(piece: str) -> tuple[str, str]:
     found = _PIECE.fullmatch(piece)
     if not found:
         raise ValueError("not a formatted turn")
-    return _ESCAPED.sub(r"\1", found[1]), _ESCAPED.sub(r"\1", found[2])
+    return unescaped(found[1]), unescaped(found[2])
 
 
 def _formatted(batches):
@@ -165,7 +176,7 @@ def _read_back(batches):
             if piece is None:
                 continue
             role, text = read_piece(piece)
-            masked = _ESCAPED.sub(r"\1", piece[begin:end])
+            masked = unescaped(piece[begin:end])
             n += 1
             chars += len(piece)
             loss_chars += len(masked)

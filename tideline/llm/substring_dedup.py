@@ -119,8 +119,8 @@ def passages(doc_ids: np.ndarray, docs: list[bytes], hashes: WordHashes, hot: np
     at = np.arange(len(anchor))
     valid = at + WINDOW <= end[doc]
     again = np.zeros(len(whole), bool)
-    for d in range(1, PASSAGE):
-        again[: len(whole) - d] |= whole[: max(0, len(whole) - d)] == whole[d:]
+    for d in range(1, min(PASSAGE, len(whole))):
+        again[: len(whole) - d] |= whole[: len(whole) - d] == whole[d:]
     single = np.isin(anchor, hot) if len(hot) else np.zeros(len(anchor), bool)
     turn = np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | ~valid[:-1])[: len(anchor)]
     since = at - np.maximum.accumulate(np.where(turn, at, 0)) if len(at) else at

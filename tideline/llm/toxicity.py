@@ -173,7 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     rows = texts.select("id", "text", "label", "part").mapInArrow(featured, "id long, label int, part int, x array<double>").orderBy("id").toArrow()
     y, part = rows.column("label").to_numpy(), rows.column("part").to_numpy()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), -1)
+    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), -1 if len(y) else 0)
     margin = np.zeros(len(y))
     for p in (0, 1):
         margin[part == p] = BoostedTrees().fit(x[part != p], y[part != p]).margin(x[part == p])
