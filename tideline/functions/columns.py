@@ -106,7 +106,12 @@ def list_names(names, most: int = 3) -> Column:
     )
 
 
-def interest(others, faces, contributors, specific, n_assets, hours, named, routine, mundane, n_videos, manual) -> Column:
+def interest(*signals) -> Column:
+    """interest_raw() to three places."""
+    return round_half_up(interest_raw(*signals), 3)
+
+
+def interest_raw(others, faces, contributors, specific, n_assets, hours, named, routine, mundane, n_videos, manual) -> Column:
     """Interest of an event from 0 to 1; manual is 1, -1 or null."""
     s = (
         F.lit(0.10) + 0.30 * clamp(_c(others) / 3) + 0.15 * clamp(_c(faces) / 2) + F.when(_c(contributors) >= 2, 0.10).otherwise(0.0)
@@ -115,7 +120,7 @@ def interest(others, faces, contributors, specific, n_assets, hours, named, rout
         - F.when((_c(n_assets) > 0) & (_c(n_videos) >= _c(n_assets)), 0.10).otherwise(0.0)
     )
     s = F.when(_c(manual) == 1, F.greatest(s, F.lit(0.9))).when(_c(manual) == -1, F.least(s, F.lit(0.1))).otherwise(s)
-    return round_half_up(clamp(s), 3)
+    return clamp(s)
 
 
 def routine(n_events, avg_others, multi, demoted, promoted) -> Column:
