@@ -97,3 +97,83 @@ def test_visibility_without_viewer_person_and_null_sets(spark):
     df = spark.createDataFrame(rows, "id long, g long, c array<long>, p array<long>, o boolean, d string")
     seen = lambda v: [r["id"] for r in df.where(vis.event_visible(v, "g", "c", "p", "o", "d")).orderBy("id").collect()]
     assert seen(vis.Viewer(1, 5)) == [1, 3] and seen(vis.Viewer(1, 4, 9)) == [1, 2, 3] and seen(vis.Viewer(9, 5, 9)) == []
+
+
+def test_density_clusters_match_brute_force():
+    from tideline.operators.segment import density_clusters
+
+    rng = np.random.default_rng(3)
+    for n, core in ((0, 3), (1, 1), (200, 3), (200, 5)):
+        xy = rng.uniform(0, 6000, (n, 2)) if n < 200 else np.concatenate([rng.normal(c, 250, (n // 4, 2)) for c in (0, 1500, 4000, 4700)])
+        got = density_clusters(xy, 300.0, core)
+        near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= 300.0**2 if n else np.zeros((0, 0), bool)
+        dense = near.sum(axis=1) >= core
+        for i in range(n):
+            assert (got[i] >= 0) == bool(dense[i] or (near[i] & dense).any())
+            for j in np.flatnonzero(near[i] & dense):
+                assert not dense[i] or got[i] == got[j]
+        assert len(set(got[dense])) == _parts(near & dense[:, None] & dense[None], dense)
+
+
+def _parts(links, nodes):
+    left, n = set(np.flatnonzero(nodes)), 0
+    while left:
+        front = {left.pop()}
+        n += 1
+        while front:
+            front = {int(j) for i in front for j in np.flatnonzero(links[i])} & left
+            left -= front
+    return n
+
+
+def _party(spark):
+    """21:30 to 03:12 with four contributors, then breakfast from 10:40 elsewhere."""
+    rows, t = [], 21 * 60 + 30
+    for i in range(60):
+        rows.append((1, t * MIN, i, i % 4, 59.9227, 10.7575))
+        t += 5
+    rows += [(1, (24 * 60 + 640 + 3 * i) * MIN, 100 + i, i % 2, 59.93, 10.79) for i in range(6)]
+    rows += [(2, 5 * 60 * i * MIN, 200 + i, 7, None, None) for i in range(3)]
+    return spark.createDataFrame(rows, "g long, us long, id long, c long, lat double, lon double")
+
+
+def test_segment_scenarios(spark):
+    from tideline.operators.segment import segment
+
+    got = segment(_party(spark), "g", "us", "id", "c", lat="lat", lon="lon").collect()
+    of = {r["id"]: (r["segment_id"], r["kind"]) for r in got}
+    assert len(got) == 69
+    assert len({of[i] for i in range(60)}) == 1 and of[0][1] == "event"
+    assert len({of[i] for i in range(100, 106)}) == 1 and of[100][0] != of[0][0]
+    assert {of[i][1] for i in (200, 201, 202)} == {"loose"} and len({of[i][0] for i in (200, 201, 202)}) == 1
+    again = {r["id"]: r["segment_id"] for r in segment(_party(spark).repartition(3), "g", "us", "id", "c", lat="lat", lon="lon").collect()}
+    assert again == {k: v[0] for k, v in of.items()}
+
+
+def test_segments_split_when_long_or_concurrent(spark):
+    from tideline.operators.segment import segment
+
+    long = [(1, 20 * i * MIN, i, 1, None, None) for i in range(90)]
+    both = [(2, 15 * i * MIN, 1000 + i, i % 2, 59.9 if i % 2 else 61.1, 10.7 if i % 2 else 9.2) for i in range(28)]
+    got = segment(spark.createDataFrame(long + both, "g long, us long, id long, c long, lat double, lon double"), "g", "us", "id", "c", lat="lat", lon="lon").collect()
+    spans = {}
+    for r in got:
+        spans.setdefault((r["g"], r["segment_id"]), []).append(r["us"])
+    assert all(max(v) - min(v) <= 18 * 60 * MIN for (g, _), v in spans.items() if g == 1) and sum(g == 1 for g, _ in spans) >= 2
+    assert sorted(len(v) for (g, _), v in spans.items() if g == 2) == [14, 14] and len(got) == 118
+
+
+def test_mutations(spark):
+    from tideline.operators import state
+
+    old = spark.createDataFrame([(1, "new", "a"), (2, "done", "b")], "id long, state string, exif string")
+    new = spark.createDataFrame([(1, "seen", None), (2, "seen", "c"), (3, "seen", "d")], "id long, state string, exif string")
+    got = {tuple(r) for r in state.upsert(old, new, ["id"], {"state": ~F.col("old_state").isin("new", "excluded"), "exif": F.col("exif").isNull()}).collect()}
+    assert got == {(1, "seen", "a"), (2, "done", "c"), (3, "seen", "d")}
+    blobs = spark.createDataFrame([(1, "x", 5), (2, "x", 4), (3, "y", 1)], "blob long, sha string, at long")
+    assets = spark.createDataFrame([(10, 1), (11, 2), (12, 3)], "asset long, blob long")
+    kept, pointed = state.merge_exact_copies(blobs, assets, "blob", ["sha"], "at")
+    assert {r["blob"] for r in kept.collect()} == {2, 3} and {tuple(r) for r in pointed.collect()} == {(10, 2), (11, 2), (12, 3)}
+    faces = spark.createDataFrame([(1, 5, "high"), (2, 5, "high"), (3, None, None)], "face long, person long, tier string")
+    labels = spark.createDataFrame([(1, 5, "reject"), (2, 6, "reject"), (3, 9, "confirm"), (3, 8, "confirm")], "face long, person long, verdict string")
+    assert {tuple(r) for r in state.labelled_faces(faces, labels, "face", "person").collect()} == {(1, None, None), (2, 5, "high"), (3, 8, "confirmed")}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_US = 6 * 3600 * 1_000_000
-BLOCK = 50_000
+BLOCK = 20_000
 
 
 def with_row_index(items: DataFrame, group: str, us: str, tie: str, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -25,11 +25,13 @@ def with_row_index(items: DataFrame, group: str, us: str, tie: str, bucket_us: i
     return items.withColumn("_rank", rank).join(counts, [group, "_bucket"]).withColumn("ix", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_rank", "_before")
 
 
-def with_halo(items: DataFrame, before: int, after: int, size: int = BLOCK) -> DataFrame:
+def with_halo(items: DataFrame, group: str, before: int, after: int, size: int = BLOCK) -> DataFrame:
     """Adds `block` and `own`: each row in its own block, and copies where a neighbouring block's frames reach it."""
     own, at = F.floor(F.col("ix") / size), F.col("ix") % size
     blocks = F.array(own, F.when(at < after, own - 1), F.when(at >= size - before, own + 1))
     out = items.withColumn("_own", own).withColumn("block", F.explode(F.filter(blocks, lambda b: b.isNotNull() & (b >= 0))))
+    # A number of its own keeps adaptive execution from merging these few bytes, but much work, into one task.
+    out = out.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), group, "block")
     return out.withColumn("own", F.col("block") == F.col("_own")).drop("_own")
 
 

@@ -18,7 +18,7 @@ DIST_SCALE_M, TRAVEL_MINUTES, TRAVEL_KMH = 800.0, 30.0, 90.0
 
 def with_segments(items: DataFrame, group: str, us: str, tie: str, gap_us: int) -> DataFrame:
     """Adds `segment`: a counter per group that steps up where the gap to the row before exceeds `gap_us`."""
-    rows = with_halo(with_row_index(items, group, us, tie), before=1, after=0)
+    rows = with_halo(with_row_index(items, group, us, tie), group, before=1, after=0)
     gap = F.col(us) - F.lag(us).over(Window.partitionBy(group, "block").orderBy("ix"))
     rows = rows.withColumn("_cut", F.when(gap > gap_us, 1).otherwise(0)).where("own").drop("own", "block")
     return running_sum(rows, group, "_cut", "segment").drop("_cut", "ix")
@@ -57,7 +57,7 @@ def boundaries(
     A term without evidence is 0.5: fewer than two positions, no people, no embeddings on a side. Columns of evidence
     that aren't given count as absent. Columns: group, left and right tie, ix, minutes, tau, terms, score, cut.
     """
-    rows = with_halo(with_row_index(items, group, us, tie), before=WINDOW, after=WINDOW)
+    rows = with_halo(with_row_index(items, group, us, tie), group, before=WINDOW, after=WINDOW)
     order = Window.partitionBy(group, "block").orderBy("ix")
     left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
     rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumn("right_id", F.lead(tie).over(order))

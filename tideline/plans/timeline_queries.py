@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.columns import tier
 from tideline.operators import timeline
+from tideline.operators.segment import segment
 from tideline.operators.streams import coalesce_jobs
 from tideline.plans.registry import query
 from tideline.tables import table
@@ -133,3 +134,12 @@ def _week_last_year(spark, sf_dir):
     now = rows.agg(F.max("ts").alias("now"))  # one row
     near = F.abs(F.dayofyear("ts") - F.dayofyear("now")) <= 3
     return rows.join(F.broadcast(now), (F.year("ts").isin(F.year("now"), F.year("now") - 1)) & near).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("wbs_segment")
+def _wbs(spark, sf_dir):
+    """Full segmentation; positions and people derive from each event's user and props."""
+    k = F.col("k")
+    items = _items(spark, sf_dir).withColumn("people", F.array_compact(F.array((k % 5).cast("long"))))
+    items = items.withColumns({"lat": 59.9 + (F.col("user_id") % 3) * 0.002 + k * 1e-6, "lon": 10.7 + (F.col("user_id") % 2) * 0.2 + k * 1e-6})
+    return segment(items, "group_id", "us", "event_id", "user_id", "people", "lat", "lon")
