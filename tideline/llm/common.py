@@ -117,7 +117,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # The key is computed anew, so that the join reads plain shuffles of both sides and Spark can split a hub's.
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumn("a", F.col("a").bitwiseXOR(F.lit(0)))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
