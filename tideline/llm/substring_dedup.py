@@ -440,7 +440,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(text_col).alias("text"))
     rows, total = text_bytes(base, "text")
     passage_count = total / 40
-    prefix = max(0, int(np.ceil(np.log2(max(1, passage_count / 200_000, min(partitions(spark), passage_count / 5_000))))))
+    prefix = max(0, int(np.ceil(np.log2(max(1, passage_count / 200_000, min(4 * partitions(spark), passage_count / 2_500))))))
     buckets = max(1, int(total / 4_000_000), min(partitions(spark), rows // 50))
     hot = shared_anchors(base, total)
     listed = base.mapInArrow(_listed(prefix, hot), "range long, kind int, block binary")
