@@ -216,9 +216,10 @@ def _hashes_of(block: bytes) -> np.ndarray:
 def _cut(shards: int):
     """Joins a bucket's documents with its passages: rows (shard, passages, words)."""
 
+    hashes = WordHashes()  # for all buckets of a task
+
     def run(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         out = ([], [], [])
-        hashes = WordHashes()
         p = Passages.concat([Passages.unpack(b.as_py()) for b in wanted.column("block")])
         p = p.take(np.argsort(p.doc, kind="stable"))
         held: list[tuple[Passages, np.ndarray]] = []
@@ -441,7 +442,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, total = text_bytes(base, "text")
     passage_count = total / 40
     prefix = max(0, int(np.ceil(np.log2(max(1, passage_count / 200_000, min(4 * partitions(spark), passage_count / 2_500))))))
-    buckets = max(1, int(total / 4_000_000), min(partitions(spark), rows // 50))
+    buckets = max(1, int(total / 1_000_000), min(4 * partitions(spark), rows // 50))
     hot = shared_anchors(base, total)
     listed = base.mapInArrow(_listed(prefix, hot), "range long, kind int, block binary")
     met = cut_lineage(listed.groupBy("range").applyInArrow(_met(buckets), "bucket long, kind int, words long, block binary"))
