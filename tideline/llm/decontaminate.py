@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ids, slices, spans_of, texts
+from tideline.llm.common import ids, share, slices, spans_of, texts
 
 WINDOW = 13
 #: Text of benchmark items that one search table is built from; a larger benchmark is searched in several blocks.
@@ -179,8 +179,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == k)
-        tables = spark.sparkContext.broadcast(compile_items([(r["item"], r["text"]) for r in part.collect()]))
-        found = found.mapInArrow(lambda batches, t=tables: _searcher(*t.value)(batches), found.schema)
+        tables = share(spark, compile_items([(r["item"], r["text"]) for r in part.collect()]))
+        found = found.mapInArrow(lambda batches, t=tables: _searcher(*t())(batches), found.schema)
     found = found.select("id", "n_words", "edges", "items", *more)
     shape = "id long, n_words long, n_hit long, n_items long, items_sha256 string"
     out = found.mapInArrow(_totals, shape + (f", row {found.schema['row'].dataType.simpleString()}" if carry else ""))

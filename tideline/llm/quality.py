@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import slices, spans_of, texts
+from tideline.llm.common import share, slices, spans_of, texts
 from tideline.llm.learn import fit_logistic, labelled_sample, sigmoid
 
 #: Labelled rows that the model is fitted on at most.
@@ -208,12 +208,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of `docs` that score_quality() predicts 1 for, unchanged and without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col, label_col))
+    model = share(docs.sparkSession, fit_quality(docs, labels, id_col, text_col, label_col))
     column = docs.columns.index(text_col)
 
     def kept(batches):
+        fitted = model()
         for batch in slices(batches, column):
-            yield batch.filter(pa.array(model.value.score(texts(batch, column)) >= THRESHOLD))
+            yield batch.filter(pa.array(fitted.score(texts(batch, column)) >= THRESHOLD))
 
     return docs.mapInArrow(kept, docs.schema)
 
@@ -224,11 +225,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     Only the text counts for a score. Null and empty texts have no lines and score as such a document does. Rows that
     repeat are scored each by itself; an empty table gives no rows; without labelled training rows scores are 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, id_col, text_col, label_col))
+    model = share(docs.sparkSession, fit_quality(docs, labels, id_col, text_col, label_col))
 
     def scored(batches):
+        fitted = model()
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.value.score(texts(batch)))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.score(texts(batch)))], names=["id", "score"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = base.mapInArrow(scored, "id long, score double")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut_lineage, slices
+from tideline.llm.common import cut_lineage, share, slices
 from tideline.llm.learn import BoostedTrees, Isotonic, labelled_sample
 
 #: Labelled rows that the model is fitted on at most, and words of the lexicon at most.
@@ -186,10 +186,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Only the text counts for a score. Null and empty texts score as a text without words. Rows that repeat are scored
     each by itself; an empty table gives no rows; without labelled training rows all scores are 0.5.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, label_col))
+    model = share(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
 
     def scored(batches):
-        fitted = model.value
+        fitted = model()
         lexicon = Lexicon(fitted.units)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.score(batch.column(1).to_pylist(), lexicon))], names=["id", "score"])
