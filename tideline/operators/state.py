@@ -32,9 +32,9 @@ def deleted_except(known: DataFrame, present: DataFrame, key: str, flag: str) ->
 
 
 def merge_exact_copies(blobs: DataFrame, assets: DataFrame, blob: str, content: list[str], order: str) -> tuple[DataFrame, DataFrame]:
-    """(blobs, assets) after copies of one content become its earliest blob and assets point there."""
+    """(blobs, assets) after copies of one content become its earliest blob and assets point there. Unknown content stays."""
     canonical = blobs.groupBy(*content).agg(F.min_by(blob, F.struct(order, blob)).alias("_to"))
-    moved = blobs.join(canonical, content).select(blob, "_to")
+    moved = blobs.join(canonical, content, "left").select(blob, F.coalesce("_to", blob).alias("_to"))
     kept = blobs.join(moved.where(F.col(blob) == F.col("_to")).select(blob), blob, "left_semi")
     pointed = assets.join(moved, blob, "left").withColumn(blob, F.coalesce("_to", blob)).drop("_to").select(assets.columns)
     return kept, pointed
@@ -46,6 +46,20 @@ def hard_deleted(assets: DataFrame, blobs: DataFrame, blob: str, deleted_at: str
     return left, blobs.join(left.select(blob).distinct(), blob, "left_semi")
 
 
+def staging_actions(listing: DataFrame, assets: DataFrame, jobs: DataFrame, key: str, modified: str, now: Column, grace: str = "INTERVAL 7 DAYS") -> DataFrame:
+    """Adds `action` to staged objects: what is derived goes, what is completed without a job is enqueued, and what no
+    asset refers to goes after the grace period. assets: (key, completed, derived), one row per key; jobs: keys."""
+    queued = jobs.select(key).distinct().withColumn("_queued", F.lit(True))
+    rows = listing.join(assets.select(key, "completed", "derived", F.lit(True).alias("_asset")), key, "left").join(queued, key, "left")
+    action = (
+        F.when(F.col("derived"), "delete")
+        .when(F.col("completed") & F.col("_queued").isNull(), "enqueue")
+        .when(F.col("_asset").isNull() & (F.col(modified) + F.expr(grace) < now), "delete")
+        .otherwise("keep")
+    )
+    return rows.select(*listing.columns, action.alias("action"))
+
+
 def apply_constraints(members: DataFrame, includes: DataFrame, excludes: DataFrame, event: str, asset: str) -> DataFrame:
     """Memberships after edits: excluded pairs go, included assets move to their event with full confidence."""
     left = members.join(excludes.select(event, asset), [event, asset], "left_anti").join(includes.select(asset), asset, "left_anti")

@@ -217,9 +217,9 @@ def _votes(spark, sf_dir):
     return tags.tag_votes(e, "user_id", "asset", "event_type", "score", "event_id", n, "n_assets")
 
 
-@query("tag_vote", f"WITH {_VOTES} SELECT user_id, event_type, hits, round(mean_score, 6) AS mean_score, round(coverage, 6) AS coverage FROM v")
+@query("tag_vote", f"WITH {_VOTES} SELECT user_id, event_type, hits, round(mean_score, 9) AS mean_score, round(coverage, 9) AS coverage FROM v")
 def _tag_vote(spark, sf_dir):
-    return _votes(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("mean_score", "coverage")})
+    return _votes(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("mean_score", "coverage")})
 
 
 @query(
@@ -372,11 +372,11 @@ def _jaccard_match(spark, sf_dir):
 
 @query(
     "grid_clusters",
-    "SELECT user_id % 40 AS cell_x, CAST(floor(value / 64) AS BIGINT) AS cell_y, count(*) AS n, round(avg(value), 6) AS mean_y, arg_max(event_id, (value, -event_id)) AS representative FROM events GROUP BY ALL",
+    "SELECT user_id % 40 AS cell_x, CAST(floor(value / 64) AS BIGINT) AS cell_y, count(*) AS n, round(avg(value), 9) AS mean_y, arg_max(event_id, (value, -event_id)) AS representative FROM events GROUP BY ALL",
 )
 def _grid(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("user_id") % 40).alias("cell_x"), F.floor(F.col("value") / 64).alias("cell_y"))
-    return e.groupBy("cell_x", "cell_y").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_y"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("representative"))
+    return e.groupBy("cell_x", "cell_y").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean_y"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("representative"))
 
 
 @query(
