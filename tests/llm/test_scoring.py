@@ -122,6 +122,26 @@ def test_main_text(spark):
     assert [(r["page_id"], r["url"], r["n_chars"]) for r in got] == [(1, "u", len(want)), (2, None, 0)]
 
 
+def test_main_text_keeps_the_whole_article():
+    long = "".join(f"<p>Paragraph {i}, which is long enough, and more so, to hold most of the text.</p>" for i in range(8))
+    body = long.replace("<p>", "").replace("</p>", "\n").strip()
+    want = f"Title\nLead.\n{body}"
+    inner = f"<h1>Title</h1><p>Lead.</p><div class='entry-content'>{long}</div>"
+    links = "<div><a href='/a'>One more page to read</a> <a href='/b'>Another one</a></div>"
+    assert main_text(f"<article>{inner}</article>") == want
+    assert main_text(f"<body>{links}<main>{inner}</main>{links}</body>") == want
+    assert main_text(f"<body><div class='w-1/2'>{inner}</div>{links}</body>") == want
+    assert main_text(f"<body>{links}<div id='page'><div id='post'>{inner}</div>{links}{links}{links}</div></body>") == want
+    rows = "".join(f"<li>Item {i}, which is long enough, and more so, to hold most of the text.</li>" for i in range(8))
+    for tag in ("ul", "section", "figure"):
+        got = main_text(f"<article><h1>Title</h1><p>Lead.</p><{tag}>{rows}</{tag}><p>End.</p></article>")
+        assert got.startswith("Title\nLead.\nItem 0") and got.endswith("\nEnd.")
+    for start in ("<html class='has-sidebar'><body class='single with-sidebar'><main class='search'><article class='post comments-open'>", "<div title='the hidden life' data-class='menu'>"):
+        assert main_text(start + inner) == want
+    for gone in ("<div hidden>", "<div hidden='until-found'>", "<div aria-hidden='true'>", "<div style='display: none'>", "<article class='comment'>"):
+        assert main_text(f"<article>{inner}{gone}<p>Not for show, or for others.</p></div></article>") == want
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 4))

@@ -3,8 +3,9 @@
 A page becomes blocks of text, each with its path of block elements from the root. Text length, punctuation and link
 text are added up per path; a path's ratios are its text and its punctuation per node. Along the page the ratios of
 the blocks' paths are smoothed, then fused by multiplication, and paths whose fused ratio passes a threshold (half the
-page's standard deviation) hold content. The element that most of their text shares is the article; its blocks are
-the result, save for elements that are menus, notices, adverts, forms or comments by name.
+page's standard deviation) hold content. The element that most of their text shares lies in the article, which is the
+`article` or `main` around it, or else the highest element whose other text is mostly no links; its blocks are the
+result, save for elements that are menus, notices, adverts, forms or comments by name.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ NAMED = re.compile(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.DOTALL)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+#: Elements that hold whole pages or articles: the names they bear tell of their parts (with-sidebar, comments-open).
+WHOLE = frozenset("html body main article".split())
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
 
@@ -116,11 +119,14 @@ def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
                     break
         if m[3].endswith("/") and not block:
             continue
-        names = " ".join(x or y or z for x, y, z in NAMES.findall(m[3])) if m[3] else ""
-        outside = tag in OUTSIDE and not (tag == "header" and any(s[0] == "article" for s in stack))
-        outside = outside or bool(names and NAMED.search(names)) or bool(m[3] and HIDDEN.search(m[3]))
+        attributes = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(m[3])} if m[3] else {}
+        names = " ".join(v for k, v in attributes.items() if k in ("class", "id", "role"))
+        inner = any(s[0] == "article" for s in stack)  # an article in an article is a comment, where its name says so
+        outside = tag in OUTSIDE and not (tag == "header" and inner)
+        outside = outside or bool(names and (tag not in WHOLE or (tag == "article" and inner)) and NAMED.search(names))
+        outside = outside or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(attributes.get("style", "")))
         count += 1
-        stack.append((tag, count, outside, (f"{tag}.{names.split()[0]}" if names else tag) if block else ""))
+        stack.append((tag, count, outside, (f"{tag}.{names.split()[0].replace('/', '_')}" if names.strip() else tag) if block else ""))
         links += tag == "a"
     end()
     return out
@@ -132,6 +138,31 @@ def smoothed(x: np.ndarray, radius: int = 1) -> np.ndarray:
     return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same") if len(x) > 2 else x
 
 
+def _article(found: list, line: tuple[int, ...], tags: list[str], depth: int) -> int:
+    """Depth in `line`, at most `depth`, of the article around the element at `depth`.
+
+    This is the outermost `article`, or else `main`, or else the highest element whose blocks beside the one at `depth`
+    are mostly text without links.
+    """
+    for tag in ("article", "main"):
+        if tag in tags[:depth]:
+            return tags.index(tag) + 1
+    beside = [[0, 0] for _ in range(depth)]  # text and link text by how many elements a block shares with the line
+    for text, _, nodes, _, linked in found:
+        shared = 0
+        while shared < depth and shared < len(nodes) and nodes[shared] == line[shared]:
+            shared += 1
+        if shared < depth:
+            beside[shared][0] += len(text)
+            beside[shared][1] += linked
+    top, text, linked = depth, 0, 0
+    for at in range(depth - 1, 0, -1):
+        text, linked = text + beside[at][0], linked + beside[at][1]
+        if 2 * linked <= text:
+            top = at
+    return top
+
+
 def main_text(page: str | None) -> str:
     """Content blocks of a page, one per line."""
     found = [b for b in blocks_of(page or "") if not b[3]]
@@ -161,15 +192,19 @@ def main_text(page: str | None) -> str:
     lead = max((b for b in found if b[1] in chosen), key=lambda b: len(b[0]))
     article = [n for n in lead[2] if 5 * weight[n] >= 4 * whole]
     depth = len(article)
-    names = lead[1].split("/")[:depth]
-    while depth and names[depth - 1].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
+    tags = [n.partition(".")[0] for n in lead[1].split("/")]
+    while depth and tags[depth - 1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
         depth -= 1  # a single paragraph is not the whole article
-    narrow = depth == 0 or names[depth - 1] in ("html", "body")
     root = lead[2][depth - 1] if depth else None
+    top = _article(found, lead[2], tags, depth)
+    outer = lead[2][top - 1] if top else None
+    wide = (depth == 0 or tags[depth - 1] in ("html", "body"), top == 0 or tags[top - 1] in ("html", "body"))
     kept = []
     for text, path, nodes, _, linked in found:
         heading = path.rpartition("/")[2][:2] in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if (root is None or root in nodes) and (not narrow or path in chosen or heading) and not (linked and 2 * linked > len(text) and path not in chosen):
+        within = root is None or root in nodes
+        narrow = wide[0] if within else wide[1]
+        if (within or outer is None or outer in nodes) and (not narrow or path in chosen or heading) and not (linked and 2 * linked > len(text) and path not in chosen):
             kept.append(text)
     return "\n".join(kept)
 
