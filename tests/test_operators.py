@@ -54,6 +54,47 @@ def test_boundary_terms_match_numpy(spark):
             assert got[i]["dist"] == 0.5
 
 
+def test_membership_from_all_evidence(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        e = rng.normal(size=4) + 2
+        gps = rng.random() < 0.8
+        rows.append((i % 2 if i < 57 else 2, int(rng.integers(0, 300)) * MIN, i, int(rng.integers(0, 9)), [int(x) for x in rng.integers(0, 30, rng.integers(0, 3))] if i % 10 else None,
+                     float(59.9 + rng.normal() * 0.01) if gps else None, float(10.7 + rng.normal() * 0.01) if gps else None, (e / np.linalg.norm(e)).tolist() if i % 7 else None, int(i % 5 > 0)))
+    df = spark.createDataFrame(rows, "ev long, us long, id long, c long, p array<long>, lat double, lon double, e array<double>, f long")
+    got = {r["id"]: r for r in timeline.membership(df, "ev", "us", "id", "c", "p", "lat", "lon", "e", "f").collect()}
+    bare = {r["id"]: r for r in timeline.membership(df, "ev", "us", "id", "c").collect()}
+    assert len(got) == len(bare) == 60
+    for ev in (0, 1, 2):
+        own = sorted((r for r in rows if r[0] == ev), key=lambda r: (r[1], r[2]))
+        x = np.radians([[r[5], r[6]] for r in own if r[5] is not None])
+        m = np.stack([np.cos(x[:, 0]) * np.cos(x[:, 1]), np.cos(x[:, 0]) * np.sin(x[:, 1]), np.sin(x[:, 0])]).mean(axis=1)
+        centre = np.arctan2(m[2], np.hypot(m[0], m[1])), np.arctan2(m[1], m[0])
+        mean = np.mean([r[7] for r in own if r[7]], axis=0)
+        mean /= np.linalg.norm(mean)
+        counts = {}
+        for r in own:
+            for k in set(r[4] or ()):
+                counts[k] = counts.get(k, 0) + 1
+        part = {k for k, n in counts.items() if n >= (1 if len(own) <= 3 else 2)}
+        for at, r in enumerate(own):
+            before, after = (sum(0 < s * (q[1] - r[1]) <= 30 * MIN for q in own) >= 3 for s in (-1, 1))
+            interior = 0.0 if at in (0, len(own) - 1) else (before + after) / 2
+            geo = 0.5
+            if r[5] is not None:
+                la, lo = np.radians(r[5]), np.radians(r[6])
+                h = np.sin((la - centre[0]) / 2) ** 2 + np.cos(la) * np.cos(centre[0]) * np.sin((lo - centre[1]) / 2) ** 2
+                d = 2 * 6_371_000.0 * np.arcsin(np.sqrt(h))
+                geo = 1.0 if d <= 300 else 0.0 if d > 2000 else 1 - (d - 300) / 1700
+            people = 1.0 if set(r[4] or ()) & part else 0.5 if not r[8] or not r[4] else 0.0
+            visual = 0.5 if not r[7] else float(np.clip((np.dot(r[7], mean) - 0.5) / 0.4, 0, 1))
+            n = sum(q[3] == r[3] for q in own)
+            support = 1.0 if n >= 5 else 0.5 if n >= 2 else 0.0
+            assert abs(got[r[2]]["confidence"] - (0.35 * interior + 0.25 * geo + 0.2 * people + 0.1 * visual + 0.1 * support)) < 1e-6
+            assert abs(bare[r[2]]["confidence"] - (0.35 * interior + 0.275 + 0.1 * support)) < 1e-9
+
+
 def test_band_join_and_nearest(spark):
     a = spark.createDataFrame([(1, 10, 100), (1, 11, -5), (2, 12, 100)], "k long, a_id long, a long")
     b = spark.createDataFrame([(1, 20, 109), (1, 21, 111), (1, 22, 91), (1, 23, -14)], "k long, b_id long, b long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.columns import clamp, haversine_m, jaccard, sigmoid
+from tideline.functions.columns import centroid, clamp, dot, haversine_m, jaccard, sigmoid
 from tideline.operators.ordered import running_sum, with_halo, with_row_index
 
 #: Rows of the left and right window, minutes and weights of the boundary score.
@@ -14,6 +14,9 @@ TAU_MIN, TAU_MAX, TAU_TIMES, HARD_GAP = 20.0, 120.0, 4.0, 240.0
 WEIGHTS = {"gap": 0.45, "dist": 0.20, "people": 0.15, "visual": 0.10, "contrib": 0.10}
 CUT = 0.5
 DIST_SCALE_M, TRAVEL_MINUTES, TRAVEL_KMH = 800.0, 30.0, 90.0
+#: Weights of membership; metres within which a place counts wholly and beyond which it doesn't count.
+MEMBER_WEIGHTS = {"interior": 0.35, "geo": 0.25, "people": 0.20, "visual": 0.10, "support": 0.10}
+NEAR_M, FAR_M = 300.0, 2000.0
 
 
 def with_segments(items: DataFrame, group: str, us: str, tie: str, gap_us: int) -> DataFrame:
@@ -133,11 +136,31 @@ def neighbours(items: DataFrame, keys: list[str], us: str, reach_us: int) -> Dat
     )
 
 
-def membership(items: DataFrame, event: str, us: str, tie: str, contributor: str) -> DataFrame:
-    """Membership confidence of each item of an event, from time and support; absent evidence counts 0.5.
+def participants(items: DataFrame, event: str, tie: str, people: str) -> DataFrame:
+    """(event, person) of people in two items of the event, or in one if it has three items at most."""
+    need = items.groupBy(event).agg(F.when(F.count("*") <= 3, 1).otherwise(2).alias("_need"))
+    seen = items.select(event, tie, F.explode(F.array_distinct(people)).alias("person")).where("person IS NOT NULL").groupBy(event, "person").agg(F.count("*").alias("_n"))
+    return seen.join(need, event).where("_n >= _need").select(event, "person")
+
+
+def mean_vectors(items: DataFrame, event: str, emb: str) -> DataFrame:
+    """(event, mean): the mean embedding of each event that has any, of length one."""
+    parts = items.select(event, F.posexplode(emb).alias("_at", "_x")).groupBy(event, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
+    means = parts.groupBy(event).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda v: v["_x"]).alias("_m"))
+    norm = F.greatest(F.sqrt(dot("_m", "_m")), F.lit(1e-9))
+    return means.select(event, F.transform("_m", lambda x: x / norm).alias("mean"))
+
+
+def membership(
+    items: DataFrame, event: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None, faces: str | None = None,
+) -> DataFrame:
+    """Membership confidence of each item of an event: adds the five terms and their weighted sum, `confidence`.
 
     interior: 0, 0.5 or 1 for three neighbours within half an hour on no, one or both sides, 0 at the event's ends;
-    support: 1, 0.5 or 0 for five, two or fewer items of the contributor.
+    geo: 1 within NEAR_M of the event's centre, falling to 0 at FAR_M; people: 1 with a participant of the event, 0 with
+    others only; visual: likeness to the mean embedding, from 0.5 to 0.9 on a scale of 0 to 1; support: 1, 0.5 or 0 for
+    five, two or fewer items of the contributor. geo, people and visual are 0.5 for items without position, recognised
+    people (or with no face, where `faces` counts them) or embedding, and so where these columns aren't given.
     """
     rows = neighbours(items, [event], us, 1800 * 1_000_000)
     w = Window.partitionBy(event)
@@ -145,6 +168,23 @@ def membership(items: DataFrame, event: str, us: str, tie: str, contributor: str
     sides = (F.col("n_before") >= 3).cast("int") + (F.col("n_after") >= 3).cast("int")
     n = F.count("*").over(Window.partitionBy(event, contributor))
     rows = rows.withColumn("interior", F.when(edge, 0.0).otherwise(sides / 2)).withColumn("support", F.when(n >= 5, 1.0).when(n >= 2, 0.5).otherwise(0.0))
-    return rows.withColumn("confidence", 0.35 * F.col("interior") + 0.25 * 0.5 + 0.20 * 0.5 + 0.10 * 0.5 + 0.10 * F.col("support"))
-
-
+    geo = seen = visual = F.lit(0.5)
+    if lat and lon:
+        placed = items.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        rows = rows.join(placed.groupBy(event).agg(*(c.alias(n) for c, n in zip(centroid(lat, lon), ("_clat", "_clon"), strict=True))), event, "left")
+        d = haversine_m(lat, lon, "_clat", "_clon")
+        unplaced = F.col(lat).isNull() | F.col(lon).isNull()  # least() in the distance skips nulls
+        geo = F.when(unplaced, 0.5).when(d <= NEAR_M, 1.0).when(d > FAR_M, 0.0).otherwise(1 - (d - NEAR_M) / (FAR_M - NEAR_M))
+    if people:
+        own = items.select(event, tie, F.explode(people).alias("person")).join(participants(items, event, tie, people), [event, "person"])
+        rows = rows.join(own.select(event, tie, F.lit(True).alias("_part")).distinct(), [event, tie], "left")
+        unknown = F.coalesce(F.size(people), F.lit(0)) <= 0
+        if faces:
+            unknown = unknown | (F.coalesce(F.col(faces), F.lit(0)) == 0)
+        seen = F.when(F.col("_part"), 1.0).when(unknown, 0.5).otherwise(0.0)
+    if emb:
+        rows = rows.join(mean_vectors(items, event, emb).withColumnRenamed("mean", "_mean"), event, "left")
+        visual = F.coalesce(clamp((dot(emb, "_mean") - 0.5) / 0.4), F.lit(0.5))
+    rows = rows.withColumns({"geo": geo, "people_term": seen, "visual": visual}).drop("_clat", "_clon", "_part", "_mean")
+    terms = {"interior": "interior", "geo": "geo", "people": "people_term", "visual": "visual", "support": "support"}
+    return rows.withColumn("confidence", sum((x * F.col(terms[k]) for k, x in MEMBER_WEIGHTS.items()), F.lit(0.0)))
