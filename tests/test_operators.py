@@ -204,6 +204,66 @@ def test_segments_split_when_long_or_concurrent(spark):
     assert sorted(len(v) for (g, _), v in spans.items() if g == 2) == [14, 14] and len(got) == 118
 
 
+def test_segment_constraints_trust_ids_and_leftovers(spark):
+    from tideline.operators.segment import Constraints, segment
+
+    rows = []
+
+    def add(g, first, minutes, c=1, at=None, p=(), ok=True):
+        rows.extend((g, t * MIN, first + i, c, at and at[0], at and at[1], list(p), ok) for i, t in enumerate(minutes))
+
+    oslo, far = (59.9, 10.7), (61.0, 10.7)
+    add(1, 100, range(8))
+    add(2, 200, [0, 1, 2, 600, 601, 602])
+    add(3, 300, range(8))
+    add(4, 400, [600, 900], at=oslo)
+    add(4, 402, [1200], at=far)
+    add(4, 403, [1410], at=oslo)  # 00:30 of the next day in local time
+    for k in range(3):  # 250 m between neighbours, 375 m from the middle of the first two to the third
+        add(5, 500 + 10 * k, range(90 * k, 90 * k + 8), at=(59.9 + k * 250 / 111_195, 10.7), p=[1])
+    add(6, 600, range(4), at=oslo)
+    add(6, 610, [60], ok=False)  # the contributor's own
+    add(6, 611, [60], c=2, ok=False)  # nothing ties it
+    add(6, 612, [30], c=2, at=oslo, ok=False)  # near the centre
+    add(6, 613, [200], ok=False)  # more than two hours away
+    add(7, 700, range(4))
+    add(7, 710, [2000], c=None)
+    df = spark.createDataFrame(rows, "g long, us long, id long, c long, lat double, lon double, p array<long>, ok boolean")
+    held = Constraints(
+        pins=spark.createDataFrame([(1, 4 * MIN)], "g long, us long"),
+        together=spark.createDataFrame([(2, 1, 200), (2, 1, 205)], "g long, set_id long, id long"),
+        frozen=spark.createDataFrame([(3, 3 * MIN, 5 * MIN)], "g long, start_us long, end_us long"),
+        include=spark.createDataFrame([("old", 710)], "event_id string, id long"),
+        exclude=spark.createDataFrame([("old", 703)], "event_id string, id long"),
+    )
+    old = spark.createDataFrame([(7, "old", 700), (7, "old", 701), (7, "old", 702), (6, "other", 600), (6, "other", 1)], "g long, event_id string, id long")
+    got = {r["id"]: r for r in segment(df, "g", "us", "id", "c", "p", "lat", "lon", trusted="ok", constraints=held, existing=old).collect()}
+    assert set(got) == {r[2] for r in rows} - {703}
+    parts = {}
+    for k, r in got.items():
+        parts.setdefault(r["segment_id"], set()).add(k)
+    found = sorted(sorted(v) for v in parts.values())
+    want = [
+        [100, 101, 102, 103], [104, 105, 106, 107], list(range(200, 206)), [300, 301, 302], [303, 304, 305], [306, 307], [400, 401], [402], [403],
+        [*range(500, 508), *range(510, 518)], list(range(520, 528)), [600, 601, 602, 603, 610, 612], [611], [613], [700, 701, 702, 710],
+    ]
+    assert found == want
+    assert got[306]["kind"] == got[611]["kind"] == got[400]["kind"] == "loose" and got[600]["kind"] == got[610]["kind"] == "event"
+    assert got[700]["segment_id"] == "old" and (got[710]["tier"], got[710]["source"], got[710]["kind"]) == ("confirmed", "manual", "event")
+    assert got[600]["confidence"] >= 0.6 and got[610]["confidence"] <= 0.59 and got[612]["confidence"] <= 0.59 and got[402]["confidence"] == 0.5
+
+
+def test_moments(spark):
+    from tideline.operators.segment import moments
+
+    dog, cat = ("a photo of a dog", 0.7), ("a cat", 0.9)
+    rows = [(1, t * MIN, t, 1, [dog] if t in (1, 2) else [cat] if t == 61 else []) for t in (0, 1, 2, 3, 60, 61, 62, 63)]
+    df = spark.createDataFrame(rows, "e long, us long, id long, c long, tags array<struct<tag:string,score:double>>")
+    found, labels = moments(df, "e", "us", "id", "c", tags="tags")
+    assert {r["id"]: r["moment"] for r in found.collect()} == {t: int(t >= 60) for t in (0, 1, 2, 3, 60, 61, 62, 63)}
+    assert [(r["e"], r["moment"], r["label"]) for r in labels.collect()] == [(1, 0, "Dog")]
+
+
 def test_mutations(spark):
     from tideline.operators import state
 

@@ -52,20 +52,20 @@ def gap_term(minutes: Column, tau: Column) -> Column:
 
 
 def boundaries(
-    items: DataFrame, group: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None,
+    items: DataFrame, group: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None, fixed_tau: float | None = None, scale_m: float = DIST_SCALE_M,
 ) -> DataFrame:
     """A row per pair of consecutive items of a group: terms, score and cut of the boundary between them.
 
     Each side is a window of WINDOW items at most. The tolerance tau follows the median positive gap of both windows.
     A term without evidence is 0.5: fewer than two positions, no people, no embeddings on a side. Columns of evidence
-    that aren't given count as absent. Columns: group, left and right tie, ix, minutes, tau, terms, score, cut.
+    that aren't given count as absent. Columns: group, left and right tie and time, ix, minutes, tau, terms, score, cut.
     """
     rows = with_halo(with_row_index(items, group, us, tie), group, before=WINDOW, after=WINDOW)
     order = Window.partitionBy(group, "block").orderBy("ix")
     left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
-    rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumn("right_id", F.lead(tie).over(order))
+    rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumns({"right_id": F.lead(tie).over(order), "right_us": F.lead(us).over(order)})
     gaps = F.filter(F.collect_list("_gap").over(order.rowsBetween(-(WINDOW - 1), WINDOW - 1)), lambda g: g > 0)
-    rows = rows.withColumn("tau", clamp(TAU_TIMES * F.coalesce(_median(gaps), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
+    rows = rows.withColumn("tau", F.lit(fixed_tau) if fixed_tau else clamp(TAU_TIMES * F.coalesce(_median(gaps), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
     minutes = F.col("_gap")
     terms = {"gap": gap_term(minutes, F.col("tau"))}
     terms["contrib"] = 1 - jaccard(F.collect_set(contributor).over(left), F.collect_set(contributor).over(right))
@@ -82,7 +82,7 @@ def boundaries(
         (n1, lat1, lon1), (n2, lat2, lon2) = sides
         rows = rows.withColumn("_d", F.when((n1 >= 2) & (n2 >= 2), haversine_m(lat1, lon1, lat2, lon2)))
         d = F.col("_d")
-        dist = 1 - F.exp(-d / DIST_SCALE_M)
+        dist = 1 - F.exp(-d / scale_m)
         slow = (minutes > 0) & (minutes < TRAVEL_MINUTES) & ((d / 1000) / (minutes / 60) < TRAVEL_KMH)
         terms["dist"] = F.when(d.isNull(), 0.5).when(slow, dist * 0.5).otherwise(dist)
     if emb:
@@ -96,7 +96,7 @@ def boundaries(
         rows = rows.withColumn(name, terms.get(name, F.lit(0.5)))
     score = sum((w * F.col(n) for n, w in WEIGHTS.items()), F.lit(0.0))
     rows = rows.where("own AND right_id IS NOT NULL").withColumn("score", score)
-    return rows.select(group, F.col(tie).alias("left_id"), "right_id", "ix", minutes.alias("minutes"), "tau", *WEIGHTS, "score", (F.col("score") >= CUT).alias("cut"))
+    return rows.select(group, F.col(tie).alias("left_id"), "right_id", F.col(us).alias("left_us"), "right_us", "ix", minutes.alias("minutes"), "tau", *WEIGHTS, "score", (F.col("score") >= CUT).alias("cut"))
 
 
 def _sum_vectors(vectors: Column) -> Column:
@@ -154,7 +154,8 @@ def mean_vectors(items: DataFrame, event: str, emb: str) -> DataFrame:
 def membership(
     items: DataFrame, event: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None, faces: str | None = None,
 ) -> DataFrame:
-    """Membership confidence of each item of an event: adds the five terms and their weighted sum, `confidence`.
+    """Membership confidence of each item of an event: adds the five terms and their weighted sum, `confidence`, and with
+    positions the distance from the event's centre, `centre_m`.
 
     interior: 0, 0.5 or 1 for three neighbours within half an hour on no, one or both sides, 0 at the event's ends;
     geo: 1 within NEAR_M of the event's centre, falling to 0 at FAR_M; people: 1 with a participant of the event, 0 with
@@ -174,6 +175,7 @@ def membership(
         rows = rows.join(placed.groupBy(event).agg(*(c.alias(n) for c, n in zip(centroid(lat, lon), ("_clat", "_clon"), strict=True))), event, "left")
         d = haversine_m(lat, lon, "_clat", "_clon")
         unplaced = F.col(lat).isNull() | F.col(lon).isNull()  # least() in the distance skips nulls
+        rows = rows.withColumn("centre_m", F.when(~unplaced, d))
         geo = F.when(unplaced, 0.5).when(d <= NEAR_M, 1.0).when(d > FAR_M, 0.0).otherwise(1 - (d - NEAR_M) / (FAR_M - NEAR_M))
     if people:
         own = items.select(event, tie, F.explode(people).alias("person")).join(participants(items, event, tie, people), [event, "person"])

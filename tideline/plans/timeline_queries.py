@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions.columns import tier
 from tideline.operators import timeline
-from tideline.operators.segment import segment
+from tideline.operators.graph import cut
+from tideline.operators.segment import moments, segment
 from tideline.operators.streams import coalesce_jobs
 from tideline.plans.registry import query
 from tideline.tables import table
@@ -138,8 +139,14 @@ def _week_last_year(spark, sf_dir):
 
 @query("wbs_segment")
 def _wbs(spark, sf_dir):
-    """Full segmentation; positions and people derive from each event's user and props."""
+    """Segmentation with confidence of membership and moments; positions and people derive from each event's user and props.
+
+    The table has no untrusted items, constraints or earlier events, so the query gives none.
+    """
     k = F.col("k")
     items = _items(spark, sf_dir).withColumn("people", F.array_compact(F.array((k % 5).cast("long"))))
     items = items.withColumns({"lat": 59.9 + (F.col("user_id") % 3) * 0.002 + k * 1e-6, "lon": 10.7 + (F.col("user_id") % 2) * 0.2 + k * 1e-6})
-    return segment(items, "group_id", "us", "event_id", "user_id", "people", "lat", "lon")
+    got = cut(segment(items, "group_id", "us", "event_id", "user_id", "people", "lat", "lon"))
+    events = got.where("kind = 'event'").select("segment_id", "event_id", "us", "user_id").join(items.select("event_id", "lat", "lon"), "event_id")
+    within, _ = moments(events, "segment_id", "us", "event_id", "user_id", "lat", "lon")
+    return got.join(within.select("event_id", "moment"), "event_id", "left")
