@@ -95,6 +95,19 @@ def test_membership_from_all_evidence(spark):
             assert abs(bare[r[2]]["confidence"] - (0.35 * interior + 0.275 + 0.1 * support)) < 1e-9
 
 
+def test_membership_windows_are_bounded_by_time(spark):
+    import re
+
+    df = spark.createDataFrame([(1, 10 * MIN * (i // 2), i, None if i % 3 else 5) for i in range(40)], "ev long, us long, id long, c long")
+    got = timeline.membership(df, "ev", "us", "id", "c")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", plan)
+    assert windows and all("_bucket" in w for w in windows)  # none over a whole event
+    rows = {r["id"]: r for r in got.collect()}
+    assert len(rows) == 40 and [rows[i]["n_before"] for i in (0, 2, 39)] == [0, 2, 6] and [rows[i]["n_after"] for i in (0, 37, 39)] == [6, 2, 0]
+    assert [rows[i]["interior"] for i in (0, 1, 20, 38, 39)] == [0.0, 0.5, 1.0, 0.5, 0.0] and {r["support"] for r in rows.values()} == {1.0}
+
+
 def test_band_join_and_nearest(spark):
     a = spark.createDataFrame([(1, 10, 100), (1, 11, -5), (2, 12, 100)], "k long, a_id long, a long")
     b = spark.createDataFrame([(1, 20, 109), (1, 21, 111), (1, 22, 91), (1, 23, -14)], "k long, b_id long, b long")

@@ -128,12 +128,16 @@ def cut_segments(items: DataFrame, bounds: DataFrame, group: str, us: str, tie:
 
 
 def neighbours(items: DataFrame, keys: list[str], us: str, reach_us: int) -> DataFrame:
-    """Adds `n_before`, `n_after`: rows within reach on each side, those at the same instant excluded."""
-    order = Window.partitionBy(*keys).orderBy(us)
-    same = F.count("*").over(order.rangeBetween(0, 0))
-    return items.withColumn("n_before", F.count("*").over(order.rangeBetween(-reach_us, 0)) - same).withColumn(
-        "n_after", F.count("*").over(order.rangeBetween(0, reach_us)) - same
-    )
+    """Adds `n_before`, `n_after`: rows within reach on each side, those at the same instant excluded.
+
+    Rows are counted per instant; windows run over buckets of the reach's length with a bucket's halo on each side.
+    """
+    counts = items.groupBy(*keys, us).agg(F.count("*").alias("_n")).withColumn("_own", F.floor(F.col(us) / reach_us))
+    near = counts.withColumn("_bucket", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
+    order = Window.partitionBy(*keys, "_bucket").orderBy(us)
+    before, after = (F.sum("_n").over(order.rangeBetween(*r)) - F.col("_n") for r in ((-reach_us, 0), (0, reach_us)))
+    near = near.withColumns({"n_before": before, "n_after": after}).where("_bucket = _own").select(*keys, us, "n_before", "n_after")
+    return items.join(near, [*keys, us])
 
 
 def participants(items: DataFrame, event: str, tie: str, people: str) -> DataFrame:
@@ -164,10 +168,14 @@ def membership(
     people (or with no face, where `faces` counts them) or embedding, and so where these columns aren't given.
     """
     rows = neighbours(items, [event], us, 1800 * 1_000_000)
-    w = Window.partitionBy(event)
-    edge = (F.row_number().over(w.orderBy(us, tie)) == 1) | (F.row_number().over(w.orderBy(F.desc(us), F.desc(tie))) == 1)
+    at = F.struct(us, tie)
+    rows = rows.join(items.groupBy(event).agg(F.min(at).alias("_first"), F.max(at).alias("_last")), event)
+    edge = (at == F.col("_first")) | (at == F.col("_last"))
     sides = (F.col("n_before") >= 3).cast("int") + (F.col("n_after") >= 3).cast("int")
-    n = F.count("*").over(Window.partitionBy(event, contributor))
+    who = F.to_json(F.struct(contributor))  # never null, so that joins keep all rows
+    own = items.groupBy(event, who.alias("_who")).agg(F.count("*").alias("_n_own"))
+    rows = rows.withColumn("_who", who).join(own, [event, "_who"])
+    n = F.col("_n_own")
     rows = rows.withColumn("interior", F.when(edge, 0.0).otherwise(sides / 2)).withColumn("support", F.when(n >= 5, 1.0).when(n >= 2, 0.5).otherwise(0.0))
     geo = seen = visual = F.lit(0.5)
     if lat and lon:
@@ -187,6 +195,6 @@ def membership(
     if emb:
         rows = rows.join(mean_vectors(items, event, emb).withColumnRenamed("mean", "_mean"), event, "left")
         visual = F.coalesce(clamp((dot(emb, "_mean") - 0.5) / 0.4), F.lit(0.5))
-    rows = rows.withColumns({"geo": geo, "people_term": seen, "visual": visual}).drop("_clat", "_clon", "_part", "_mean")
+    rows = rows.withColumns({"geo": geo, "people_term": seen, "visual": visual}).drop("_clat", "_clon", "_part", "_mean", "_first", "_last", "_who", "_n_own")
     terms = {"interior": "interior", "geo": "geo", "people": "people_term", "visual": "visual", "support": "support"}
     return rows.withColumn("confidence", sum((x * F.col(terms[k]) for k, x in MEMBER_WEIGHTS.items()), F.lit(0.0)))

@@ -75,7 +75,7 @@ def _boundary_people(spark, sf_dir):
 )
 def _membership(spark, sf_dir):
     rows = timeline.with_segments(_items(spark, sf_dir), "group_id", "us", "event_id", 1_200_000_000)
-    rows = rows.withColumn("event", F.struct("group_id", "segment"))
+    rows = cut(rows.withColumn("event", F.struct("group_id", "segment")))  # read several times
     m = timeline.membership(rows, "event", "us", "event_id", "user_id")
     return m.select("event_id", "n_before", "n_after", F.round("confidence", 4).alias("confidence"), tier("confidence").alias("tier"))
 
