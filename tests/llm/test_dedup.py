@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from tideline.llm import near_dup as nd
 from tideline.llm import substring_dedup as sd
@@ -102,26 +103,45 @@ def test_components(spark):
     assert got == dict.fromkeys(range(41), 0) | {90: 80, 80: 80}
 
 
-def substring_wanted():
-    seen, out = {}, {}
-    for i, t, *_ in corpus():
+def substring_wanted(rows):
+    """(id, n_words, n_removed, kept_sha256) per row; a document is an id and a text, those without an id come last."""
+    digest = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42)
+    key = lambda i, t: (i is None, i or 0, digest(t) if repeats else 0)
+    ids = [r[0] for r in rows]
+    repeats = len(set(ids)) < len(ids) or None in ids
+    seen, out = {}, []
+    for i, t, *_ in rows:
         w = (t or "").encode().split()
         for k in range(len(w) - 19):
-            seen.setdefault(tuple(w[k : k + 20]), []).append((i, k))
-    for i, t, *_ in corpus():
+            seen.setdefault(tuple(w[k : k + 20]), []).append((*key(i, t), k))
+    first = {w: min(places) for w, places in seen.items()}
+    for i, t, *_ in rows:
         w = (t or "").encode().split()
-        gone = {p for k in range(len(w) - 19) if min(seen[tuple(w[k : k + 20])]) < (i, k) for p in range(k, k + 20)}
-        kept = b" ".join(x for p, x in enumerate(w) if p not in gone)
-        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-    return out
+        gone = {p for k in range(len(w) - 19) if first[tuple(w[k : k + 20])] < (*key(i, t), k) for p in range(k, k + 20)}
+        out.append((i, len(w), len(gone), hashlib.sha256(b" ".join(x for p, x in enumerate(w) if p not in gone)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def substring_found(df):
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sd.substring_dedup(df).collect()), key=str)
 
 
 @pytest.mark.parametrize("spread", [False, True])
 def test_substring(docs, monkeypatch, spread):
     if spread:  # every anchor counts as shared: windows travel alone
         monkeypatch.setattr(sd, "shared_anchors", lambda base, total: np.unique(np.concatenate([sd.window_hashes(sd.WordHashes().of((t or "").encode().split()))[0] for _, t, *_ in corpus()])))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sd.substring_dedup(docs).collect()}
-    assert got == substring_wanted()
+    assert substring_found(docs) == substring_wanted(corpus())
+
+
+@pytest.mark.parametrize("flush", [2_000_000, 40])
+def test_substring_null_and_repeated_ids(spark, monkeypatch, flush):
+    """Every row keeps the words that no window covers, whatever its id; ids repeat within and across partitions."""
+    monkeypatch.setattr(sd, "FLUSH", flush)
+    rows = [(None if k % 5 == 0 else i if k % 3 else i % 40, t) for k, (i, t, *_) in enumerate(corpus())]
+    alpha = "alpha " * 30
+    rows += [(0, alpha), (None, "x y z"), (None, " ".join(f"q{i}" for i in range(40))), (1, rows[4][1]), (2, rows[4][1]), (2, alpha + "end"), (None, alpha), (None, alpha)] + rows[30:40]
+    rows += [(9000 + i, rows[40][1]) for i in range(30)] + [(None, None), (None, "")]
+    assert substring_found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == substring_wanted(rows)
 
 
 def test_substring_repeated_rows(spark):
@@ -130,9 +150,41 @@ def test_substring_repeated_rows(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 30)]
 
 
+def test_index_decides_on_equal_passages(docs, monkeypatch):
+    """Where backward search finds nothing, nothing goes: no removal bypasses the index."""
+    monkeypatch.setattr(sd.FmIndex, "search", lambda self, words, lengths: (np.zeros(len(words), np.int64), np.full(len(words), -1)))
+    assert {n for _, _, n, _ in substring_found(docs)} == {0}
+
+
+def test_index_matches_a_list_of_windows():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(20, 36, 60)
+    words = rng.integers(1, 3, int(lengths.sum()))
+    begin = np.cumsum(lengths) - lengths
+    for at in range(0, 50, 2):  # windows that recur
+        words[begin[at + 1] : begin[at + 1] + 20] = words[begin[at % 6] : begin[at % 6] + 20]
+    count, first = sd.FmIndex(words, lengths).search(words, lengths)
+    places = {}
+    for p, (b, n) in enumerate(zip(begin, lengths, strict=True)):
+        for k in range(n - 19):
+            places.setdefault(tuple(words[b + k : b + k + 20]), []).append((b + k, b + k + p))
+    for w in places.values():
+        assert [count[a] for a, _ in w] == [len(w)] * len(w) and [first[a] for a, _ in w] == [w[0][1] if len(w) > 1 else -1] * len(w)
+
+
+def test_substring_long_text_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr("tideline.llm.common.SLICE_BYTES", 200)
+    long = " ".join(f"u{i}" for i in range(60_000))
+    rows = [(1, long, "a", 0, 0), (2, long[: len(long) // 2], "b", 1, 0), (3, "z " * 70_000, "c", 2, 0), (4, "", "d", 3, 0)]
+    got = sd.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, id string, bucket int, twin int"))
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"]
+    assert substring_found(spark.createDataFrame(rows, "doc_id long, text string, id string, bucket int, twin int")) == substring_wanted(rows)
+
+
 def test_spark_hash(spark):
     x = np.array([0, 1, -5, 2**40], np.int64)
-    assert [r[0] for r in spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("xxhash64(x)").collect()] == spark_hash(x).tolist()
+    rows = spark.createDataFrame([(int(v),) for v in x], "x long").selectExpr("xxhash64(x)", "xxhash64(x, x + 1)").collect()
+    assert [r[0] for r in rows] == spark_hash(x).tolist() and [r[1] for r in rows] == spark_hash(x + 1, spark_hash(x)).tolist()
 
 
 def test_decontaminate(spark, docs, monkeypatch):

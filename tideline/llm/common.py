@@ -75,14 +75,14 @@ def ranges(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield k, slice(s, e)
 
 
-def spark_hash(x: np.ndarray) -> np.ndarray:
-    """F.xxhash64 of a column of longs."""
+def spark_hash(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """F.xxhash64 of a column of longs; seed: the hash of the columns before it."""
     p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
     def turned(v: np.ndarray, by: int) -> np.ndarray:
         return v << np.uint64(by) | v >> np.uint64(64 - by)
 
-    h = turned(x.view(np.uint64) * p2, 31) * p1 ^ p5 + np.uint64(42 + 8)
+    h = turned(x.view(np.uint64) * p2, 31) * p1 ^ p5 + np.uint64(8) + np.asarray(seed, np.int64).view(np.uint64)
     h = turned(h, 27) * p1 + p4
     h = (h ^ h >> np.uint64(33)) * p2
     h = (h ^ h >> np.uint64(29)) * p3
@@ -107,12 +107,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_bytes(docs: DataFrame, text_col: str) -> tuple[int, int]:
-    """(rows, bytes of text), by one scan of the text column."""
-    row = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("b")).first()
-    return row["n"], row["b"] or 0
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of `edges`(a long, b long); component = smallest node reachable.
 

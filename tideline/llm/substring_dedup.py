@@ -1,19 +1,20 @@
-"""Substring dedup: FM-index per shard, backward search over wavelet matrices, matching statistics above a threshold.
+"""Substring dedup: a compressed FM-index per shard, backward search over wavelet matrices, intervals above a threshold.
 
 A window is WINDOW consecutive words. Its anchor is the least hash of the runs of ANCHOR words within it, so equal
 windows have equal anchors wherever they stand. Consecutive windows with one anchor form a passage (at most PASSAGE
-windows long). Then:
-
-1. Each partition lists its passages as (anchor, digest, document, start, windows). Equal passages of a partition
-   shrink to the earliest one; the others are known to be copies.
-2. Lists meet by anchor. An anchor that occurs once ends there: its windows are unique. Equal passages shrink again,
-   so that what remains of an anchor are its distinct passages, each at its earliest place.
-3. Where an anchor has several distinct passages, or one that may repeat within itself, their words go to the shard of
-   the anchor. The shard builds an FM-index over its passages - suffixes in order of WINDOW words, their
-   Burrows-Wheeler transform in a wavelet matrix of packed bits with popcount ranks - and streams every passage through
-   it by backward search, word by word from its end. That keeps the interval of the longest match of up to WINDOW
-   words. Where the match statistic reaches the threshold, the interval holds all occurrences of the window, and the
-   earliest of them decides.
+windows long). A place is a document - its id, and a digest of its text where ids repeat or are absent - and a start.
+
+1. Each partition lists its passages as (anchor, digest, place, windows). Where passages of the partition are equal,
+   their words go once into an index of the partition; what it confirms of all but the earliest is marked, and only
+   the earliest goes on, so that a hot passage leaves a partition once.
+2. Lists meet by anchor. An anchor that occurs once ends there: its windows are unique. Equal passages again shrink to
+   the earliest one, and the others' places follow it to its shard.
+3. Passages that repeat, share an anchor with others or may repeat within themselves send their words, once for each
+   distinct passage, to the shard of the anchor. The shard's FM-index over them keeps the Burrows-Wheeler transform in
+   a wavelet matrix of packed bits with popcount ranks, and the earliest suffix of each interval that repeats; neither
+   text nor suffix order stay. Every passage is streamed through it by backward search from its last word, which keeps
+   the interval of the longest match of up to WINDOW words. Where that matching statistic reaches WINDOW the interval
+   holds all occurrences; the earliest of them decides for each place of the passage.
 4. Windows that start earlier elsewhere go back to their documents, whose covered words are removed.
 
 Anchors that very many passages share (a common line within different texts) are found on a sample beforehand; their
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WordHashes, cut_lineage, ids, mix, partitions, ranges, slices, spark_hash, spans_of, text_bytes, texts
+from tideline.llm.common import WordHashes, cut_lineage, ids, mix, partitions, ranges, slices, spark_hash, spans_of, texts
 
 WINDOW = 20
 ANCHOR = 6
@@ -41,6 +42,10 @@ PASSAGE = 16
 SAMPLE_BYTES = 24_000_000
 #: An anchor is spread if the sample promises it this share of all passages.
 HOT_SHARE = 1 / 20_000
+#: Passages, and words of repeated ones, that a partition holds before it writes its lists.
+FLUSH, FLUSH_WORDS = 2_000_000, 8_000_000
+#: Groups of anchors per range of them; shards are unions of groups.
+SUBS = 8
 
 _MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -68,9 +73,10 @@ def window_hashes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Passages:
-    """Columns of passages; `again` marks those that may hold a window twice."""
+    """Columns of passages: key, place (document, twin, whether it lacks an id, start), windows, and `again` for those that
+    may hold a window twice. `twin` tells apart the texts of one id, and of none."""
 
-    FIELDS = (("anchor", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("start", np.uint32), ("n", np.uint8), ("again", np.uint8))
+    FIELDS = (("anchor", np.uint64), ("digest", np.uint64), ("doc", np.int64), ("twin", np.uint64), ("none", np.uint8), ("start", np.uint32), ("n", np.uint8), ("again", np.uint8))
 
     def __init__(self, *columns):
         for (name, kind), x in zip(self.FIELDS, columns, strict=True):
@@ -86,6 +92,12 @@ class Passages:
     def concat(cls, parts: list[Passages]) -> Passages:
         return cls(*(np.concatenate([getattr(p, name) for p in parts] or [np.zeros(0, kind)]) for name, kind in cls.FIELDS))
 
+    @classmethod
+    def marks(cls, doc, twin, none, start, n) -> Passages:
+        """Runs of windows without a key."""
+        zero = np.zeros(len(doc))
+        return cls(zero, zero, doc, twin, none, start, n, zero)
+
     def pack(self) -> bytes:
         raw = b"".join(getattr(self, name).tobytes() for name, _ in self.FIELDS)
         return struct.pack("<Q", len(self)) + zstandard.ZstdCompressor(level=1).compress(raw)
@@ -99,17 +111,47 @@ class Passages:
             at += n * np.dtype(kind).itemsize
         return cls(*columns)
 
+    @classmethod
+    def unpacked(cls, blocks) -> Passages:
+        return cls.concat([cls.unpack(b) for b in blocks])
+
+    def by_place(self, *first) -> np.ndarray:
+        """An order by these keys, then by place; rows without an id come last."""
+        keys = [self.start, *([self.twin] if self.twin.any() else []), self.doc, *([self.none] if self.none.any() else [])]
+        return np.lexsort((*keys, *reversed(first)))
+
+    def elsewhere(self, other: Passages) -> np.ndarray:
+        """Whether the document or the start differ, row by row."""
+        return (self.doc != other.doc) | (self.start != other.start) | (self.twin != other.twin) | (self.none != other.none)
+
     def earliest(self) -> tuple[Passages, Passages]:
         """(the earliest of each equal set, sorted by anchor and digest; the rest that starts later)."""
-        order = np.lexsort((self.start, self.doc, self.digest, self.anchor))
-        p = self.take(order)
+        p = self.take(self.by_place(self.anchor, self.digest))
         new = np.append(True, (p.anchor[1:] != p.anchor[:-1]) | (p.digest[1:] != p.digest[:-1]))[: len(p)]
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(p) else np.zeros(0, np.int64)
-        later = (p.doc != p.doc[first]) | (p.start != p.start[first])
-        return p.take(new), p.take(later)
+        return p.take(new), p.take(p.elsewhere(p.take(first)))
+
+    def documents(self) -> dict[tuple[int, int, int], tuple[int, int]]:
+        """(lacks an id, id, twin) -> (first row, end) of passages in order of their places."""
+        new = np.append(True, (self.doc[1:] != self.doc[:-1]) | (self.twin[1:] != self.twin[:-1]) | (self.none[1:] != self.none[:-1]))[: len(self)]
+        low = np.flatnonzero(new)
+        keys = zip(self.none[low].tolist(), self.doc[low].tolist(), self.twin[low].tolist(), strict=True)
+        return dict(zip(keys, zip(low.tolist(), [*low[1:].tolist(), len(self)][: len(low)], strict=True), strict=True))
 
 
-def passages(doc_ids: np.ndarray, docs: list[bytes], hashes: WordHashes, hot: np.ndarray) -> Passages:
+class Documents:
+    """Who the rows of a batch with columns (id, text, twin) are."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int = 0):
+        self.none = batch.column(at).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        self.doc, self.twin = ids(batch, at), ids(batch, at + 2).view(np.uint64)
+
+    def keys(self) -> list[tuple[int, int, int]]:
+        return list(zip(self.none.tolist(), self.doc.tolist(), self.twin.tolist(), strict=True))
+
+
+def passages(who: Documents, docs: list[bytes], hashes: WordHashes, hot: np.ndarray) -> tuple[Passages, np.ndarray, np.ndarray]:
+    """(passages, the place of each in the words of all docs, these words as hashes)."""
     split = [x.split() for x in docs]
     counts = np.array([len(x) for x in split], np.int64)
     words = hashes.of([w for x in split for w in x])
@@ -126,25 +168,63 @@ def passages(doc_ids: np.ndarray, docs: list[bytes], hashes: WordHashes, hot: np
     since = at - np.maximum.accumulate(np.where(turn, at, 0)) if len(at) else at
     start = np.flatnonzero(valid & (turn | (since % PASSAGE == 0) | single))
     if not len(start):
-        return Passages.concat([])
+        return Passages.concat([]), start, words
     number = np.cumsum(np.bincount(start, minlength=len(at))) - 1
     n = np.bincount(number[valid], minlength=len(start))
     digest = mix(mix(whole[start] + n.astype(np.uint64)) + whole[start + n - 1])
     key = np.where(single[start], mix(whole[start] ^ np.uint64(0x5BD1E995)), anchor[start])
     flag = np.maximum.reduceat(again[valid], np.searchsorted(np.flatnonzero(valid), start)) & ~single[start]
-    return Passages(key, digest, doc_ids[doc[start]], start - begin[doc[start]], n, flag)
+    own = doc[start]
+    return Passages(key, digest, who.doc[own], who.twin[own], who.none[own], start - begin[own], n, flag), start, words
+
+
+def stretches(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for length[0] numbers, then the same for the others."""
+    return np.repeat(begin.astype(np.int64) - spans_of(length)[0], length) + np.arange(int(length.sum()))
+
+
+class Seen:
+    """The words of passages whose digest may have come before; a filter of bits lets few others through."""
+
+    BITS = 27
+
+    def __init__(self):
+        self.bits, self.digest, self.length, self.words, self.size = np.zeros(1 << (self.BITS - 3), np.uint8), [], [], [], 0
+
+    def add(self, p: Passages, at: np.ndarray, words: np.ndarray) -> None:
+        place = (p.digest >> np.uint64(64 - self.BITS)).astype(np.int64)
+        byte, bit = place >> 3, np.left_shift(1, place & 7).astype(np.uint8)
+        again = (self.bits[byte] & bit) != 0
+        np.bitwise_or.at(self.bits, byte, bit)
+        inside = np.ones(len(p), bool)
+        inside[np.unique(p.digest, return_index=True)[1]] = False
+        again = np.flatnonzero(again | inside)
+        length = p.n[again].astype(np.int64) + WINDOW - 1
+        self.digest.append(p.digest[again])
+        self.length.append(length)
+        self.words.append(words[stretches(at[again], length)])
+        self.size += int(length.sum())
+
+    def words_of(self, p: Passages) -> np.ndarray:
+        """The words of passages that came twice, one after another."""
+        digest, length, words = (np.concatenate(x) for x in (self.digest, self.length, self.words))
+        known, first = np.unique(digest, return_index=True)
+        at = first[np.searchsorted(known, p.digest)]
+        return words[stretches(spans_of(length)[0][at], length[at])]
 
 
 def _listed(prefix: int, hot: np.ndarray):
-    """Rows (range, kind, block): passages by range of anchors (kind 0), and known copies anywhere (kind 1)."""
+    """Rows (range, kind, block): passages by range of anchors (kind 0), and marked windows anywhere (kind 1)."""
 
-    def write(held: list[Passages]):
+    def write(held: list[Passages], seen: Seen):
         first, later = Passages.concat(held).earliest()
-        keys = (first.anchor >> np.uint64(64 - prefix)).astype(np.int64) if prefix else np.zeros(len(first), np.int64)
-        rows = [(k, 0, first.take(at).pack()) for k, at in ranges(keys)]
-        for at in range(0, len(later), 8_192):  # known copies only pass through, so they go anywhere
+        rows = [(k, 0, first.take(at).pack()) for k, at in ranges(range_of(first.anchor, prefix))]
+        if len(later):
+            copied = first.take(np.isin(first.digest, later.digest))
+            later = repeated_windows(copied, seen.words_of(copied), later)
+        for at in range(0, len(later), 8_192):  # marks only pass through, so they go anywhere
             part = later.take(slice(at, at + 8_192))
-            where = mix(part.doc[:1].view(np.uint64) + part.digest[-1:]) >> np.uint64(32)
+            where = mix(part.doc[:1].view(np.uint64) + part.start[-1:]) >> np.uint64(32)
             rows.append((int(where[0]) % (1 << prefix), 1, part.pack()))
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())],
@@ -152,27 +232,39 @@ def _listed(prefix: int, hot: np.ndarray):
         )
 
     def run(batches):
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, seen, size = WordHashes(), [], Seen(), 0
         for batch in slices(batches):
-            found = passages(ids(batch), texts(batch), hashes, hot)
+            found, at, words = passages(Documents(batch), texts(batch), hashes, hot)
             if len(found):
                 held.append(found)
+                seen.add(found, at, words)
                 size += len(found)
-            if size > 2_000_000:
-                yield write(held)
-                held, size = [], 0
+            if size > FLUSH or seen.size > FLUSH_WORDS:
+                yield write(held, seen)
+                held, seen, size = [], Seen(), 0
         if held:
-            yield write(held)
+            yield write(held, seen)
 
     return run
 
 
-def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return np.mod(spark_hash(doc), buckets)
+def range_of(anchor: np.ndarray, prefix: int) -> np.ndarray:
+    return (anchor >> np.uint64(64 - prefix)).astype(np.int64) if prefix else np.zeros(len(anchor), np.int64)
+
 
+def group_of(anchor: np.ndarray, prefix: int) -> np.ndarray:
+    """The group of anchors, SUBS in a range; a shard is what has one group number modulo the number of shards."""
+    return range_of(anchor, prefix) * SUBS + (mix(anchor) % np.uint64(SUBS)).astype(np.int64)
 
-def _by_document(p: Passages, kind: int, buckets: int):
-    where = doc_bucket(p.doc, buckets)
+
+def doc_bucket(p: Passages, buckets: int) -> np.ndarray:
+    """As F.pmod(F.xxhash64("id", "twin"), buckets), which skips a null id."""
+    seed = np.where(p.none > 0, np.int64(42), spark_hash(p.doc))
+    return np.mod(spark_hash(p.twin.view(np.int64), seed), buckets)
+
+
+def _grouped(p: Passages, where: np.ndarray, kind: int):
+    """Rows (where, kind, words, block) by a number per passage."""
     order = np.argsort(where, kind="stable")
     p, where = p.take(order), where[order]
     for k, at in ranges(where):
@@ -180,18 +272,18 @@ def _by_document(p: Passages, kind: int, buckets: int):
         yield k, kind, int((part.n.astype(np.int64) + WINDOW - 1).sum()), part.pack()
 
 
-def _met(buckets: int):
-    """Rows (bucket, kind, words, block): copies (kind 1) and passages that a shard must compare (kind 0)."""
+def _met(buckets: int, prefix: int):
+    """Rows (bucket, kind, words, block): passages that a shard must search (kind 0) and marked windows (kind 1), both by
+    document, and the later places of passages of kind 0, by group of anchors (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
-        listed = Passages.concat([Passages.unpack(b) for b, k in zip(blocks, kinds, strict=True) if k == 0])
-        first, later = listed.earliest()
+        first, later = Passages.unpacked(b for b, k in zip(blocks, kinds, strict=True) if k == 0).earliest()
         same = first.anchor[1:] == first.anchor[:-1]
         several = np.append(False, same)[: len(first)] | np.append(same, False)[: len(first)]
-        later = Passages.concat([later] + [Passages.unpack(b) for b, k in zip(blocks, kinds, strict=True) if k == 1])
-        compare = first.take(several | (first.again > 0))
-        rows = [*_by_document(compare, 0, buckets), *_by_document(later, 1, buckets)]
+        search = first.take(several | (first.again > 0) | np.isin(first.digest, later.digest))
+        marked = Passages.unpacked(b for b, k in zip(blocks, kinds, strict=True) if k == 1)
+        rows = [*_grouped(search, doc_bucket(search, buckets), 0), *_grouped(marked, doc_bucket(marked, buckets), 1), *_grouped(later, group_of(later.anchor, prefix), 2)]
         return pa.table({
             "bucket": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()),
             "words": pa.array([r[2] for r in rows], pa.int64()), "block": pa.array([r[3] for r in rows], pa.binary()),
@@ -213,45 +305,38 @@ def _hashes_of(block: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64, v, 16)[np.frombuffer(raw, np.uint32, n, 16 + 8 * v)]
 
 
-def _cut(shards: int):
+def _cut(shards: int, prefix: int):
     """Joins a bucket's documents with its passages: rows (shard, passages, words)."""
 
     hashes = WordHashes()  # for all buckets of a task
 
     def run(key, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         out = ([], [], [])
-        p = Passages.concat([Passages.unpack(b.as_py()) for b in wanted.column("block")])
-        p = p.take(np.argsort(p.doc, kind="stable"))
+        p = Passages.unpacked(b.as_py() for b in wanted.column("block"))
+        p = p.take(p.by_place())
+        left = p.documents()  # a repeated row's words are needed once
         held: list[tuple[Passages, np.ndarray]] = []
-        done: set[int] = set()
-        if len(p):
+        if left:
             for batch in slices(docs.combine_chunks().to_batches(), 2):
-                own = ids(batch, 1)
-                low, high = np.searchsorted(p.doc, own), np.searchsorted(p.doc, own, side="right")
                 column = batch.column(2).cast(pa.binary())
-                for r in np.flatnonzero(high > low):
-                    if int(own[r]) in done:
+                for r, own in enumerate(Documents(batch, 1).keys()):
+                    low, high = left.pop(own, (0, 0))
+                    if low == high:
                         continue
-                    done.add(int(own[r]))
-                    part = p.take(slice(low[r], high[r]))
+                    part = p.take(slice(low, high))
                     words = hashes.of((column[r].as_py() or b"").split())
-                    length = part.n.astype(np.int64) + WINDOW - 1
-                    begin = spans_of(length)[0]
-                    at = np.repeat(part.start.astype(np.int64) - begin, length) + np.arange(length.sum())
-                    held.append((part, words[np.minimum(at, len(words) - 1)]))
+                    held.append((part, words[np.minimum(stretches(part.start, part.n.astype(np.int64) + WINDOW - 1), len(words) - 1)]))
         if held:
             part = Passages.concat([h[0] for h in held])
             flat = np.concatenate([h[1] for h in held])
             begin, _ = spans_of(part.n.astype(np.int64) + WINDOW - 1)
-            shard = (mix(part.anchor) % np.uint64(shards)).astype(np.int64)
+            shard = group_of(part.anchor, prefix) % shards
             order = np.argsort(shard, kind="stable")
             for k, run_at in ranges(shard[order]):
                 rows = order[run_at]
-                length = part.n[rows].astype(np.int64) + WINDOW - 1
-                at = np.repeat(begin[rows] - spans_of(length)[0], length) + np.arange(length.sum())
                 out[0].append(k)
                 out[1].append(part.take(rows).pack())
-                out[2].append(_numbered(flat[at]))
+                out[2].append(_numbered(flat[stretches(begin[rows], part.n[rows].astype(np.int64) + WINDOW - 1)]))
         return pa.table({"shard": pa.array(out[0], pa.int64()), "block": pa.array(out[1], pa.binary()), "words": pa.array(out[2], pa.binary())})
 
     return run
@@ -285,113 +370,137 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Index over passages of words, ordered by WINDOW words; answers for each window where it occurs first."""
+    """Compressed index over distinct passages of words, ordered by WINDOW words.
+
+    It keeps the wavelet matrix of the Burrows-Wheeler transform, the number of smaller words below each word, and of
+    each interval of suffixes that share WINDOW words - if it holds two or more - its ends and its earliest suffix.
+    """
 
     def __init__(self, words: np.ndarray, lengths: np.ndarray):
         """words: numbers from 1; passages follow each other, in order of their places in the corpus."""
         begin, end = spans_of(lengths + 1)
         text = np.zeros(int(end[-1]), np.int64)  # a 0 ends each passage
-        own = np.repeat(begin - spans_of(lengths)[0], lengths) + np.arange(len(words))
-        text[own] = words
-        self.text, self.begin, self.lengths, n = text, begin, lengths, len(text)
+        text[stretches(begin, lengths)] = words
+        n = len(text)
 
-        def paired(rank: np.ndarray, shift: int) -> np.ndarray:
-            """Ranks of stretches of doubled length, by sorting pairs of ranks."""
+        def paired(rank: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+            """(order, ranks) of stretches of doubled length, by sorting pairs of ranks."""
             key = rank * (int(rank.max()) + 2)
             key[: n - shift] += rank[shift:] + 1
-            self.order = np.argsort(key, kind="stable")
+            order = np.argsort(key, kind="stable")
             ranked = np.empty(n, np.int64)
-            key = key[self.order]
-            ranked[self.order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
-            return ranked
+            key = key[order]
+            ranked[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            return order, ranked
 
         rank, reach = text, 1
         while 2 * reach <= WINDOW:
-            rank, reach = paired(rank, reach), 2 * reach
-        rank = paired(rank, WINDOW - reach)
-        group = rank[self.order]
-        self.group_start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        self.group_end = np.append(self.group_start[1:], n)
-        self.group_first = np.minimum.reduceat(self.order, self.group_start)
-        self.group_of = group
+            (_, rank), reach = paired(rank, reach), 2 * reach
+        order, rank = paired(rank, WINDOW - reach)
+        group = rank[order]
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        end = np.append(start[1:], n)
+        many = end - start > 1
+        self.n, self.start, self.end = n, start[many].astype(np.int32), end[many].astype(np.int32)
+        self.earliest = order[self.start].astype(np.int32)  # equal stretches keep the order of the text
         alphabet = int(text.max()) + 1
-        self.wavelet = WaveletMatrix(text[self.order - 1], alphabet)
+        self.wavelet = WaveletMatrix(text[order - 1], alphabet)
         counts = np.bincount(text, minlength=alphabet)
         self.below = np.cumsum(counts) - counts
         self.origin = self.wavelet.rank(np.arange(alphabet), np.zeros(alphabet, np.int64), np.zeros(alphabet, np.int64))
 
-    def first_occurrences(self) -> np.ndarray:
-        """For each place of the text: the first place of its window, or -1 where no window starts.
+    def search(self, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences of the window that starts at each word, the text's first one, or -1 if it is the only one).
 
-        All passages are searched side by side, each from its last word backwards. The interval [low, high) holds the
+        Passages are searched side by side, each from its last word backwards. The interval [low, high) holds the
         suffixes that begin with the match, whose length is the matching statistic, at most WINDOW. A match that grows
-        beyond WINDOW loses its last word: its interval widens to the whole group of suffixes with these WINDOW words.
+        beyond WINDOW loses its last word: its interval widens to all suffixes with these WINDOW words. Words up to
+        WINDOW - 1 before a passage's end start no window and get 0.
         """
-        out = np.full(len(self.text), -1, np.int64)
-        live = np.argsort(-self.lengths, kind="stable")
-        lengths = self.lengths[live]
-        low, high = np.zeros(len(live), np.int64), np.full(len(live), len(self.text), np.int64)
+        count, first = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        begin = spans_of(lengths)[0]
+        live = np.argsort(-lengths, kind="stable")
+        lengths = lengths[live]
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
         for step in range(1, int(lengths.max(initial=0)) + 1):
             k = int(np.searchsorted(-lengths, -step, side="right"))  # passages of this many words or more
             live, lengths, low, high = live[:k], lengths[:k], low[:k], high[:k]
-            at = self.begin[live] + lengths - step
-            symbol = self.text[at]
+            at = begin[live] + lengths - step
+            symbol = words[at]
             origin, below = self.origin[symbol], self.below[symbol]
             low = below + self.wavelet.rank(symbol, low, origin)
             high = below + self.wavelet.rank(symbol, high, origin)
+            if step >= WINDOW and len(self.start):
+                i = np.maximum(np.searchsorted(self.start, low, side="right") - 1, 0)
+                inside = (high > low) & (self.start[i] <= low) & (low < self.end[i])
+                low, high = np.where(inside, self.start[i], low), np.where(inside, self.end[i], high)
+                first[at[inside]] = self.earliest[i[inside]]
             if step >= WINDOW:
-                group = self.group_of[low]
-                low, high = self.group_start[group], self.group_end[group]
-                out[at] = self.group_first[group]
-        return out
+                count[at] = high - low
+        return count, first
 
 
-def repeated_windows(p: Passages, flat: np.ndarray) -> Passages:
-    """Runs of windows that start earlier elsewhere among these passages (in `doc`, `start` and `n`)."""
+def repeated_windows(p: Passages, flat: np.ndarray, more: Passages) -> Passages:
+    """Runs of windows of distinct passages `p`, whose words are `flat`, that start earlier elsewhere among these; `more`
+    are later places of some of them, known by their digest, and share what the index finds."""
     length = p.n.astype(np.int64) + WINDOW - 1
     begin = spans_of(length)[0]
-    order = np.lexsort((p.start, p.doc))
+    order = p.by_place()
     p, length, begin = p.take(order), length[order], begin[order]
-    at = np.repeat(begin - spans_of(length)[0], length) + np.arange(length.sum())
-    _, words = np.unique(flat[at], return_inverse=True)
-    index = FmIndex(words.astype(np.int64) + 1, length)
-    first = index.first_occurrences()
-    place = np.flatnonzero(first >= 0)
-    first = first[place]
-    passage = np.repeat(np.arange(len(p)), length + 1)
-    start = p.start.astype(np.int64)[passage] + np.arange(len(passage)) - index.begin[passage]
-    doc = p.doc[passage]
-    later = (doc[first] != doc[place]) | (start[first] != start[place])
-    place = place[later]
-    if not len(place):
+    words = np.unique(flat[stretches(begin, length)], return_inverse=True)[1].astype(np.int64) + 1
+    count, first = FmIndex(words, length).search(words, length)
+    begin, text = spans_of(length)[0], spans_of(length + 1)[0]
+    sorted_digest = np.argsort(p.digest, kind="stable")
+    places, of = [p], [np.arange(len(p))]
+    for at in range(0, len(more), 100_000):
+        part = more.take(slice(at, at + 100_000))
+        places.append(part)
+        of.append(sorted_digest[np.searchsorted(p.digest[sorted_digest], part.digest)])
+    return Passages.concat([_marked(a, b, p, begin, text, count, first) for a, b in zip(places, of, strict=True)])
+
+
+def _marked(own: Passages, of: np.ndarray, p: Passages, begin, text, count, first) -> Passages:
+    """Runs of windows of the passages `own`, equal to those numbered `of`, that occur earlier."""
+    n = p.n[of].astype(np.int64)
+    window = stretches(begin[of], n)
+    which = np.repeat(np.arange(len(own)), n)
+    k = window - begin[of][which]
+    place = np.where(first[window] >= 0, first[window], text[of][which] + k)
+    there = np.searchsorted(text, place, side="right") - 1
+    start = p.start[there].astype(np.int64) + place - text[there]
+    here = own.start[which].astype(np.int64) + k
+    other = (p.doc[there] != own.doc[which]) | (p.twin[there] != own.twin[which]) | (p.none[there] != own.none[which]) | (start != here)
+    at = np.flatnonzero((count[window] > 0) & other)
+    if not len(at):
         return Passages.concat([])
-    new = np.append(True, (place[1:] != place[:-1] + 1) | (passage[place[1:]] != passage[place[:-1]]))
-    head = place[new]
-    n = np.diff(np.append(np.flatnonzero(new), len(place)))
-    none = np.zeros(len(head))
-    return Passages(none, none, doc[head], start[head], n, none)
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]]))
+    head = at[new]
+    run, by = np.diff(np.append(np.flatnonzero(new), len(at))), which[head]
+    return Passages.marks(own.doc[by], own.twin[by], own.none[by], here[head], run)
 
 
 def _searched(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        p = Passages.concat([Passages.unpack(b.as_py()) for b in table.column("block")])
-        flat = np.concatenate([_hashes_of(b.as_py()) for b in table.column("words")])
-        rows = list(_by_document(repeated_windows(p, flat), 1, buckets))
+        blocks, words = table.column("block").to_pylist(), table.column("words").to_pylist()
+        p = Passages.unpacked(b for b, w in zip(blocks, words, strict=True) if w is not None)
+        more = Passages.unpacked(b for b, w in zip(blocks, words, strict=True) if w is None)
+        found = repeated_windows(p, np.concatenate([_hashes_of(w) for w in words if w is not None]), more) if len(p) else p
+        rows = list(_grouped(found, doc_bucket(found, buckets), 1))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[3] for r in rows], pa.binary())})
 
     return run
 
 
 def _removed(key, docs: pa.Table, marks: pa.Table) -> pa.Table:
-    p = Passages.concat([Passages.unpack(b.as_py()) for b in marks.column("block")])
-    p = p.take(np.argsort(p.doc, kind="stable"))
+    p = Passages.unpacked(b.as_py() for b in marks.column("block"))
+    p = p.take(p.by_place())
+    known = p.documents()
     n_words, n_removed, digest, kept_text = [], [], [], []
     for batch in slices(docs.combine_chunks().to_batches(), 2):
-        own = ids(batch, 1)
-        low, high = np.searchsorted(p.doc, own), np.searchsorted(p.doc, own, side="right")
-        for text, a, b in zip(texts(batch, 2), low, high, strict=True):
+        for text, own in zip(texts(batch, 2), Documents(batch, 1).keys(), strict=True):
             words = text.split()
             n = len(words)
+            a, b = known.get(own, (0, 0))
             if b > a:
                 cover = np.zeros(n + 1, np.int64)
                 start = np.minimum(p.start[a:b].astype(np.int64), n)
@@ -413,12 +522,12 @@ def _removed(key, docs: pa.Table, marks: pa.Table) -> pa.Table:
 def shared_anchors(base: DataFrame, total: int) -> np.ndarray:
     """Anchors that, by a sample of documents, hold over HOT_SHARE of all passages."""
     share = min(1.0, SAMPLE_BYTES / max(1, total))
-    sample = base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+    sample = base.where(F.pmod(F.xxhash64("id", "twin"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
 
     def listed(batches):
         hashes = WordHashes()
         for batch in slices(batches):
-            p = passages(ids(batch), texts(batch), hashes, np.zeros(0, np.uint64)).earliest()[0]
+            p = passages(Documents(batch), texts(batch), hashes, np.zeros(0, np.uint64))[0].earliest()[0]
             anchor, n = np.unique(p.anchor, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
@@ -432,27 +541,35 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_words, n_removed, kept_text, kept_sha256) per row of `docs`.
 
     A word goes if a window that covers it also starts earlier: in a document with a smaller id, or earlier in its
-    own. Windows are judged on the input. Null and empty texts have no words. Rows that repeat an id count as one
-    document: equal starts don't precede each other, what is found for the id holds for each of its rows, and of rows
-    with one id and different texts one is searched. Rows with a null id count as id 0. An empty table gives no rows.
-    Other columns are ignored. Words are compared by 64-bit hashes, windows thus by 20 of them.
+    own. Windows are judged on the input. Null and empty texts have no words. Rows without an id come after all others.
+    Texts that share an id, or have none, are documents of their own, of which the one with the smaller digest comes
+    first; rows with one id (or none) and one text are one document, given twice, and don't precede each other. Texts of
+    any length are read whole, SLICE_BYTES of short ones at a time. An empty table gives no rows. Other columns of any
+    name are ignored. Words are compared by 64-bit hashes, windows thus by 20 of them.
     """
     spark = docs.sparkSession
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(text_col).alias("text"))
-    rows, total = text_bytes(base, "text")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    by_id = base.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    state = by_id.agg(F.sum("n"), F.sum("b"), F.max((F.col("n") > 1) | F.col("id").isNull())).first()
+    rows, total = state[0] or 0, state[1] or 0
+    # Where every id is there once, it says all; else a digest of the text tells apart what an id doesn't.
+    base = base.withColumn("twin", F.xxhash64("text") if state[2] else F.lit(0).cast("long"))
     passage_count = total / 40
     prefix = max(0, int(np.ceil(np.log2(max(1, passage_count / 200_000, min(4 * partitions(spark), passage_count / 2_500))))))
     buckets = max(1, int(total / 1_000_000), min(4 * partitions(spark), rows // 50))
     hot = shared_anchors(base, total)
     listed = base.mapInArrow(_listed(prefix, hot), "range long, kind int, block binary")
-    met = cut_lineage(listed.groupBy("range").applyInArrow(_met(buckets), "bucket long, kind int, words long, block binary"))
-    words = met.where("kind = 0").agg(F.sum("words")).first()[0] or 0
-    shards = max(1, int(words / 600_000), min(partitions(spark), int(words / 20_000)))
-    placed = base.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"), "id", "text")
-    compare = met.where("kind = 0").select("bucket", "block")
-    cut = placed.groupBy("bucket").cogroup(compare.groupBy("bucket")).applyInArrow(_cut(shards), "shard long, block binary, words binary")
-    found = cut.groupBy("shard").applyInArrow(_searched(buckets), "bucket long, block binary")
+    met = cut_lineage(listed.groupBy("range").applyInArrow(_met(buckets, prefix), "bucket long, kind int, words long, block binary"))
+    words = met.where("kind <> 1").agg(F.sum("words")).first()[0] or 0
+    shards = min(SUBS << prefix, max(1, int(words / 600_000), min(partitions(spark), int(words / 20_000))))
+    # Texts too short for a window have no marks to meet; those of one digest spread by partition.
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) < 2 * WINDOW - 1
+    bucket = F.when(short, F.xxhash64("id", "twin", F.spark_partition_id())).otherwise(F.xxhash64("id", "twin"))
+    placed = base.select(F.pmod(bucket, F.lit(buckets)).alias("bucket"), "id", "text", "twin")
+    search = met.where("kind = 0").select("bucket", "block")
+    cut = placed.groupBy("bucket").cogroup(search.groupBy("bucket")).applyInArrow(_cut(shards, prefix), "shard long, block binary, words binary")
+    copies = met.where("kind = 2").select(F.pmod("bucket", F.lit(shards)).alias("shard"), "block", F.lit(None).cast("binary").alias("words"))
+    found = cut.unionByName(copies).groupBy("shard").applyInArrow(_searched(buckets), "bucket long, block binary")
     marks = met.where("kind = 1").select("bucket", "block").unionByName(found)
     out = placed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_removed, "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
-
