@@ -89,6 +89,15 @@ def test_near(docs, monkeypatch):
     assert found() == want
 
 
+def test_near_null_and_repeated_ids(spark):
+    words = [f"v{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(["other", *words[1:]]), " ".join(f"z{i}" for i in range(30))
+    rows = [(5, a), (5, c), (3, c + " "), (8, b), (None, b), (None, "solo text"), (None, "solo text"), (None, None), (6, "A b C d e f"), (6, "a B c d e f")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in nd.near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(5, 56, 5, True), (5, 26, 3, False), (3, 26, 3, True), (8, 56, 5, False), (None, 56, 5, False), (None, 1, None, True), (None, 1, None, False), (None, 0, None, True), (6, 2, 6, True), (6, 2, 6, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**63, 900).astype(np.uint64), rng.integers(0, 2**63, 300).astype(np.uint64)

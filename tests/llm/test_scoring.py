@@ -1,7 +1,9 @@
 """Mixing, formatting, scans, extraction, scoring and the pipeline."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,9 +13,9 @@ from tideline.llm import chat_format as cf
 from tideline.llm import mixing as mx
 from tideline.llm.html_extract import extract_main_text, main_text
 from tideline.llm.learn import BoostedTrees, Isotonic, sigmoid
-from tideline.llm.quality import LineField, score_quality
+from tideline.llm.quality import WIDTH, LineField, line_features, score_quality
 from tideline.llm.secrets_scan import RULES, scan_secrets, trigram_query
-from tideline.llm.toxicity import score_toxicity
+from tideline.llm.toxicity import Lexicon, features_of, score_toxicity
 
 DATA = "/root/testdata/sf0.01"
 
@@ -33,6 +35,75 @@ def test_flow_prefers_first_copies_and_serves_overlaps():
     assert sorted((k, w) for _, k, _, w in flow) == [(0, 100), (1, 30)]
 
 
+def cheapest(patterns, quotas):
+    """(words sent, cost) by cheapest paths one by one over the residual network, for a small one."""
+    arcs = {}
+    for p, (members, words) in enumerate(patterns):
+        for k in range(mx.REPEATS):
+            arcs["S", (p, k)] = [words, k]
+            for m in members:
+                arcs[(p, k), m] = [words, 0]
+    arcs |= {(m, "T"): [q, 0] for m, q in quotas.items()}
+    for a, b in list(arcs):
+        arcs[b, a] = [0, -arcs[a, b][1]]
+    sent = cost = 0
+    while True:
+        dist, via = {"S": 0}, {}
+        for _ in range(len({x for e in arcs for x in e})):
+            for (a, b), (room, c) in arcs.items():
+                if room and a in dist and dist[a] + c < dist.get(b, 1e9):
+                    dist[b], via[b] = dist[a] + c, a
+        if "T" not in dist:
+            return sent, cost
+        at, path = "T", []
+        while at != "S":
+            path.append((via[at], at))
+            at = via[at]
+        n = min(arcs[e][0] for e in path)
+        for a, b in path:
+            arcs[a, b][0] -= n
+            arcs[b, a][0] += n
+        sent, cost = sent + n, cost + n * dist["T"]
+
+
+def test_flow_is_a_cheapest_greatest_one():
+    rng = random.Random(6)
+    for _ in range(60):
+        names = "abcd"[: rng.randint(1, 4)]
+        patterns = [(tuple(sorted(rng.sample(names, rng.randint(1, len(names))))), rng.randint(0, 30)) for _ in range(rng.randint(1, 5))]
+        quotas = {m: rng.randint(0, 60) for m in names}
+        flow = mx.route(patterns, quotas)
+        by_layer, by_source = {}, {}
+        for p, k, m, words in flow:
+            assert m in patterns[p][0] and words > 0
+            by_layer[p, k] = by_layer.get((p, k), 0) + words
+            by_source[m] = by_source.get(m, 0) + words
+        assert all(words <= patterns[p][1] for (p, _), words in by_layer.items()) and all(words <= quotas[m] for m, words in by_source.items())
+        assert (sum(by_source.values()), sum(k * words for (_, k), words in by_layer.items())) == cheapest(patterns, quotas)
+
+
+def test_flow_of_many_arcs_takes_seconds():
+    rng = random.Random(2)
+    patterns = [(tuple({f"s{rng.randrange(4000)}" for _ in range(3)}), rng.randint(1, 9_000)) for _ in range(15_000)]
+    began = time.perf_counter()
+    flow = mx.route(patterns, {f"s{i}": rng.randint(1, 50_000) for i in range(4000)})
+    assert flow and time.perf_counter() - began < 60
+
+
+def test_targets_against_a_water_level():
+    """Each target is the smaller of its cap and a common level times its weight; the level is found by bisection."""
+    rng = random.Random(4)
+    for _ in range(50):
+        n = rng.randint(1, 9)
+        sizes, weights = [rng.randint(0, 1000) for _ in range(n)], [mx.WEIGHTS[i % 3] for i in range(n)]
+        total = mx.SHARE * sum(sizes)
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(2.0 * s, level * w) for s, w in zip(sizes, weights, strict=True)) < total else (low, level)
+        assert mx.targets(sizes, weights, total) == pytest.approx([min(2.0 * s, high * w) for s, w in zip(sizes, weights, strict=True)], abs=1e-6)
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), None if i % 11 == 0 else "abc"[i % 3]) for i in range(2000)] + [(5000, None, "a"), (5001, "", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.array("source"))
@@ -200,6 +271,143 @@ def test_scores_without_labels_texts_or_rows(spark):
     assert sigmoid(np.array([-1000.0, 1000.0])).tolist() == pytest.approx([0, 1])
 
 
+def test_document_quality_matches_enumeration():
+    rng = np.random.default_rng(7)
+    field = LineField()
+    field.weights, field.moves = rng.normal(size=3 * WIDTH + 1) / 4, rng.normal(size=(2, 2))
+    texts = [b"One good line here.\n$$$ BUY NOW $$$ !!!\n\nAnother line, all right.", b"", b"x", b"a b\n" * 4]
+    for text in texts:
+        size, x = line_features(text)
+        n = len(size)
+        got = field.document_features(size, x, np.array([n]))[0]
+        z = np.clip((x - field.mean) / field.scale, -5, 5)
+        around = [np.concatenate([z[i], z[i - 1] if i else 0 * z[i], z[i + 1] if i + 1 < n else 0 * z[i], [1]]) @ field.weights for i in range(n)]
+        p = {}
+        for code in range(2**n):
+            y = [(code >> i) & 1 for i in range(n)]
+            p[tuple(y)] = np.exp(sum(a * b for a, b in zip(around, y, strict=True)) + sum(field.moves[y[i], y[i + 1]] for i in range(n - 1)))
+        good = [sum(v for y, v in p.items() if y[i]) / sum(p.values()) for i in range(n)]
+        want = sum(g * s for g, s in zip(good, size, strict=True)) / max(1, size.sum())
+        assert got[0] == pytest.approx(want) and got[3] == (n > 0)
+        assert got[2] == pytest.approx(sum(s for g, s in zip(good, size, strict=True) if g < 0.5) / max(1, size.sum()))
+
+
+def test_trees_match_a_walk_row_by_row():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 3)), rng.integers(0, 2, 300)
+    trees = BoostedTrees(trees=12).fit(x, y)
+    for row, got in zip(x, trees.margin(x), strict=True):
+        want = trees.base
+        for feature, threshold, value in trees.fitted:
+            k = 0
+            while feature[k] >= 0:
+                k = 2 * k + 1 + (row[feature[k]] > threshold[k])
+            want += value[k]
+        assert got == pytest.approx(want)
+
+
+def test_isotonic_matches_the_least_squares_fit():
+    """Against max over starts of min over ends of means, which states the pooled fit directly."""
+    rng = np.random.default_rng(9)
+    x = np.sort(rng.normal(size=40))
+    y = (rng.random(40) < 1 / (1 + np.exp(-x))).astype(int)
+    fitted = Isotonic().fit(x, y)
+    means = [max(min(y[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    pools = [list(np.flatnonzero(np.isclose(means, v))) for v in sorted({round(v, 12) for v in means})]
+    assert fitted.x == pytest.approx([x[p].mean() for p in pools])
+    assert fitted.y == pytest.approx(np.maximum.accumulate([(y[p].sum() + 0.5) / (len(p) + 1) for p in pools]))
+
+
+def test_toxicity_features_by_hand():
+    lexicon = Lexicon({"=idiot": 5.0, "mor": 3.0})
+    x = features_of("You IDIOT! you m0r0n, calm tree; iiiidiot", lexicon)
+    words = 8  # you idiot you m0r0n calm tree iiiidiot, with the digits inside words
+    assert x[2] == 1 and x[0] == pytest.approx(1 / 7) and x[4] == 5.0 and words == 8
+    assert x[9] == pytest.approx(2 / 7) and x[17] == 2.0 and x[8] == pytest.approx(0.5)
+
+
+ODD = [(1, None), (2, ""), (2, ""), (3, "x\n" * 400), (None, "word " * 30_000), (None, None)]
+
+
+def test_odd_rows_and_columns_in_every_scorer(spark):
+    """Nulls, repeats, one very long text and columns of any name: one row out per row in."""
+    docs = spark.createDataFrame([(i, t, "a", 0, 1, "b") for i, t in ODD], "doc_id long, text string, row string, score int, id int, label string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([("i", "word " * 13)], "item_id string, text string")
+    from tideline.llm.decontaminate import decontaminate
+    from tideline.llm.exact_dedup import exact_dedup
+    from tideline.llm.near_dup import near_dup
+
+    for found in (score_toxicity(docs, labels), score_quality(docs, labels), scan_secrets(docs), decontaminate(docs, bench), exact_dedup(docs), near_dup(docs), mx.mix_sources(docs.withColumn("m", F.array("row")), "m")):
+        rows = found.collect()
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((i is None, i or 0) for i, _ in ODD)
+    assert [r["n_hit"] for r in decontaminate(docs, bench).collect() if r["doc_id"] is None] == [30_000, 0]
+    assert decontaminate(docs, bench, carry=True).select("row.*").columns == docs.columns
+    pages = spark.createDataFrame([(1, "a", "<p>" + "word " * 30_000 + "</p>"), (1, "b", None)], "page_id long, text string, html string")
+    got = extract_main_text(pages, keep=("page_id",)).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, 149_999]
+
+
+def pipeline_data(spark, folder, docs):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("b", " ".join(f"bench{i}" for i in range(20)))], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def odd_documents(spark):
+    prose = lambda k: " ".join(f"w{k}_{i}" for i in range(40)) + "."
+    near = prose(1).split()
+    near[0] = "other"
+    rows = [(5, prose(1)), (5, prose(2)), (9, prose(1)), (None, prose(1)), (None, prose(3)), (None, prose(3)), (7, prose(4)), (7, prose(4)), (11, " ".join(near)), (12, None), (13, ""),
+            (14, " ".join(f"bench{i}" for i in range(20))), (14, prose(6))]
+    return spark.createDataFrame([(i, t, "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string, size long"), prose, " ".join(near)
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs, prose, near = odd_documents(spark)
+    folder = pipeline_data(spark, tmp_path, docs)
+    stages = dict(pipeline.STAGES)
+    got = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = stages["exact dedup"](spark, docs, folder)
+    want = [(5, prose(2)), (9, prose(1)), (None, prose(3)), (7, prose(4)), (11, near), (13, ""), (14, " ".join(f"bench{i}" for i in range(20))), (14, prose(6))]
+    assert exact.columns == docs.columns and got(exact) == sorted(want, key=str)
+    alike = stages["near dedup"](spark, docs, folder)
+    want = [(5, prose(1)), (5, prose(2)), (None, prose(3)), (7, prose(4)), (12, None), (13, ""), (14, " ".join(f"bench{i}" for i in range(20))), (14, prose(6))]
+    assert alike.columns == docs.columns and got(alike) == sorted(want, key=str)
+    clean = stages["benchmark decontamination"](spark, docs, folder)
+    assert clean.columns == docs.columns and clean.count() == docs.count() - 1 and (14, prose(6)) in got(clean)
+    mix = stages["mixing sources"](spark, docs, folder)
+    assert mix.columns == [*docs.columns, "mix_size", "source_size", "target", "taken", "copies"]
+    rows = mix.collect()
+    assert rows and all(r["mix_size"] == len((r["text"] or "").split()) and r["taken"] in (r["mix_size"], 2 * r["mix_size"]) for r in rows)
+    assert len({r["size"] for r in rows}) == len(rows)  # each row once
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), folder).isEmpty()
+
+
+def test_pipeline_computes_each_stage_once(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    docs = odd_documents(spark)[0]
+    folder = pipeline_data(spark, tmp_path, docs)
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def count(batches):
+            for b in batches:
+                passed.add(b.num_rows)
+                yield b
+
+        return docs.mapInArrow(count, docs.schema)
+
+    monkeypatch.setattr(pipeline, "STAGES", [("counted", counted), *pipeline.STAGES[1:]])
+    assert pipeline.run(spark, folder).count() > 0
+    assert passed.value == docs.count()
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     import corpus_pipeline as pipeline
 

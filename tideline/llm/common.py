@@ -90,13 +90,30 @@ def spark_hash(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise into the checkpoint folder that the cluster names; a temporary one only where none is set."""
+    """Materialise into the checkpoint folder that the cluster names; a temporary one only on a local master."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its hosts share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str, row: str, nulls_last: bool = True) -> DataFrame:
+    """`docs` with a unique `row` in the order of the ids: the id itself where each row has its own.
+
+    Where ids repeat or are absent, rows are numbered by id, then by a digest of the text, and written once, so that
+    numbers stay. Only the ids are read to find out.
+    """
+    own = F.col(id_col).cast("long")
+    several = docs.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    if several.isEmpty():
+        return docs.withColumn(row, own)
+    order = [own.asc_nulls_last() if nulls_last else own.asc_nulls_first(), F.xxhash64(text_col)]
+    return cut_lineage(docs.orderBy(*order).withColumn(row, F.monotonically_increasing_id()))
+
+
 def share(spark: SparkSession, value):
     """Broadcasts a fitted model or table; the result, called in a task, gives it. Its classes travel along by value."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))

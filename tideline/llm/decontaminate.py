@@ -20,7 +20,7 @@ from tideline.llm.common import ids, share, slices, spans_of, texts
 
 WINDOW = 13
 #: Text of benchmark items that one search table is built from; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 2_000_000
 #: Words that one lane of the search covers.
 LANE = 256
 TABLE_BITS = 20
@@ -38,17 +38,26 @@ def words_of(text: bytes) -> list[bytes]:
 class Patterns:
     """Patterns of one length m over word numbers: shift table, and buckets by last block."""
 
-    def __init__(self, rows: np.ndarray, owners: list[np.ndarray]):
-        """rows: (n, m) word numbers from 1, distinct; owners: item numbers of each."""
-        n, self.m = rows.shape
+    def __init__(self, rows: np.ndarray, owner: np.ndarray):
+        """rows: (n, m) word numbers from 1; owner: the item number of each. Equal rows become one pattern."""
+        self.m = rows.shape[1]
         self.block = min(2, self.m)
+        order = np.lexsort((owner, *rows.T))
+        rows, owner = rows[order], owner[order]
+        new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
+        more = new | np.append(True, owner[1:] != owner[:-1])
+        rows, owner, first = rows[new], owner[more], np.flatnonzero(new[more])
+        last = np.append(first[1:], len(owner))
         self.shift = np.full(1 << TABLE_BITS, self.m - self.block + 1, np.uint8)
         for end in range(self.block - 1, self.m):  # a later end leaves a smaller shift, which wins
             at = self.hashes(rows[:, end - 1] if self.block == 2 else None, rows[:, end])
             self.shift[at] = np.minimum(self.shift[at], self.m - 1 - end)
         keys = self.bucket(rows[:, 0], rows[:, max(0, self.m - 2)], rows[:, -1])
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rows, self.owners = keys[order], rows[order], [owners[i] for i in order]
+        self.keys, self.rows, self.first, self.last, self.owner = keys[order], rows[order], first[order], last[order], owner
+
+    def owners(self, pattern: int) -> list[int]:
+        return self.owner[self.first[pattern] : self.last[pattern]].tolist()
 
     @staticmethod
     def hashes(a, b) -> np.ndarray:
@@ -91,15 +100,17 @@ class Patterns:
 def compile_items(items: list[tuple[object, str]]) -> tuple[dict[bytes, int], list[Patterns], list[str]]:
     """(word numbers, patterns by length, item names) of (item, text) rows."""
     vocabulary: dict[bytes, int] = {}
-    windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
     names = sorted({str(item) for item, _ in items})
     number = {name: i for i, name in enumerate(names)}
+    rows: dict[int, list[np.ndarray]] = {}
+    owner: dict[int, list[np.ndarray]] = {}
     for item, text in items:
-        found = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of((text or "").encode())]
+        found = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of((text or "").encode())], np.int32)
         m = min(WINDOW, len(found))
-        for i in range(len(found) - m + 1) if m else ():
-            windows.setdefault(m, {}).setdefault(tuple(found[i : i + m]), set()).add(number[str(item)])
-    patterns = [Patterns(np.array(list(by), np.int64), [np.array(sorted(x)) for x in by.values()]) for m, by in sorted(windows.items())]
+        if m:
+            rows.setdefault(m, []).append(np.lib.stride_tricks.sliding_window_view(found, m))
+            owner.setdefault(m, []).append(np.full(len(found) - m + 1, number[str(item)], np.int32))
+    patterns = [Patterns(np.concatenate(rows[m]), np.concatenate(owner[m])) for m in sorted(rows)]
     return vocabulary, patterns, names
 
 
@@ -118,7 +129,7 @@ def search(vocabulary: dict[bytes, int], patterns: list[Patterns], docs: list[by
         np.add.at(cover, pos + 1, -1)
         doc = np.searchsorted(starts, pos, side="right") - 1
         for d, w in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-            items.setdefault(d, set()).update(p.owners[w].tolist())
+            items.setdefault(d, set()).update(p.owners(w))
     hit = np.cumsum(cover[:-1]) > 0
     for d, (s, found) in enumerate(zip(starts, split, strict=True)):
         yield len(found), hit[s : s + len(found)], items.get(d, set())
@@ -165,14 +176,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A word is hit if it lies in an occurrence of a window of any item. A document is contaminated if it has hit words
     and they are a twentieth of its words at least. Null and empty texts have no words and are clean; items without
     words have no window. Rows that repeat an id are judged each by itself. An empty benchmark or an empty table gives
-    no hits or no rows. The benchmark is read in blocks of BLOCK_BYTES of its text, each of which becomes one
-    broadcast search table and one pass over the documents; no block grows with the documents.
+    no hits or no rows. Texts of any length are read whole; other columns of any name are ignored or carried. The
+    benchmark is read in blocks of about BLOCK_BYTES of its text, each of which becomes one broadcast search table and
+    one pass over the documents; no block grows with the documents.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    more = {"row": F.struct(*docs.columns)} if carry else {}
+    more = {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))} if carry else {}
     found = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.expr("array()").cast("array<int>").alias("edges"),
         F.expr("array()").cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), *(c.alias(n) for n, c in more.items()),

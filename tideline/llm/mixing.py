@@ -45,46 +45,74 @@ def targets(sizes: list[int], weights: list[float], total: float, cap: float = R
 
 
 class MinCostFlow:
-    """Successive cheapest paths. Each sends as much as its narrowest arc lets through."""
+    """A cheapest greatest flow, by the primal-dual method: all paths of one cost at a time, as blocking flows.
+
+    Costs sit on the arcs that leave the source. An augmenting path never leads back into the source, so its cost is
+    that of its first arc, and the arcs of the next cost open when no path of the former is left.
+    """
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
+        self.closed: list[tuple[int, int, int]] = []  # cost, arc, room
 
     def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
+        e = len(self.to)
+        self.out[a].append(e)
+        self.out[b].append(e + 1)
+        self.to += [b, a]
+        self.room += [0 if cost else room, 0]
+        if cost:
+            self.closed.append((cost, e, room))
+        return e
 
     def run(self, source: int, sink: int) -> None:
+        self._augment(source, sink)
+        for cost in sorted({c for c, _, _ in self.closed}):
+            for c, e, room in self.closed:
+                if c == cost:
+                    self.room[e] = room
+            self._augment(source, sink)
+
+    def _augment(self, source: int, sink: int) -> None:
+        """Blocking flows along arcs that lead one level further from the source, until the sink is out of reach."""
+        out, to, room = self.out, self.to, self.room
         while True:
-            dist, via = {source: 0}, {}
-            queue, queued = deque([source]), {source}
+            level = [-1] * len(out)
+            level[source] = 0
+            queue = deque([source])
             while queue:
                 a = queue.popleft()
-                queued.discard(a)
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] and dist[a] + self.cost[e] < dist.get(b, float("inf")):
-                        dist[b], via[b] = dist[a] + self.cost[e], e
-                        if b not in queued:
-                            queued.add(b)
-                            queue.append(b)
-            if sink not in dist:
+                for e in out[a]:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = level[a] + 1
+                        queue.append(to[e])
+            if level[sink] < 0:
                 return
-            path, at = [], sink
-            while at != source:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            send = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= send
-                self.room[e ^ 1] += send
+            turn = [0] * len(out)
+            path, at = [], source
+            while True:
+                if at == sink:
+                    send = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= send
+                        room[e ^ 1] += send
+                    k = next(i for i, e in enumerate(path) if not room[e])
+                    at = to[path[k] ^ 1]
+                    del path[k:]
+                elif turn[at] < len(out[at]):
+                    e = out[at][turn[at]]
+                    if room[e] and level[to[e]] == level[at] + 1:
+                        path.append(e)
+                        at = to[e]
+                    else:
+                        turn[at] += 1
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
 
     def sent(self, e: int) -> int:
         return self.room[e ^ 1]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WordHashes, connected_components, cut_lineage, mix, partitions, slices, spans_of, texts, union_find
+from tideline.llm.common import WordHashes, connected_components, cut_lineage, mix, numbered, partitions, slices, spans_of, texts, union_find
 
 SHINGLE = 5
 THRESHOLD = 85
@@ -239,11 +239,15 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n_shingles, component_id, kept) per row of `docs`.
 
     Null texts and texts without words have empty sets: they link with nothing and are kept. Copies of a text are in
-    one component. Rows that repeat an id get one component, that of the smallest id either text is linked with. Rows
-    without an id are left out. An empty table gives no rows; other columns are ignored.
+    one component. Rows that repeat an id are linked each by its own text; all rows that bear their component's id are
+    kept. Rows without an id come after all others: they take the id of what they link with, and where no row of a
+    component has one, component_id is null and one row is kept. Texts of any length are read whole. An empty table
+    gives no rows; other columns of any name are ignored.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    named = docs.select(F.col(id_col).cast("long").alias("given"), F.col(text_col).alias("text"))
+    named = numbered(named, "given", "text", "id")
+    base = named.select("id", "text")
     sketch = cut_lineage(base.mapInArrow(_sketch, "id long, n_shingles long, h1 long, h2 long, keys binary, short binary"))
     # Written out, so that joins with it read plain shuffles, which Spark can split where many texts share a set.
     classes = cut_lineage(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
@@ -270,5 +274,10 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = placed.join(base, "id").groupBy("task").applyInArrow(_verify, "a long, b long")
     component = connected_components(links).select(F.col("node").alias("rep"), F.col("component"))
     member = sketch.select("id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(component, "rep", "left")
-    out = member.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    member = member.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component"))
+    if named.where("NOT id <=> given").isEmpty():
+        return member.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    names = named.select("id", "given")
+    member = member.join(names, "id").join(names.select(F.col("id").alias("component"), F.col("given").alias("component_id")), "component")
+    kept = F.coalesce(F.col("given") == F.col("component_id"), F.col("id") == F.col("component"))
+    return member.select(F.col("given").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
