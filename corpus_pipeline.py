@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the last return the
 columns of `documents`; the last returns the mixed corpus: the documents it takes, how many words of each (repeats
 counted) and how often.
+
+Stages judge rows, not ids: decisions are joined by a number of the row, which is the id where every row has its own.
+So rows that repeat an id, or have none, keep or lose their own text only. Further columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -10,43 +13,73 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.llm.common import cut_lineage, numbered
 from tideline.llm.decontaminate import decontaminate
 from tideline.llm.exact_dedup import exact_dedup
 from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
 from tideline.llm.quality import keep_good
 
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the line field predicts to be good; labels come from the labels table."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+#: The column of row numbers, under a name that no table bears.
+ROW = "_pipeline_row"
 
 
 def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    return docs.join(decisions.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """The rows of numbered `docs` whose number isn't decided against."""
+    return docs.join(decisions.where("NOT kept").select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the line field predicts to be good; labels come from the labels table.
+
+    Null and empty texts have no lines and are judged as such. Repeated rows are judged each by itself; an empty table
+    stays empty.
+    """
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the largest doc_id of every group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    """Keeps one row of every group of equal texts, that with the largest doc_id.
+
+    Null texts count as empty. Rows without an id yield to those with one; of rows that repeat an id and text, or of
+    several without an id, any one stays. An empty table stays empty.
+    """
+    rows = numbered(docs, "doc_id", "text", ROW, nulls_last=False)
+    return _without(rows, exact_dedup(rows, ROW))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of every component of near copies."""
-    return _without(docs, near_dup(docs))
+    """Keeps one row of every component of near copies (similarity of 0.85, as op9), that with the smallest doc_id.
+
+    Rows without words, null texts too, have no near copies and stay. Rows without an id yield to those with one; of
+    rows that tie any one stays. An empty table stays empty.
+    """
+    rows = numbered(docs, "doc_id", "text", ROW)
+    return _without(rows, near_dup(rows, ROW))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark windows cover a twentieth at least."""
+    """Drops documents of which benchmark windows cover a twentieth at least.
+
+    Null and empty texts are clean. Repeated rows are judged each by itself; an empty table stays empty.
+    """
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return found.where("NOT contaminated").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: documents that the mix takes, with their words taken and their number of copies."""
-    mix = mix_sources(docs.withColumn("_members", F.array("source")), "_members")
-    mix = mix.where("taken > 0").select("doc_id", "size", "source_size", "target", "taken", F.expr("taken div size").alias("copies"))
-    return docs.join(mix.dropDuplicates(["doc_id"]), "doc_id")
+    """The mixed corpus: documents that the mix takes, with size, source_size, target, taken and copies.
+
+    Where `docs` has a column of such a name, the new one is prefixed with mix_. Null sources are a source; texts without
+    words are never taken. Repeated rows are taken each by itself; an empty table stays empty.
+    """
+    rows = numbered(docs, "doc_id", "text", ROW)
+    mix = mix_sources(rows.select(ROW, "text", F.array("source").alias("_members")), "_members", ROW)
+    mix = mix.where("taken > 0").withColumn("copies", F.expr("taken div size"))
+    taken = {c.lower() for c in docs.columns}
+    new = ("size", "source_size", "target", "taken", "copies")
+    mix = mix.select(ROW, *(F.col(c).alias(f"mix_{c}" if c in taken else c) for c in new))
+    return rows.join(mix, ROW).drop(ROW)
 
 
 STAGES = [
@@ -62,8 +95,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, with no table written between them but the operators' own."""
+    """All stages over the documents of `sf_dir`. What a stage keeps is written once, as the next reads it several times."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
