@@ -1,11 +1,15 @@
 """HTML extraction by tag-path ratios.
 
-A page becomes blocks of text, each with its path of block elements from the root. Text length, punctuation and link
-text are added up per path; a path's ratios are its text and its punctuation per node. Along the page the ratios of
-the blocks' paths are smoothed, then fused by multiplication, and paths whose fused ratio passes a threshold (half the
-page's standard deviation) hold content. The element that most of their text shares lies in the article, which is the
-`article` or `main` around it, or else the highest element whose other text is mostly no links; its blocks are the
-result, save for elements that are menus, notices, adverts, forms or comments by name.
+A page becomes blocks of text, each with its path of block elements from the root. Text length and punctuation are
+added up per path; a path's ratios are its unlinked text and its punctuation per node. Along the page the ratios of
+the blocks' paths are smoothed with those of their neighbours - text elements with text elements, containers with
+containers, so that a box between paragraphs isn't lifted by them - then fused by their geometric mean. Paths whose
+fused ratio passes a threshold (a share of the ratio that the middle of the page's text has) hold content.
+
+The element that most of their text shares is the root; where headings or paragraphs stand right beside it, it is the
+`article`, `main` or other element around these. Within, a block stays if its path passed, or if no container parts it
+from an element that holds such text (short items of a list, a lead); titles stay that come before it. Elements that
+are menus, notices, adverts, forms or comments by tag or name, or hidden, never count.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ BLOCK = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td "
     "tfoot th thead tr ul".split()
 )
+#: Elements that text stands in; the other block elements are containers.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table caption tbody thead tfoot tr td th blockquote pre figure figcaption address center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never content, wherever they stand, and words of class, id or role names that say so.
 OUTSIDE = frozenset("aside button dialog fieldset footer form head header label menu nav option select".split())
 NAMED = re.compile(
@@ -44,6 +51,9 @@ ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 HIDDEN = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 
+#: A path holds content from this share of the ratio that the middle of the page's text has, and from ENOUGH anyway.
+SHARE, ENOUGH = 0.5, 20.0
+
 
 class Block:
     __slots__ = ("text", "path", "nodes", "outside", "linked")
@@ -132,33 +142,60 @@ def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
     return out
 
 
-def smoothed(x: np.ndarray, radius: int = 1) -> np.ndarray:
-    """Weighted mean with the neighbours, which count half."""
-    kernel = np.array([0.5] * radius + [1.0] + [0.5] * radius)
-    return np.convolve(x, kernel, "same") / np.convolve(np.ones(len(x)), kernel, "same") if len(x) > 2 else x
+def tags_of(path: str) -> list[str]:
+    return [n.partition(".")[0] for n in path.split("/")] if path else []
 
 
-def _article(found: list, line: tuple[int, ...], tags: list[str], depth: int) -> int:
-    """Depth in `line`, at most `depth`, of the article around the element at `depth`.
+def smoothed(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Weighted mean with the neighbours of the same kind, which count half."""
+    total, weight = x.astype(float), np.ones(len(x))
+    same = np.flatnonzero(kind[1:] == kind[:-1])
+    np.add.at(total, same, 0.5 * x[same + 1])
+    np.add.at(total, same + 1, 0.5 * x[same])
+    np.add.at(weight, same, 0.5)
+    np.add.at(weight, same + 1, 0.5)
+    return total / weight
 
-    This is the outermost `article`, or else `main`, or else the highest element whose blocks beside the one at `depth`
-    are mostly text without links.
-    """
+
+def path_ratios(found: list) -> tuple[dict[str, float], float]:
+    """(fused ratio of each path, threshold) of a page's blocks."""
+    sums: dict[str, list[float]] = {}
+    for text, path, _, _, linked in found:
+        s = sums.setdefault(path, [0.0, 0.0, 0.0])
+        s[0] += max(0, len(text) - linked)
+        s[1] += len(PUNCTUATION.findall(text)) + 1
+        s[2] += 1
+    kind = np.array([(tags_of(b[1]) or [""])[-1] in TEXTUAL for b in found])
+    length = smoothed(np.array([sums[b[1]][0] / sums[b[1]][2] for b in found]), kind)
+    marks = smoothed(np.array([sums[b[1]][1] / sums[b[1]][2] for b in found]), kind)
+    fused = np.sqrt(length * marks)
+    of: dict[str, list[float]] = {}
+    for b, x in zip(found, fused.tolist(), strict=True):
+        of.setdefault(b[1], []).append(x)
+    order = np.argsort(fused, kind="stable")
+    weight = np.cumsum(np.array([len(b[0]) for b in found])[order])
+    middle = float(fused[order][np.searchsorted(weight, weight[-1] / 2)])
+    return {p: sum(x) / len(x) for p, x in of.items()}, min(SHARE * middle, ENOUGH)
+
+
+def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+    """Elements from the root that two lines of them have in common."""
+    n = 0
+    while n < len(a) and n < len(b) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def _article(found: list, line: tuple[int, ...], tags: list[str], depth: int) -> int:
+    """Depth in `line`, at most `depth`, of the article around the element at `depth`: the outermost `article`, or else
+    `main`, or else the highest element in which unlinked text stands outside of containers."""
     for tag in ("article", "main"):
         if tag in tags[:depth]:
             return tags.index(tag) + 1
-    beside = [[0, 0] for _ in range(depth)]  # text and link text by how many elements a block shares with the line
-    for text, _, nodes, _, linked in found:
-        shared = 0
-        while shared < depth and shared < len(nodes) and nodes[shared] == line[shared]:
-            shared += 1
-        if shared < depth:
-            beside[shared][0] += len(text)
-            beside[shared][1] += linked
-    top, text, linked = depth, 0, 0
-    for at in range(depth - 1, 0, -1):
-        text, linked = text + beside[at][0], linked + beside[at][1]
-        if 2 * linked <= text:
+    top = depth
+    for text, path, nodes, _, linked in found:
+        at = _shared(nodes, line[:depth])
+        if 0 < at < top and 2 * linked <= len(text) and all(t in TEXTUAL for t in tags_of(path)[at:]):
             top = at
     return top
 
@@ -168,20 +205,8 @@ def main_text(page: str | None) -> str:
     found = [b for b in blocks_of(page or "") if not b[3]]
     if not found:
         return ""
-    sums: dict[str, list[float]] = {}
-    for text, path, _, _, linked in found:
-        s = sums.setdefault(path, [0.0, 0.0, 0.0])
-        s[0] += max(0, len(text) - linked)
-        s[1] += len(PUNCTUATION.findall(text)) + 1
-        s[2] += 1
-    length = smoothed(np.array([sums[b[1]][0] / sums[b[1]][2] for b in found]))
-    marks = smoothed(np.array([sums[b[1]][1] / sums[b[1]][2] for b in found]))
-    fused = length * marks
-    best: dict[str, float] = {}
-    for b, x in zip(found, fused.tolist(), strict=True):
-        best[b[1]] = max(best.get(b[1], 0.0), x)
-    least = 0.5 * float(np.std(fused))
-    chosen = {p for p, x in best.items() if x >= least and x > 0} or {max(best, key=best.get)}
+    ratio, least = path_ratios(found)
+    chosen = {p for p, x in ratio.items() if x >= least and x > 0} or {max(ratio, key=ratio.get)}
     # Down from the root, as long as one child holds most of the chosen text.
     weight: dict[int, int] = {}
     for text, path, nodes, _, _ in found:
@@ -190,21 +215,22 @@ def main_text(page: str | None) -> str:
                 weight[n] = weight.get(n, 0) + len(text)
     whole = sum(len(b[0]) for b in found if b[1] in chosen)
     lead = max((b for b in found if b[1] in chosen), key=lambda b: len(b[0]))
-    article = [n for n in lead[2] if 5 * weight[n] >= 4 * whole]
-    depth = len(article)
-    tags = [n.partition(".")[0] for n in lead[1].split("/")]
-    while depth and tags[depth - 1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre"):
+    tags = tags_of(lead[1])
+    depth = sum(5 * weight[n] >= 4 * whole for n in lead[2])
+    while depth and tags[depth - 1] in TEXTUAL:
         depth -= 1  # a single paragraph is not the whole article
-    root = lead[2][depth - 1] if depth else None
     top = _article(found, lead[2], tags, depth)
     outer = lead[2][top - 1] if top else None
-    wide = (depth == 0 or tags[depth - 1] in ("html", "body"), top == 0 or tags[top - 1] in ("html", "body"))
+    first = next(i for i, b in enumerate(found) if b[1] in chosen and (outer is None or outer in b[2]))
     kept = []
-    for text, path, nodes, _, linked in found:
-        heading = path.rpartition("/")[2][:2] in ("h1", "h2", "h3", "h4", "h5", "h6")
-        within = root is None or root in nodes
-        narrow = wide[0] if within else wide[1]
-        if (within or outer is None or outer in nodes) and (not narrow or path in chosen or heading) and not (linked and 2 * linked > len(text) and path not in chosen):
+    for i, (text, path, nodes, _, linked) in enumerate(found):
+        if outer is not None and outer not in nodes:
+            continue
+        own = tags_of(path)
+        held = sum(n in weight for n in nodes)  # elements around it that hold chosen text
+        loose = all(t in TEXTUAL for t in own[held:]) and 2 * linked <= len(text)
+        title = bool(own) and own[-1] in HEADINGS and i < first
+        if path in chosen or loose or title:
             kept.append(text)
     return "\n".join(kept)
 
@@ -221,7 +247,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     """Columns `keep`, text and n_chars (code points) per row of `pages`; the text is empty if there is none.
 
     Null and empty pages give empty texts, and so does markup without content. Unclosed and stray tags are read as a
-    browser would in the main. Rows that repeat are read each by itself; an empty table gives no rows.
+    browser would in the main. Pages of any length are read whole, each by itself, as are rows that repeat; an empty
+    table gives no rows. Other columns are ignored; of a kept column named text or n_chars the result's stands last.
     """
     base = pages.select(F.struct(*keep).alias("row"), F.col(html_col).alias("html"))
     shape = f"row {base.schema['row'].dataType.simpleString()}, text string, n_chars long"
