@@ -162,7 +162,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     """A model of training rows only; SAMPLE_ROWS of them at most. Without any it scores every text alike."""
     sample = labelled_sample(labels, id_col, label_col, SAMPLE_ROWS, FOLDS, HELD_OUT)
     # About SAMPLE_ROWS rows of two numbers: small by construction, so they are sent to every executor.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # Their texts are read several times, so they are written once.
+    texts = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id"))
     units = learn_lexicons(texts)
 
     def featured(batches):
@@ -171,7 +172,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             x = [features_of(t or "", lexicons[p]) for t, p in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["id", "label", "part", "x"])
 
-    rows = texts.select("id", "text", "label", "part").mapInArrow(featured, "id long, label int, part int, x array<double>").orderBy("id").toArrow()
+    rows = texts.select("id", "text", "label", "part").mapInArrow(featured, "id long, label int, part int, x array<double>").toArrow().sort_by("id")
     y, part = rows.column("label").to_numpy(), rows.column("part").to_numpy()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(len(y), -1 if len(y) else 0)
     margin = np.zeros(len(y))
