@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import share, slices, spans_of, texts
 from tideline.llm.learn import fit_logistic, labelled_sample, sigmoid
 
-#: Labelled rows that the model is fitted on at most.
-SAMPLE_ROWS = 8_000
+#: Labelled rows that the model is fitted on at most, and lines of each; what is scored is always the whole text.
+SAMPLE_ROWS, SAMPLE_LINES = 8_000, 256
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
 #: Classes of bytes that are counted per line.
@@ -172,19 +172,28 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> QualityModel:
-    """A model of training rows only, SAMPLE_ROWS of them at most: one half fits the field, the other calibrates it."""
+    """A model of training rows only, SAMPLE_ROWS of them at most: one half fits the field, the other calibrates it.
+
+    The driver holds WIDTH numbers for each of SAMPLE_ROWS x SAMPLE_LINES lines at most.
+    """
     sample = labelled_sample(labels, id_col, label_col, SAMPLE_ROWS, FOLDS, HELD_OUT)
+
+    def middle(found):
+        """SAMPLE_LINES consecutive lines, from the middle of a longer text."""
+        at = max(0, (len(found[0]) - SAMPLE_LINES) // 2)
+        return [f[at : at + SAMPLE_LINES] for f in found]
+
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def featured(batches):
         for batch in slices(batches):
-            found = [line_features(x) for x in texts(batch)]
+            found = [middle(line_features(x)) for x in texts(batch)]
             size, x = ([f[k].astype(np.float32).tobytes() for f in found] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.binary()), pa.array(x, pa.binary())], names=["id", "label", "part", "size", "x"])
 
     # About SAMPLE_ROWS rows of three numbers: small by construction, so they are sent to every executor.
     rows = base.join(F.broadcast(sample), "id").select("id", "text", "label", "part")
-    rows = rows.mapInArrow(featured, "id long, label int, part int, size binary, x binary").orderBy("id").toArrow()
+    rows = rows.mapInArrow(featured, "id long, label int, part int, size binary, x binary").toArrow().sort_by("id")
     part, y = rows.column("part").to_numpy(), rows.column("label").to_numpy()
     sizes = [np.frombuffer(b, np.float32) for b in rows.column("size").to_pylist()]
     features = [np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in rows.column("x").to_pylist()]
