@@ -129,12 +129,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts compare byte for byte, without normalisation; null counts as the empty text, so null and empty texts form
     one group. `keep_id` is the group's largest id (null ids count as smaller than any; a group of null ids alone has
     a null keep_id and keeps nothing). Rows that repeat an id and its text count each, and stay or go together. An
-    empty table gives no rows. Other columns of `docs`, whatever their names, are ignored.
+    empty table gives no rows. Texts of any length are read whole. Other columns of `docs`, whatever their names, are
+    ignored.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("fp", F.xxhash64("text"))
-    rows = base.count()
-    repeated = cut_lineage(repeated_fingerprints(base.select("fp"), rows))
+    light = cut_lineage(base.select("id", "fp", F.sha2("text", 256).alias("text_sha256")))  # hashes each text once
+    rows = light.count()
+    repeated = cut_lineage(repeated_fingerprints(light.select("fp"), rows))
     # Hot fingerprints: under HOT of them by arithmetic, so the list is bounded. Their copies meet in a map-side
     # combine, not in a join.
     hot = [r.fp for r in repeated.where(F.col("n") * HOT > rows).where("n > 100").select("fp").collect()]
@@ -145,7 +147,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         part = part.groupBy("fp", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
         verified = part if verified is None else verified.unionByName(part)
     classes = verified.select("fp", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    light = base.select("id", "fp", F.sha2("text", 256).alias("text_sha256"))
     joined = light.join(classes, ["fp", "text_sha256"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
