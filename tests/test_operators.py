@@ -291,3 +291,34 @@ def test_mutations(spark):
     faces = spark.createDataFrame([(1, 5, "high"), (2, 5, "high"), (3, None, None)], "face long, person long, tier string")
     labels = spark.createDataFrame([(1, 5, "reject"), (2, 6, "reject"), (3, 9, "confirm"), (3, 8, "confirm")], "face long, person long, verdict string")
     assert {tuple(r) for r in state.labelled_faces(faces, labels, "face", "person").collect()} == {(1, None, None), (2, 5, "high"), (3, 8, "confirmed")}
+
+
+def test_overlong_cuts_against_the_best_boundary_again_and_again(spark):
+    """Slabs against the rule as stated: cut a longer segment at its best inner boundary until none is longer."""
+    import random
+
+    from tideline.operators import segment as sg
+
+    rng = random.Random(5)
+    rows, want = [], set()
+    for grp in range(6):
+        us = [0]
+        for _ in range(400 if grp else 1500):
+            us.append(us[-1] + int(rng.choice((1, 30, 200, 400 if grp % 2 else 5)) * 60e6))
+        b = [(grp, i, us[i], us[i + 1], 0.3 if grp == 0 else round(rng.random() / 2, 1), rng.random() < 0.02, "kept_together" if rng.random() < 0.3 and grp % 2 else "score") for i in range(len(us) - 1)]
+        b = [(*x[:5], x[5] and x[6] == "score", x[6]) for x in b]
+        rows += b
+        cuts = [x[1] for x in b if x[5]]
+        pieces = [(s, e) for s, e in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(us)], strict=True)]
+        want |= {(grp, c) for c in cuts}
+        while pieces:
+            s, e = pieces.pop()
+            inner = [x for x in b[s : e - 1] if x[6] != "kept_together"]
+            if us[e - 1] - us[s] > sg.MAX_HOURS * 3600e6 and inner:
+                at = max(inner, key=lambda x: (x[4], -x[1]))[1]
+                want.add((grp, at))
+                pieces += [(s, at + 1), (at + 1, e)]
+    bounds = spark.createDataFrame(rows, "grp long, ix long, left_us long, right_us long, score double, cut boolean, reason string").repartition(5)
+    got = sg.without_overlong(bounds, "grp").collect()
+    assert len(got) == len(rows) and {(r["grp"], r["ix"]) for r in got if r["cut"]} == want
+    assert {(r["grp"], r["ix"]) for r in got if r["reason"] == "overlong"} == want - {(x[0], x[1]) for x in rows if x[5]}

@@ -44,6 +44,52 @@ def test_resegmentation_touches_what_is_near(spark, tmp_path):
     assert sorted(seen) == [0, 1, 7]
 
 
+def test_late_data_widens_to_whole_events(spark, tmp_path):
+    """What arrives late regroups events as a full recomputation does: the same members, under the same ids."""
+    from tideline.operators.timeline import with_segments
+
+    gap = 20 * 60_000_000
+    minutes = [*range(0, 1_200, 15), *range(1_900, 2_000, 15), *range(4_000, 4_100, 15)]  # the first event lasts 20 hours
+    base = [(1, i, T0 + timedelta(minutes=m)) for i, m in enumerate(minutes)] + [(2, 500, T0)]
+    late = [(1, 900, T0 + timedelta(minutes=1_195)), (1, 901, T0 + timedelta(minutes=1_210)), (2, 902, T0 + timedelta(minutes=5))]
+
+    def segmented(df):
+        rows = with_segments(df, "user_id", "us", "id", gap)
+        first = rows.groupBy("user_id", "segment").agg(F.min_by("id", F.struct("us", "id")).alias("event"))
+        return rows.join(first, ["user_id", "segment"]).select("user_id", "id", "us", "event")
+
+    frame = lambda rows: spark.createDataFrame(rows, SCHEMA).select("user_id", "id", F.unix_micros("ts").alias("us"))
+    state = {(r["user_id"], r["id"]): (r["us"], r["event"]) for r in segmented(frame(base)).collect()}
+    touched = []
+
+    def events():
+        spans = {}
+        for (user, _), (us, event) in state.items():
+            low, high = spans.get((user, event), (us, us))
+            spans[user, event] = min(low, us), max(high, us)
+        return spark.createDataFrame([(u, a, b) for (u, _), (a, b) in spans.items()], "user_id long, start_us long, end_us long")
+
+    def write(df, number):
+        for r in df.collect():
+            touched.append(r["id"])
+            state[r["user_id"], r["id"]] = r["us"], r["event"]
+
+    history = lambda: spark.createDataFrame([(u, i, us) for (u, i), (us, _) in state.items()], "user_id long, id long, us long")
+    source = _stream(spark, tmp_path, [late]).select("user_id", "id", F.unix_micros("ts").alias("us"))
+    _run(inc.resegment_on_arrival(source, history, segmented, write, "user_id", "us", events), tmp_path)
+    want = {(r["user_id"], r["id"]): (r["us"], r["event"]) for r in segmented(frame(base + late)).collect()}
+    assert state == want
+    assert 0 in touched and max(i for i in touched if i < 500) < minutes.index(4_000)  # the whole event, but not all of history
+
+
+def test_refreshed_views_and_marks(spark):
+    rows = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k long, v long")
+    got = inc.refreshed_views(spark.createDataFrame([(1,), (1,)], "k long"), rows, "k", lambda df: df.groupBy("k").agg(F.sum("v").alias("s")))
+    assert [tuple(r) for r in got.collect()] == [(1, 11)]
+    assert files.since(rows, "v", 6).count() == 1 and files.since(rows, "v", None).count() == 3
+    assert spark.range(1).select(files.vector_of(F.lit("[0.5, -1]")).alias("x")).first()["x"] == [0.5, -1.0]
+
+
 def test_folder_scan(spark, tmp_path):
     for name in ("trip/a.JPG", "b.mp4", "note.txt", ".hidden/c.jpg", "trip/deep/d.png"):
         path = tmp_path / "media" / name

@@ -1,8 +1,8 @@
 """Events from timelines: cuts, splits, sizes, merges and leftovers.
 
-The boundary scores are windows (tideline.operators.timeline). What follows a cut looks at one segment at a time, so it
-is grouped by segment, whose length the over-long rule bounds to hours; only folds that a window can't state run in
-Arrow functions: splits on segments before the over-long cut, merges and leftovers on rows of segments.
+The boundary scores are windows (tideline.operators.timeline). Over-long segments are cut on slabs of time before
+anything is grouped by segment, so what follows looks at hours of a group at a time. Only what a window can't state
+runs in Arrow functions: ranks of boundaries in a slab, splits of one segment, merges and leftovers on rows of segments.
 """
 
 from __future__ import annotations
@@ -73,24 +73,45 @@ def constrained(bounds: DataFrame, voters: DataFrame, c: Constraints, group: str
     return bounds.withColumns({"reason": reason, "cut": cuts}).drop("_pins", "_spans", "_frozen")
 
 
-def overlong_cuts(us: np.ndarray, score: np.ndarray, fixed: np.ndarray) -> np.ndarray:
-    """Cuts (before these places) that bring a segment's parts down to MAX_HOURS: the best inner boundary first.
-
-    score[i] is the boundary before item i; fixed ones are never cut. Of equal scores the first is taken.
+def _overlong(table: pa.Table, group: str) -> pa.Table:
+    """Adds the cuts that a slab's own boundaries need; the others' are there to look at."""
+    table = table.sort_by("ix")
+    left, right = table.column("left_us").to_numpy(), table.column("right_us").to_numpy()
+    cut_, reason = table.column("cut").to_numpy(zero_copy_only=False).astype(bool), table.column("reason").to_pylist()
+    score = np.nan_to_num(table.column("score").to_numpy(zero_copy_only=False).astype(float), nan=-1.0)
+    kept = np.array([r == "kept_together" for r in reason], bool)
+    rank = np.where(cut_, np.inf, np.where(kept, -np.inf, score)).tolist()
+    n, stack = len(rank), []
+    low, high = left[:1].repeat(n), right[-1:].repeat(n)  # of the stretch in which a boundary ranks first
+    for i, r in enumerate(rank):
+        while stack and rank[stack[-1]] < r:
+            high[stack.pop()] = left[i]
+        if stack:
+            low[i] = right[stack[-1]]
+        stack.append(i)
+    more = ~cut_ & ~kept & (score >= 0) & (high - low > MAX_HOURS * 3600e6)
+    reason = ["overlong" if m else r for m, r in zip(more, reason, strict=True)]
+    own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    out = table.select([group, "ix", "left_us", "right_us", "score"]).append_column("cut", pa.array(cut_ | more)).append_column("reason", pa.array(reason, pa.string()))
+    return out.filter(pa.array(own))
+
+
+def without_overlong(bounds: DataFrame, group: str) -> DataFrame:
+    """Boundaries with the further cuts that bring segments down to MAX_HOURS: of a longer one always the best inner
+    boundary that isn't kept together, of equal scores the first.
+
+    The order of these cuts is a tree in which a boundary cuts the stretch where it ranks first; all stretches around
+    are longer. So a boundary is cut if and only if its own stretch is over-long, and to know this the boundaries within
+    MAX_HOURS on each side suffice: slabs of time with such a halo, no whole segment, however long.
     """
-    cuts, open_ = [], [(0, len(us))]
-    limit = MAX_HOURS * 3600e6
-    while open_:
-        a, b = open_.pop()
-        if b - a < 2 or us[b - 1] - us[a] <= limit:
-            continue
-        inner = np.where(fixed[a + 1 : b], -np.inf, score[a + 1 : b])
-        at = int(inner.argmax())
-        if inner[at] < 0:
-            continue
-        cuts.append(a + 1 + at)
-        open_ += [(a, a + 1 + at), (a + 1 + at, b)]
-    return np.array(sorted(cuts), np.int64)
+    hours = int(MAX_HOURS * 3_600_000_000)
+    width = 4 * hours
+    slabs = F.sequence(F.floor((F.col("left_us") - hours) / width), F.floor((F.col("right_us") + hours) / width))
+    near = bounds.select(group, "ix", "left_us", "right_us", "score", "cut", "reason", F.explode(slabs).alias("_slab"))
+    near = near.withColumn("own", F.col("_slab") == F.floor(F.col("right_us") / width))
+    kind = bounds.schema[group].dataType.simpleString()
+    shape = f"{group} {kind}, ix long, left_us long, right_us long, score double, cut boolean, reason string"
+    return near.groupBy(group, "_slab").applyInArrow(lambda t: _overlong(t, group), shape)
 
 
 def density_clusters(xy: np.ndarray, eps: float, core: int) -> np.ndarray:
@@ -199,33 +220,21 @@ def contributor_parts(lat: np.ndarray, lon: np.ndarray, contrib: np.ndarray) ->
 
 
 def _split(table: pa.Table) -> pa.Table:
-    """Adds `part` to one segment's items: over-long pieces, then concurrent places, then distant contributors."""
+    """Adds `part` to one segment's items: concurrent places, then distant contributors."""
     table = table.sort_by([("us", "ascending"), ("id", "ascending")])
-    us, score = table.column("us").to_numpy(), table.column("score_before").to_numpy(zero_copy_only=False).astype(float)
+    us = table.column("us").to_numpy()
     lat, lon = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
-    contrib, reason, people = np.array(table.column("contrib").to_pylist()), table.column("reason_before").to_pylist(), table.column("people").to_pylist()
-    piece = np.zeros(len(us), np.int64)
-    cuts = overlong_cuts(us, np.nan_to_num(score, nan=-1.0), np.array([r == "kept_together" for r in reason], bool))
-    piece[cuts] = 1
-    for i in cuts.tolist():
-        reason[i] = "overlong"
-    piece = np.cumsum(piece)
-    part, n, whole, untied = np.zeros(len(us), np.int64), 0, np.ones(len(us), bool), np.zeros(len(us), bool)
-    for p in range(piece[-1] + 1 if len(piece) else 0):
-        at = np.flatnonzero(piece == p)
-        places, untied[at] = concurrent_parts(us[at], lat[at], lon[at], contrib[at], [people[i] for i in at])
-        before = n
-        for q in range(places.max() + 1):
-            own = at[places == q]
-            parts = contributor_parts(lat[own], lon[own], contrib[own])
-            part[own] = n + parts
-            n += int(parts.max()) + 1
-        whole[at] = n == before + 1
+    contrib, people = np.array(table.column("contrib").to_pylist()), table.column("people").to_pylist()
+    places, untied = concurrent_parts(us, lat, lon, contrib, people)
+    part, n = np.zeros(len(us), np.int64), 0
+    for q in range(int(places.max(initial=-1)) + 1):
+        own = np.flatnonzero(places == q)
+        parts = contributor_parts(lat[own], lon[own], contrib[own])
+        part[own] = n + parts
+        n += int(parts.max()) + 1
     at = table.schema.get_field_index("people")
     table = table.set_column(at, "people", table.column(at).cast(pa.list_(pa.int64())))
-    at = table.schema.get_field_index("reason_before")
-    table = table.set_column(at, "reason_before", pa.array(reason, pa.string()))
-    return table.append_column("part", pa.array(part)).append_column("contiguous", pa.array(whole)).append_column("untied", pa.array(untied))
+    return table.append_column("part", pa.array(part)).append_column("contiguous", pa.array(np.full(len(us), n == 1))).append_column("untied", pa.array(untied))
 
 
 def segment(
@@ -245,9 +254,11 @@ def segment(
     c = constraints or Constraints()
     voters = items.where(F.coalesce(F.col(trusted), F.lit(False))) if trusted else items
     # Each of these is read several times; written once, they don't repeat the windows beneath.
-    scored = boundaries(voters, group, us, tie, contributor, people, lat, lon, emb).select(group, "ix", "left_us", "right_us", "score")
-    bounds = cut(constrained(scored, voters, c, group, us, tie).select(group, "ix", "score", "cut", "reason"))
-    rows = cut_segments(voters, bounds, group, us, tie)
+    numbers = cut(with_row_index(voters, group, us, tie))
+    scored = boundaries(numbers, group, us, tie, contributor, people, lat, lon, emb).select(group, "ix", "left_us", "right_us", "score")
+    bounds = constrained(scored, voters, c, group, us, tie).select(group, "ix", "left_us", "right_us", "score", "cut", "reason")
+    bounds = cut(without_overlong(bounds, group).select(group, "ix", "score", "cut", "reason"))
+    rows = cut_segments(numbers, bounds, group, us, tie)
     before = bounds.select(group, (F.col("ix") + 1).alias("ix"), F.col("score").alias("score_before"), F.col("reason").alias("reason_before"))
 
     def plain_names(df: DataFrame, *more: str) -> DataFrame:
@@ -259,8 +270,8 @@ def segment(
 
     rows = cut(plain_names(rows.join(before, [group, "ix"], "left"), "segment", "score_before", "reason_before"))
     # Most segments need none of the splits: they are short, and of one contributor or without positions.
-    sizes = rows.groupBy("grp", "segment").agg((F.max("us") - F.min("us")).alias("_span"), F.count("lat").alias("_gps"), F.count_distinct("contrib").alias("_who"))
-    flagged = rows.join(sizes.withColumn("_split", (F.col("_span") > MAX_HOURS * 3600e6) | ((F.col("_gps") >= 2) & (F.col("_who") > 1)) | (F.col("_gps") >= SPLIT_MIN_GPS)).drop("_span", "_gps", "_who"), ["grp", "segment"])
+    sizes = rows.groupBy("grp", "segment").agg(F.count("lat").alias("_gps"), F.count_distinct("contrib").alias("_who"))
+    flagged = rows.join(sizes.withColumn("_split", ((F.col("_gps") >= 2) & (F.col("_who") > 1)) | (F.col("_gps") >= SPLIT_MIN_GPS)).drop("_gps", "_who"), ["grp", "segment"])
     plain = flagged.where("NOT _split").drop("_split").withColumns({"part": F.lit(0).cast("long"), "contiguous": F.lit(True), "untied": F.lit(False)})
     order = plain.columns
     split = flagged.where("_split").drop("_split").select(order[:-3])

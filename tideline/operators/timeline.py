@@ -58,9 +58,10 @@ def boundaries(
 
     Each side is a window of WINDOW items at most. The tolerance tau follows the median positive gap of both windows.
     A term without evidence is 0.5: fewer than two positions, no people, no embeddings on a side. Columns of evidence
-    that aren't given count as absent. Columns: group, left and right tie and time, ix, minutes, tau, terms, score, cut.
+    that aren't given count as absent. Items that bear `ix` keep these numbers. Columns: group, left and right tie and time, ix, minutes, tau, terms, score, cut.
     """
-    rows = with_halo(with_row_index(items, group, us, tie), group, before=WINDOW, after=WINDOW)
+    numbers = items if "ix" in items.columns else with_row_index(items, group, us, tie)
+    rows = with_halo(numbers, group, before=WINDOW, after=WINDOW)
     order = Window.partitionBy(group, "block").orderBy("ix")
     left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
     rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumns({"right_id": F.lead(tie).over(order), "right_us": F.lead(us).over(order)})
@@ -123,7 +124,8 @@ def _within(a: Column) -> Column:
 def cut_segments(items: DataFrame, bounds: DataFrame, group: str, us: str, tie: str) -> DataFrame:
     """Adds `segment` from the boundaries' cuts."""
     cuts = bounds.where("cut").select(group, (F.col("ix") + 1).alias("ix"), F.lit(1).alias("_cut"))
-    rows = with_row_index(items, group, us, tie).join(cuts, [group, "ix"], "left").fillna(0, ["_cut"])
+    numbers = items if "ix" in items.columns else with_row_index(items, group, us, tie)
+    rows = numbers.join(cuts, [group, "ix"], "left").fillna(0, ["_cut"])
     return running_sum(rows, group, "_cut", "segment").drop("_cut")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,10 +19,13 @@ def arrivals_once(stream: DataFrame, ts: str, keys: list[str], late: str = "1 da
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def sessions(stream: DataFrame, ts: str, keys: list[str], gap: str = "20 minutes", late: str = "1 hour") -> DataFrame:
-    """Gap-separated sessions with their size, emitted once the watermark has passed them: the gap-only approximation."""
+def sessions(stream: DataFrame, ts: str, keys: list[str], gap: str = "20 minutes", late: str = "1 hour", contributor: str = "user_id") -> DataFrame:
+    """Gap-separated sessions with their size and contributors, emitted once the watermark has passed them.
+
+    This is the gap-only approximation of segments. Contributors are counted exactly; a session's state holds their set.
+    """
     window = F.session_window(ts, gap)
-    out = stream.withWatermark(ts, late).groupBy(*keys, window).agg(F.count("*").alias("n_items"), F.approx_count_distinct("user_id").alias("n_contributors"))
+    out = stream.withWatermark(ts, late).groupBy(*keys, window).agg(F.count("*").alias("n_items"), F.size(F.collect_set(contributor)).cast("long").alias("n_contributors"))
     return out.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_items", "n_contributors")
 
 
@@ -58,24 +61,64 @@ def coalesced(stream: DataFrame, debounce_ms: int = 60_000) -> DataFrame:
     return stream.groupBy("dedupe_key").applyInPandasWithState(fold, _JOB, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def affected_items(history: DataFrame, arrived: DataFrame, group: str, us: str, pad_hours: int = PAD_HOURS) -> DataFrame:
-    """Rows of history within `pad_hours` of new rows of their group, by buckets of that width."""
+def _islands(spans: DataFrame, group: str) -> DataFrame:
+    """(group, lo, hi) spans with those that touch joined."""
+    order = Window.partitionBy(group).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("lo") <= reach, 0).otherwise(1)
+    numbered = spans.withColumn("_new", new).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(group, "_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_no")
+
+
+def widened_spans(arrived: DataFrame, events: DataFrame | None, group: str, us: str, pad_hours: int = PAD_HOURS) -> DataFrame:
+    """(group, lo, hi): the time within `pad_hours` of new rows, widened to whole events until nothing grows.
+
+    events: (group, start_us, end_us) as they stand. Spans meet events by buckets of the pad's width, then by overlap.
+    """
+    width = pad_hours * 3_600_000_000
+    spans = cut(_islands(arrived.select(group, (F.col(us) - width).alias("lo"), (F.col(us) + width).alias("hi")), group))
+    if events is None:
+        return spans
+    buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+    reach = events.select(group, "start_us", "end_us").withColumn("_b", buckets("start_us", "end_us"))
+    while True:
+        near = spans.withColumn("_b", buckets("lo", "hi")).join(reach, [group, "_b"]).where("start_us <= hi AND end_us >= lo")
+        grown = near.groupBy(group, "lo", "hi").agg(F.min("start_us").alias("_s"), F.max("end_us").alias("_e")).where("_s < lo OR _e > hi")
+        grown = cut(grown.select(group, F.least("lo", "_s").alias("lo"), F.greatest("hi", "_e").alias("hi")))
+        if grown.isEmpty():
+            return spans
+        spans = cut(_islands(spans.unionByName(grown), group))
+
+
+def affected_items(history: DataFrame, arrived: DataFrame, group: str, us: str, pad_hours: int = PAD_HOURS, events: DataFrame | None = None) -> DataFrame:
+    """Rows of history that new rows of their group may regroup: those within `pad_hours`, and within all events that
+    these or each other's spans cut (see widened_spans), so that no event is judged from its middle."""
     width = pad_hours * 3_600_000_000
-    near = arrived.select(group, F.floor(F.col(us) / width).alias("_b")).distinct()
-    near = near.select(group, F.explode(F.array(F.col("_b") - 1, "_b", F.col("_b") + 1)).alias("_b")).distinct()
-    return history.withColumn("_b", F.floor(F.col(us) / width)).join(near, [group, "_b"], "left_semi").drop("_b")
+    spans = widened_spans(arrived, events, group, us, pad_hours)
+    near = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    rows = history.withColumn("_b", F.floor(F.col(us) / width))
+    return rows.join(near, [group, "_b"]).where(F.col(us).between(F.col("lo"), F.col("hi"))).select(history.columns)
 
 
-def resegment_on_arrival(stream: DataFrame, history: Callable[[], DataFrame], segmenter: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], group: str, us: str):
+def resegment_on_arrival(
+    stream: DataFrame, history: Callable[[], DataFrame], segmenter: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], group: str, us: str,
+    events: Callable[[], DataFrame] | None = None,
+):
     """A writer that recomputes the segments that each micro-batch touches and hands them to `write` with the batch's number.
 
-    `write` replaces the rows of these items; as it gets the batch's number, a repeated batch can be told apart.
+    history() gives the rows before the batch, best from a table partitioned or sorted by group and time, and events()
+    the (group, start_us, end_us) of their events. `write` replaces the rows of these items; as it gets the batch's
+    number, a repeated batch can be told apart.
     """
 
     def batch(arrived: DataFrame, number: int) -> None:
-        arrived = cut(arrived)
-        if not arrived.isEmpty():
-            write(segmenter(affected_items(history().unionByName(arrived).dropDuplicates(), arrived, group, us)), number)
+        arrived = arrived.persist()
+        try:
+            if not arrived.isEmpty():
+                rows = history().unionByName(arrived).dropDuplicates()
+                write(segmenter(affected_items(rows, arrived, group, us, events=events() if events else None)), number)
+        finally:
+            arrived.unpersist()
 
     return stream.writeStream.foreachBatch(batch)
 
