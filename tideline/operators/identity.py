@@ -30,37 +30,47 @@ def cap_tier(tier: Column, flags: Column) -> Column:
 def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, person: str, boost: Column | None = None) -> DataFrame:
     """(face, person, best, margin, tier): greatest cosine with any prototype of a person, and its lead over the next person.
 
-    Ties go to the higher person; a single person leads by its whole score. Prototypes are few beside faces: they are
-    broadcast after their number is checked.
+    Ties go to the higher person; a single person leads by its whole score. Prototypes are broadcast in blocks of whole
+    persons, about PROTOTYPES at a time; each block leaves two persons per face, and the best two of all blocks remain.
     """
-    rows = prototypes.select(person, "proto").limit(MAX_PROTOTYPES + 1).toArrow()
-    if rows.num_rows > MAX_PROTOTYPES:
-        raise ValueError(f"over {MAX_PROTOTYPES} prototypes; match by groups")
-    owner = np.array(rows.column(0).to_pylist(), np.int64)
-    order = np.argsort(owner, kind="stable")
-    names, starts = np.unique(owner[order], return_index=True)
-    vec = np.array(rows.column(1).to_pylist(), np.float64).reshape(len(owner), -1)[order]
-    shared = faces.sparkSession.sparkContext.broadcast((names, starts, vec))
-
-    def matched(batches):
-        names, starts, vec = shared.value
-        for batch in batches:
-            if not len(names) or not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), np.float64)
-            score = np.maximum.reduceat(x @ vec.T, starts, axis=1)
-            at = len(names) - 1 - score[:, ::-1].argmax(axis=1)
-            best = score[np.arange(len(x)), at]
-            score[np.arange(len(x)), at] = -np.inf
-            second = score.max(axis=1) if len(names) > 1 else np.zeros(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[at]), pa.array(best), pa.array(best - second)], names=["face", "person", "best", "margin"])
-
-    out = faces.select(F.col(face).cast("long"), emb).mapInArrow(matched, "face long, person long, best double, margin double")
-    out = out.withColumnsRenamed({"face": face, "person": person})
+    spark = faces.sparkSession
+    held = prototypes.select(F.col(person).cast("long").alias("person"), "proto")
+    blocks = max(1, -(-held.count() // PROTOTYPES))
+    rows = faces.select(F.col(face).cast("long").alias("face"), emb)
+    found = None
+    for n in range(blocks):
+        part = (held if blocks == 1 else held.where(F.pmod(F.xxhash64("person"), F.lit(blocks)) == n)).toArrow()
+        owner = np.array(part.column(0).to_pylist(), np.int64)
+        order = np.argsort(owner, kind="stable")
+        names, starts = np.unique(owner[order], return_index=True)
+        vec = np.array(part.column(1).to_pylist(), np.float64).reshape(len(owner), -1)[order]
+        shared = spark.sparkContext.broadcast((names, starts, vec))
+
+        def matched(batches, shared=shared):
+            names, starts, vec = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows if len(names) else 0, FACES):
+                    own = batch.column(0).slice(at, FACES)
+                    x = np.array(batch.column(1).slice(at, FACES).to_pylist(), np.float64)
+                    score = np.maximum.reduceat(x @ vec.T, starts, axis=1)
+                    out = []
+                    for _ in range(min(2, len(names))):
+                        at_ = len(names) - 1 - score[:, ::-1].argmax(axis=1)
+                        best = score[np.arange(len(x)), at_]
+                        out.append(pa.RecordBatch.from_arrays([own, pa.array(names[at_]), pa.array(best)], names=["face", "person", "score"]))
+                        score[np.arange(len(x)), at_] = -np.inf
+                    yield from out
+
+        part = rows.mapInArrow(matched, "face long, person long, score double")
+        found = part if found is None else found.unionByName(part)
+    two = found.groupBy("face").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "person")), asc=False), 1, 2).alias("two"))
+    first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
+    out = two.select(F.col("face").alias(face), first["person"].alias(person), first["score"].alias("best"), (first["score"] - F.coalesce(second["score"], F.lit(0.0))).alias("margin"))
     return out.withColumn("tier", match_tier(F.col("best"), F.col("margin"), boost if boost is not None else F.lit(0.0)))
 
 
-MAX_PROTOTYPES = 200_000
+#: Prototypes of a broadcast block, and faces that a worker scores against it at a time.
+PROTOTYPES, FACES = 50_000, 200
 
 
 def mean_prototypes(faces: DataFrame, person: str, emb: str) -> DataFrame:

@@ -55,14 +55,14 @@ def _visible_assets(spark, sf_dir):
 
 @query(
     "visibility_reasons",
-    f"""WITH {_EVENTS}, m AS (SELECT s_suppkey % 10 AS group_id, s_suppkey AS member FROM supplier WHERE s_suppkey % 50 = 0),
+    f"""WITH {_EVENTS}, m AS (SELECT s_suppkey % 10 AS group_id, s_suppkey AS member FROM supplier),
     r AS (SELECT o_orderkey, m.member, 'contributor' AS reason FROM e JOIN m USING (group_id) WHERE list_contains(contributors, m.member)
           UNION SELECT o_orderkey, m.member, 'face' FROM e JOIN m USING (group_id) WHERE list_contains(persons, m.member)
           UNION SELECT o_orderkey, m.member, 'opened' FROM e JOIN m USING (group_id) WHERE public)
     SELECT o_orderkey, member, string_agg(reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY ALL""",
 )
 def _visibility_reasons(spark, sf_dir):
-    asked = table(spark, sf_dir, "supplier").where("s_suppkey % 50 = 0").select((F.col("s_suppkey") % 10).alias("group_id"), F.col("s_suppkey").alias("member"))
+    asked = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("group_id"), F.col("s_suppkey").alias("member"))
     out = vis.visibility_reasons(_events(spark, sf_dir), "o_orderkey", "group_id", {"contributor": "contributors", "face": "persons"}, "public", asked, "member")
     return out.select("o_orderkey", "member", F.array_join("reasons", ",").alias("reasons"))
 
@@ -359,14 +359,14 @@ def _trigram(spark, sf_dir):
 
 @query(
     "jaccard_id_match",
-    """WITH a AS (SELECT DISTINCT l_orderkey AS new_id, l_partkey FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS old_id, l_partkey FROM lineitem WHERE l_linenumber <= 4),
+    """WITH a AS (SELECT DISTINCT l_orderkey AS new_id, l_partkey FROM lineitem), b AS (SELECT DISTINCT l_orderkey AS old_id, CASE WHEN l_linenumber <= 4 THEN l_partkey ELSE -l_partkey END AS l_partkey FROM lineitem),
     n AS (SELECT new_id, old_id, count(*) AS n FROM a JOIN b USING (l_partkey) GROUP BY ALL), j AS (SELECT new_id, old_id, n / (na + nb - n) AS j FROM n JOIN (SELECT new_id, count(*) AS na FROM a GROUP BY 1) USING (new_id) JOIN (SELECT old_id, count(*) AS nb FROM b GROUP BY 1) USING (old_id))
     SELECT new_id, old_id, round(j, 6) AS jaccard FROM j WHERE j >= 0.5""",
 )
 def _jaccard_match(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     a = lines.select(F.col("l_orderkey").alias("new_id"), "l_partkey")
-    b = lines.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("old_id"), "l_partkey")
+    b = lines.select(F.col("l_orderkey").alias("old_id"), F.when(F.col("l_linenumber") <= 4, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("l_partkey"))
     return joins.set_matches(a, b, "new_id", "old_id", "l_partkey", 0.5).select("new_id", "old_id", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -381,12 +381,16 @@ def _grid(spark, sf_dir):
 
 @query(
     "export_nested",
-    """SELECT o_orderkey, CAST(to_json({'id': o_orderkey, 'items': list({'n': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey)}) AS VARCHAR) AS record FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
+    """SELECT o_orderkey, CAST(to_json({'id': o_orderkey, 'faces': coalesce(list({'n': l_linenumber, 'part': l_partkey} ORDER BY l_linenumber, l_partkey) FILTER (l_returnflag = 'R'), []),
+        'events': coalesce(list_sort(list(DISTINCT l_suppkey) FILTER (l_suppkey IS NOT NULL)), [])}) AS VARCHAR) AS record FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
 )
 def _export(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part")))).alias("items"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey")
-    return rows.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), "items")).alias("record"))
+    """One record per asset with its nested faces and events; an asset without any has empty arrays."""
+    face = F.when(F.col("l_returnflag") == "R", F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part")))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(face)).alias("faces"), F.array_sort(F.collect_set("l_suppkey")).alias("events"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left")
+    nested = [F.coalesce(c, F.array().cast(items.schema[c].dataType)).alias(c) for c in ("faces", "events")]
+    return rows.select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("id"), *nested)).alias("record"))
 
 
 @query("audit_page", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 9000 AND o_orderstatus = 'O' ORDER BY o_orderkey DESC LIMIT 51")
