@@ -41,6 +41,8 @@ def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, pe
     for n in range(blocks):
         part = (held if blocks == 1 else held.where(F.pmod(F.xxhash64("person"), F.lit(blocks)) == n)).toArrow()
         owner = np.array(part.column(0).to_pylist(), np.int64)
+        if not len(owner):
+            continue
         order = np.argsort(owner, kind="stable")
         names, starts = np.unique(owner[order], return_index=True)
         vec = np.array(part.column(1).to_pylist(), np.float64).reshape(len(owner), -1)[order]
@@ -49,7 +51,7 @@ def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, pe
         def matched(batches, shared=shared):
             names, starts, vec = shared.value
             for batch in batches:
-                for at in range(0, batch.num_rows if len(names) else 0, FACES):
+                for at in range(0, batch.num_rows, FACES):
                     own = batch.column(0).slice(at, FACES)
                     x = np.array(batch.column(1).slice(at, FACES).to_pylist(), np.float64)
                     score = np.maximum.reduceat(x @ vec.T, starts, axis=1)
@@ -63,6 +65,8 @@ def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, pe
 
         part = rows.mapInArrow(matched, "face long, person long, score double")
         found = part if found is None else found.unionByName(part)
+    if found is None:  # nobody is known
+        found = rows.select("face", F.lit(0).cast("long").alias("person"), F.lit(0.0).alias("score")).limit(0)
     two = found.groupBy("face").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "person")), asc=False), 1, 2).alias("two"))
     first, second = F.get("two", F.lit(0)), F.get("two", F.lit(1))
     out = two.select(F.col("face").alias(face), first["person"].alias(person), first["score"].alias("best"), (first["score"] - F.coalesce(second["score"], F.lit(0.0))).alias("margin"))
