@@ -14,8 +14,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker tokenises at a time.
-SLICE_BYTES = 3_000_000
+#: Bytes of text that a Python worker tokenises at a time, and words whose hashes it remembers.
+SLICE_BYTES, KNOWN_WORDS = 2_000_000, 150_000
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -45,7 +45,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < KNOWN_WORDS:
             self[word] = value
         return value
 

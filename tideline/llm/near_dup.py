@@ -201,8 +201,9 @@ def link_matrix(sets: list[np.ndarray]) -> np.ndarray:
         for i in range(n):
             inter[i, i:] += np.bitwise_count(words[i:] & words[i]).sum(axis=1, dtype=np.int32)
     inter = np.triu(inter, 1)
-    inter = inter + inter.T
-    return 100 * inter >= THRESHOLD * (size[:, None] + size[None, :] - inter)
+    inter += inter.T.copy()
+    size = size.astype(np.int32)  # a block's sizes times 100 stay below 2^31
+    return (100 + THRESHOLD) * inter >= THRESHOLD * (size[:, None] + size[None, :])
 
 
 def _verify(table: pa.Table) -> pa.Table:
