@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_US = 6 * 3600 * 1_000_000
-BLOCK = 20_000
+#: Rows of a block of running sums, and of one of frames: smaller, for more even tasks; its halo is below a hundredth.
+BLOCK, FRAME_BLOCK = 20_000, 2_000
 
 
 def with_row_index(items: DataFrame, group: str, us: str, tie: str, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -25,7 +26,7 @@ def with_row_index(items: DataFrame, group: str, us: str, tie: str, bucket_us: i
     return items.withColumn("_rank", rank).join(counts, [group, "_bucket"]).withColumn("ix", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_rank", "_before")
 
 
-def with_halo(items: DataFrame, group: str, before: int, after: int, size: int = BLOCK) -> DataFrame:
+def with_halo(items: DataFrame, group: str, before: int, after: int, size: int = FRAME_BLOCK) -> DataFrame:
     """Adds `block` and `own`: each row in its own block, and copies where a neighbouring block's frames reach it."""
     own, at = F.floor(F.col("ix") / size), F.col("ix") % size
     blocks = F.array(own, F.when(at < after, own - 1), F.when(at >= size - before, own + 1))

@@ -41,8 +41,9 @@ def gap_segments(items: DataFrame, group: str, us: str, tie: str, contributor: s
     )
 
 
-def _median(values: Column) -> Column:
-    v, n = F.array_sort(values), F.size(values)
+def _median(v: Column) -> Column:
+    """Of a sorted array; null for an empty one."""
+    n = F.size(v)
     return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
 
 
@@ -65,21 +66,24 @@ def boundaries(
     order = Window.partitionBy(group, "block").orderBy("ix")
     left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
     rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumns({"right_id": F.lead(tie).over(order), "right_us": F.lead(us).over(order)})
-    gaps = F.filter(F.collect_list("_gap").over(order.rowsBetween(-(WINDOW - 1), WINDOW - 1)), lambda g: g > 0)
-    rows = rows.withColumn("tau", F.lit(fixed_tau) if fixed_tau else clamp(TAU_TIMES * F.coalesce(_median(gaps), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
+    # What a term reads more than once is a column of its own, so that each frame is gathered, sorted and united once.
+    gaps = F.sort_array(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap"))).over(order.rowsBetween(-(WINDOW - 1), WINDOW - 1)))
+    rows = rows.withColumn("_gaps", gaps).withColumn("tau", F.lit(fixed_tau) if fixed_tau else clamp(TAU_TIMES * F.coalesce(_median(F.col("_gaps")), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
     minutes = F.col("_gap")
     terms = {"gap": gap_term(minutes, F.col("tau"))}
     terms["contrib"] = 1 - jaccard(F.collect_set(contributor).over(left), F.collect_set(contributor).over(right))
     if people:
-        a, b = (F.array_distinct(F.flatten(F.collect_list(people).over(w))) for w in (left, right))
+        met = {n: F.array_distinct(F.flatten(F.collect_list(people).over(w))) for n, w in (("_met_left", left), ("_met_right", right))}
+        rows = rows.withColumns(met)
+        a, b = F.col("_met_left"), F.col("_met_right")
         terms["people"] = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(1 - jaccard(a, b))
     if lat and lon:
         la, lo = F.radians(lat), F.radians(lon)
-        x, y, z = F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.when(F.col(lon).isNotNull(), F.sin(la))
+        rows = rows.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.when(F.col(lon).isNotNull(), F.sin(la))})
         sides = []
         for w in (left, right):
-            mx, my, mz = (F.avg(v).over(w) for v in (x, y, z))
-            sides.append((F.count(x).over(w), F.degrees(F.atan2(mz, F.sqrt(mx * mx + my * my))), F.degrees(F.atan2(my, mx))))
+            mx, my, mz = (F.avg(v).over(w) for v in ("_x", "_y", "_z"))
+            sides.append((F.count("_x").over(w), F.degrees(F.atan2(mz, F.sqrt(mx * mx + my * my))), F.degrees(F.atan2(my, mx))))
         (n1, lat1, lon1), (n2, lat2, lon2) = sides
         rows = rows.withColumn("_d", F.when((n1 >= 2) & (n2 >= 2), haversine_m(lat1, lon1, lat2, lon2)))
         d = F.col("_d")
