@@ -269,9 +269,15 @@ def segment(
         )
 
     rows = cut(plain_names(rows.join(before, [group, "ix"], "left"), "segment", "score_before", "reason_before"))
-    # Most segments need none of the splits: they are short, and of one contributor or without positions.
-    sizes = rows.groupBy("grp", "segment").agg(F.count("lat").alias("_gps"), F.count_distinct("contrib").alias("_who"))
-    flagged = rows.join(sizes.withColumn("_split", ((F.col("_gps") >= 2) & (F.col("_who") > 1)) | (F.col("_gps") >= SPLIT_MIN_GPS)).drop("_gps", "_who"), ["grp", "segment"])
+    # Most segments need none of the splits. No two positions are further apart than the degrees between the outermost
+    # ones come to at the equator: within one cluster's reach no places are apart, within the contributors' none are far.
+    placed = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("us", "lat", "lon"))
+    outer = [F.max(placed[n]) - F.min(placed[n]) for n in ("us", "lat", "lon")]
+    wide = 6_371_000.0 * F.hypot(F.radians(outer[1]), F.radians(outer[2]))
+    distant = (F.count_distinct("contrib") > 1) & (wide > CONTRIB_SPLIT_M)
+    apart = (F.count(placed) >= SPLIT_MIN_GPS) & (wide > SPLIT_EPS_M) & (outer[0] >= SPLIT_SPAN_MINUTES * 60e6)
+    sizes = rows.groupBy("grp", "segment").agg(F.coalesce(distant | apart, F.lit(False)).alias("_split"))
+    flagged = rows.join(sizes, ["grp", "segment"])
     plain = flagged.where("NOT _split").drop("_split").withColumns({"part": F.lit(0).cast("long"), "contiguous": F.lit(True), "untied": F.lit(False)})
     order = plain.columns
     split = flagged.where("_split").drop("_split").select(order[:-3])
@@ -458,6 +464,7 @@ def moments(
     Boundaries are scored within events, by gap, distance and looks, on a finer scale. The label is the tag (of
     array<struct<tag, score>>) that most items bear, if TAG_SHARE of them do; of equal tags the first by name.
     """
+    items = cut(with_row_index(items, event, us, tie))  # read twice
     b = boundaries(items, event, us, tie, contributor, None, lat, lon, emb, fixed_tau=MOMENT_TAU, scale_m=MOMENT_M)
     score = sum((w * F.col(n) for n, w in MOMENT_WEIGHTS.items()), F.lit(0.0)) / sum(MOMENT_WEIGHTS.values())
     rows = cut_segments(items, b.withColumn("cut", score >= MOMENT_CUT), event, us, tie).withColumnRenamed("segment", "moment").drop("ix")
