@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -89,17 +90,38 @@ def spark_hash(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
     return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise into the checkpoint folder that the cluster names; a temporary one only on a local master."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a temporary one only on a local master."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its hosts share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` as a Parquet table in the shared folder, of which later steps read the columns they need; and its path."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written` made and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str, row: str, nulls_last: bool = True) -> DataFrame:
     """`docs` with a unique `row` in the order of the ids: the id itself where each row has its own.
 

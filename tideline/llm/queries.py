@@ -14,6 +14,7 @@ from tideline.llm.quality import score_quality
 from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
 from tideline.llm.toxicity import score_toxicity
+from tideline.llm.vector_codes import compress_vectors
 
 QUERIES = {}
 ORACLES = {}
@@ -141,3 +142,8 @@ def op1(spark, sf_dir):
 @_query("op7_quality")
 def op7(spark, sf_dir):
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@_query("op11_vector_codes")
+def op11(spark, sf_dir):
+    return compress_vectors(_read(spark, sf_dir, "embeddings"))[0]
