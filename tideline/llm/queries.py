@@ -14,6 +14,7 @@ from tideline.llm.quality import score_quality
 from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
 from tideline.llm.toxicity import score_toxicity
+from tideline.llm.turn_repair import damaged, repair_turns
 from tideline.llm.vector_codes import compress_vectors
 
 QUERIES = {}
@@ -147,3 +148,9 @@ def op7(spark, sf_dir):
 @_query("op11_vector_codes")
 def op11(spark, sf_dir):
     return compress_vectors(_read(spark, sf_dir, "embeddings"))[0]
+
+
+@_query("op12_turn_repair")
+def op12(spark, sf_dir):
+    found = repair_turns(damaged(_read(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("conv", "conv_id").withColumnRenamed("digest", "repaired_sha256")
