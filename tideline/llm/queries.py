@@ -13,6 +13,7 @@ from tideline.llm.near_dup import near_dup
 from tideline.llm.quality import score_quality
 from tideline.llm.secrets_scan import scan_secrets
 from tideline.llm.substring_dedup import substring_dedup
+from tideline.llm.suffix_dedup import suffix_dedup
 from tideline.llm.toxicity import score_toxicity
 from tideline.llm.turn_repair import damaged, repair_turns
 from tideline.llm.vector_codes import compress_vectors
@@ -154,3 +155,8 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     found = repair_turns(damaged(_read(spark, sf_dir, "conversations")))
     return found.withColumnRenamed("conv", "conv_id").withColumnRenamed("digest", "repaired_sha256")
+
+
+@_query("op13_suffix_dedup")
+def op13(spark, sf_dir):
+    return suffix_dedup(_read(spark, sf_dir, "documents")).drop("kept")
