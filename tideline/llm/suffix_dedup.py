@@ -442,7 +442,7 @@ def _removed(key, docs: pa.Table, marks: pa.Table) -> pa.Table:
 def shared_keys(base: DataFrame, total: int) -> np.ndarray:
     """Keys that, by a sample of the texts, hold so many different passages that they are dealt in finer classes."""
     expected = total / 100
-    limit = max(500, min(20_000, expected / (20 * partitions(base.sparkSession))), expected / 2_000_000)
+    limit = max(100, min(20_000, expected / (20 * partitions(base.sparkSession))), expected / 2_000_000)
     share_of_all = min(1.0, max(SAMPLE_BYTES / max(1, total), SAMPLE_SHARE))
     sample = base.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < F.lit(int(share_of_all * 1_000_000) + 1)).select("row", "text")
     hot = np.zeros(0, np.uint64)
@@ -485,7 +485,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = cut_lineage(listed.groupBy("range").applyInArrow(_met(buckets), "bucket long, kind int, bytes long, block binary"))
     asked = met.where(F.col("kind") == ASK)
     size = asked.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, int(size / 1_000_000), min(4 * partitions(spark), int(size / 50_000)))
+    shards = max(1, int(size / 500_000), min(4 * partitions(spark), int(size / 50_000)))
     placed = base.select(F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket"), "row", "text", "id")
     cut = placed.groupBy("bucket").cogroup(asked.select("bucket", "block").groupBy("bucket")).applyInArrow(_cut(shards), "shard long, block binary, bytes binary")
     found = cut.groupBy("shard").applyInArrow(_searched(buckets), "bucket long, block binary")
