@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder that the cluster names (spark.checkpoint.dir); a temporary one only on a local master."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names (spark.checkpoint.dir); a temporary one only on a local master."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its hosts share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder. Unlike a checkpoint it keeps nothing of the plan that made it, constraints and
+    statistics included, which grow from round to round where a loop joins its own results."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def linked_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, group_id): group_id is the smallest node reachable. Labels jump along each other until none changes."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
