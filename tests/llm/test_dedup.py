@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tideline.llm import near_dup as nd
 from tideline.llm import substring_dedup as sd
@@ -222,8 +223,14 @@ def test_decontaminate(spark, docs, monkeypatch):
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = lambda: {r[0]: tuple(r)[1:] for r in decontaminate(docs, bench).collect()}
     assert got() == want
-    monkeypatch.setattr(dc, "BLOCK_BYTES", 200)  # several blocks of the benchmark
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 200)  # several blocks of the benchmark, in one worker
+    monkeypatch.setattr(dc, "HELD_BYTES", 3_000)
     assert got() == want
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 10)
+    plan = decontaminate(docs, bench)._jdf.queryExecution().toString().partition("Physical Plan")[2]
+    assert plan.count("MapInArrow") == 1
+    odd = docs.withColumn("a`b.c", F.lit(1))
+    assert decontaminate(odd, bench, carry=True).select("row.*").columns == odd.columns
     assert decontaminate(docs, bench, carry=True).select("row.*").columns == docs.columns
 
 

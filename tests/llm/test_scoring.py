@@ -14,7 +14,7 @@ from tideline.llm import mixing as mx
 from tideline.llm.html_extract import extract_main_text, main_text
 from tideline.llm.learn import BoostedTrees, Isotonic, sigmoid
 from tideline.llm.quality import WIDTH, LineField, line_features, score_quality
-from tideline.llm.secrets_scan import RULES, scan_secrets, trigram_query
+from tideline.llm.secrets_scan import RULES, Rule, scan_secrets, trigram_query
 from tideline.llm.toxicity import Lexicon, features_of, score_toxicity
 
 DATA = "/root/testdata/sf0.01"
@@ -179,6 +179,23 @@ def test_secrets(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secret_rules_of_any_number_and_alphabet(spark):
+    """More trigrams than a byte counts, and literals beyond ASCII, against plain expressions."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=7)) for _ in range(150)]
+    rules = RULES + tuple(Rule(f"k{i}", f"{w}=[0-9]+") for i, w in enumerate(words))
+    texts = [f"x {w}={i}, {rng.choice(words)}" for i, w in enumerate(words)] + ["ghp_" + "aB3" * 12, "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "no"]
+    got = {r["doc_id"]: r["spans"].split(",") for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules=rules).collect()}
+    for i, w in enumerate(words):
+        want = [f"k{k}:{m.start()}:{m.end()}" for k, v in enumerate(words) for m in re.finditer(f"{v}=[0-9]+", texts[i])]
+        assert [s for s in got[i] if s.startswith("k")] == want and want
+    named = {r.kind: re.compile(r.expression) for r in RULES}
+    for i, kind in ((150, "github"), (151, "jwt")):
+        own = [f"{kind}:{m.start()}:{m.end()}" for m in named[kind].finditer(texts[i])]
+        assert [s for s in got[i] if s.startswith(kind)] == own
+    assert any(s.startswith("github") for s in got[150]) and any(s.startswith("jwt") for s in got[151])
+
+
 def test_main_text(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Site</header><nav><ul><li><a href='/x'>Menu, with many words. And more, more.</a></li></ul></nav>"
@@ -415,6 +432,10 @@ def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
     rows = mix.collect()
     assert rows and all(r["mix_size"] == len((r["text"] or "").split()) and r["taken"] in (r["mix_size"], 2 * r["mix_size"]) for r in rows)
     assert len({r["size"] for r in rows}) == len(rows)  # each row once
+    clash = docs.withColumns({"_row": F.lit(1), "ROW": F.lit(2), "mix_size": F.lit(3), "taken": F.lit(4)})
+    names = stages["mixing sources"](spark, clash, folder).columns
+    assert names == [*clash.columns, "mix_mix_size", "source_size", "target", "mix_taken", "copies"]
+    assert stages["exact dedup"](spark, clash, folder).columns == clash.columns
     for stage in stages.values():
         assert stage(spark, docs.limit(0), folder).isEmpty()
 

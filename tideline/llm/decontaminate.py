@@ -10,17 +10,23 @@ each step moves every stretch's position by its own shift.
 from __future__ import annotations
 
 import hashlib
+import pickle
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import ids, share, slices, spans_of, texts
 
 WINDOW = 13
 #: Text of benchmark items that one search table is built from; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 2_000_000
+#: Texts that wait together while several tables pass over them.
+HELD_BYTES = 32_000_000
 #: Words that one lane of the search covers.
 LANE = 256
 TABLE_BITS = 20
@@ -135,39 +141,52 @@ def search(vocabulary: dict[bytes, int], patterns: list[Patterns], docs: list[by
         yield len(found), hit[s : s + len(found)], items.get(d, set())
 
 
-def _searcher(vocabulary, patterns, names):
-    """Rows (id, text, edges, items, n_words, ...) with what this block finds added: edges of runs of hit words, and items."""
+def _searcher(tables: list):
+    """Rows (id, n_words, n_hit, n_items, items_sha256, ...) of rows (id, text, ...), searched by each table in turn.
+
+    Up to HELD_BYTES of texts wait while the tables pass over them, one opened at a time; a single one stays open.
+    """
 
     def run(batches):
-        for batch in slices(batches):
-            counts, edges, items = [], [], []
-            before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for (n, hit, found), (old_edges, old_items) in zip(search(vocabulary, patterns, texts(batch)), before, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                counts.append(n)
-                edges.append((old_edges or []) + edge.tolist())
-                items.append((old_items or []) + [names[i] for i in sorted(found)])
-            columns = [batch.column(0), batch.column(1), pa.array(edges, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(counts, pa.int64()), *batch.columns[5:]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        def opened(table):
+            return pickle.loads(zstandard.ZstdDecompressor().decompress(table()))
+
+        only = opened(tables[0]) if len(tables) == 1 else None
+        for held in _held(batches, 1 if only else HELD_BYTES):
+            found = [[(0, [], set()) for _ in range(batch.num_rows)] for batch in held]
+            for table in tables:
+                vocabulary, patterns, names = only or opened(table)
+                for batch, own in zip(held, found, strict=True):
+                    for i, (n, hit, items) in enumerate(search(vocabulary, patterns, texts(batch))):
+                        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist() if hit.any() else []
+                        own[i] = (n, own[i][1] + edges, own[i][2] | {names[k] for k in items})
+            for batch, own in zip(held, found, strict=True):
+                n_hit, digest = [], []
+                for _, edges, items in own:
+                    total, reach = 0, 0
+                    for a, b in sorted(zip(edges[::2], edges[1::2], strict=True)):
+                        total += max(0, b - max(a, reach))
+                        reach = max(reach, b)
+                    n_hit.append(total)
+                    digest.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+                counts = [[n for n, _, _ in own], n_hit, [len(items) for _, _, items in own]]
+                columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "n_items", "items_sha256", *batch.schema.names[2:]])
 
     return run
 
 
-def _totals(batches):
-    """Joins what the blocks found: n_hit, n_items and the digest of the items."""
-    for batch in batches:
-        n_hit, n_items, digest = [], [], []
-        for e, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            total, reach = 0, 0
-            for a, b in sorted(zip(e[::2], e[1::2], strict=True)):
-                total += max(0, b - max(a, reach))
-                reach = max(reach, b)
-            names = sorted(set(items))
-            n_hit.append(total)
-            n_items.append(len(names))
-            digest.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        columns = [batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()), *batch.columns[4:]]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "n_hit", "n_items", "items_sha256", *batch.schema.names[4:]])
+def _held(batches, limit: int):
+    """Slices of rows, as many together as make up about `limit` bytes."""
+    held, n = [], 0
+    for batch in slices(batches):
+        held.append(batch)
+        n += batch.column(1).nbytes
+        if n >= limit:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
@@ -177,23 +196,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     and they are a twentieth of its words at least. Null and empty texts have no words and are clean; items without
     words have no window. Rows that repeat an id are judged each by itself. An empty benchmark or an empty table gives
     no hits or no rows. Texts of any length are read whole; other columns of any name are ignored or carried. The
-    benchmark is read in blocks of about BLOCK_BYTES of its text, each of which becomes one broadcast search table and
-    one pass over the documents; no block grows with the documents.
+    benchmark is read in blocks of about BLOCK_BYTES of its text, each of which becomes one broadcast search table. One
+    worker per task searches all of them in turn: it holds their packed forms, about four times the benchmark's text, and
+    opens one at a time. No block grows with the documents.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    more = {"row": F.struct(*(F.col(f"`{c}`") for c in docs.columns))} if carry else {}
-    found = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.expr("array()").cast("array<int>").alias("edges"),
-        F.expr("array()").cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), *(c.alias(n) for n, c in more.items()),
-    )
+    more = [F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    tables = []
     for k in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64(F.col("item").cast("string")), F.lit(blocks)) == k)
-        tables = share(spark, compile_items([(r["item"], r["text"]) for r in part.collect()]))
-        found = found.mapInArrow(lambda batches, t=tables: _searcher(*t())(batches), found.schema)
-    found = found.select("id", "n_words", "edges", "items", *more)
+        table = cloudpickle.dumps(compile_items([(r["item"], r["text"]) for r in part.collect()]))
+        tables.append(share(spark, zstandard.ZstdCompressor(level=3).compress(table)))
     shape = "id long, n_words long, n_hit long, n_items long, items_sha256 string"
-    out = found.mapInArrow(_totals, shape + (f", row {found.schema['row'].dataType.simpleString()}" if carry else ""))
+    schema = T.StructType([*T.StructType.fromDDL(shape).fields, *rows.schema.fields[2:]])
+    out = rows.mapInArrow(_searcher(tables), schema)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)

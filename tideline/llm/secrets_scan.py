@@ -69,6 +69,11 @@ def _spelled(strings: set[str]):
     return _or(*(_and(*(("gram", s[i : i + 3]) for i in range(len(s) - 2))) for s in sorted(strings)))
 
 
+def _lower(byte: int) -> str:
+    """A byte of an expression as one character, A to Z in lower case."""
+    return bytes([byte]).lower().decode("latin-1")
+
+
 def _analysed(items) -> tuple[set[str] | None, tuple]:
     """(the strings that a parsed expression spells out, if it does; the query that its matches satisfy)."""
     strings, query, exact = {""}, ALL, True
@@ -76,9 +81,9 @@ def _analysed(items) -> tuple[set[str] | None, tuple]:
         name = str(op)
         own, inner = None, ALL
         if name == "LITERAL":
-            own = {chr(arg).lower()}
+            own = {_lower(arg)}
         elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
-            own = {chr(c).lower() for _, c in arg}
+            own = {_lower(c) for _, c in arg}
             own = own if len(own) <= MOST_CHARS else None
         elif name == "SUBPATTERN":
             own, inner = _analysed(arg[-1])
@@ -107,8 +112,8 @@ def _analysed(items) -> tuple[set[str] | None, tuple]:
 
 
 def trigram_query(expression: str):
-    """Boolean query of lower-case trigrams that every match of the expression satisfies; ALL if there is none."""
-    strings, query = _analysed(re._parser.parse(expression))
+    """Boolean query of lower-case trigrams of UTF-8 bytes (as characters) that every match satisfies; ALL if there is none."""
+    strings, query = _analysed(re._parser.parse(expression.encode()))
     return query if strings is None else _and(query, _spelled(strings))
 
 
@@ -121,9 +126,9 @@ class TrigramIndex:
 
     def __init__(self, grams: list[str]):
         self.row = {g: i + 1 for i, g in enumerate(grams)}
-        self.number = np.zeros(1 << 24, np.uint8)
+        self.number = np.zeros(1 << 24, np.uint16 if len(grams) < 1 << 16 else np.uint32)
         for g, i in self.row.items():
-            a, b, c = g.encode()
+            a, b, c = g.encode("latin-1")
             self.number[a << 16 | b << 8 | c] = i
 
     def postings(self, docs: list[bytes]) -> np.ndarray:
@@ -186,7 +191,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     `spans` lists kind:start:end of every match by start, then order of rules; offsets are code points, ends exclusive.
     base_sha256 digests the spans of base rules. Null and empty texts have none. Rows that repeat count each by itself;
-    an empty table gives no rows; other columns are ignored.
+    an empty table gives no rows; texts of any length are read whole; other columns of any name are ignored. Rules may be
+    of any number and alphabet.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = base.schema["id"].dataType.simpleString()
