@@ -5,7 +5,8 @@ columns of `documents`; the last returns the mixed corpus: the documents it take
 counted) and how often.
 
 Stages judge rows, not ids: decisions are joined by a number of the row, which is the id where every row has its own.
-So rows that repeat an id, or have none, keep or lose their own text only. Further columns of any name pass through.
+So rows that repeat an id, or have none, keep or lose their own text only. Further columns of any name pass through;
+where one bears the name of a column that a stage adds, the new one gets a prefix. Texts of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from tideline.llm.mixing import mix_sources
 from tideline.llm.near_dup import near_dup
 from tideline.llm.quality import keep_good
 
-#: The column of row numbers, under a name that no table bears.
-ROW = "_pipeline_row"
+def _free(docs: DataFrame, name: str, prefix: str) -> str:
+    """`name`, with as many prefixes as it takes to differ from all columns of `docs`."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = prefix + name
+    return name
 
 
-def _without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, decisions: DataFrame, row: str) -> DataFrame:
     """The rows of numbered `docs` whose number isn't decided against."""
-    return docs.join(decisions.where("NOT kept").select(ROW), ROW, "left_anti").drop(ROW)
+    return docs.join(decisions.where("NOT kept").select(row), row, "left_anti").drop(row)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +49,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null texts count as empty. Rows without an id yield to those with one; of rows that repeat an id and text, or of
     several without an id, any one stays. An empty table stays empty.
     """
-    rows = numbered(docs, "doc_id", "text", ROW, nulls_last=False)
-    return _without(rows, exact_dedup(rows, ROW))
+    row = _free(docs, "row", "_")
+    rows = numbered(docs, "doc_id", "text", row, nulls_last=False)
+    return _without(rows, exact_dedup(rows, row), row)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +60,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without words, null texts too, have no near copies and stay. Rows without an id yield to those with one; of
     rows that tie any one stays. An empty table stays empty.
     """
-    rows = numbered(docs, "doc_id", "text", ROW)
-    return _without(rows, near_dup(rows, ROW))
+    row = _free(docs, "row", "_")
+    rows = numbered(docs, "doc_id", "text", row)
+    return _without(rows, near_dup(rows, row), row)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,16 +77,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: documents that the mix takes, with size, source_size, target, taken and copies.
 
-    Where `docs` has a column of such a name, the new one is prefixed with mix_. Null sources are a source; texts without
+    Where `docs` has a column of such a name, the new one is prefixed with mix_, as often as it takes. Null sources are a source; texts without
     words are never taken. Repeated rows are taken each by itself; an empty table stays empty.
     """
-    rows = numbered(docs, "doc_id", "text", ROW)
-    mix = mix_sources(rows.select(ROW, "text", F.array("source").alias("_members")), "_members", ROW)
+    row = _free(docs, "row", "_")
+    rows = numbered(docs, "doc_id", "text", row)
+    mix = mix_sources(rows.select(row, "text", F.array("source").alias("_members")), "_members", row)
     mix = mix.where("taken > 0").withColumn("copies", F.expr("taken div size"))
-    taken = {c.lower() for c in docs.columns}
     new = ("size", "source_size", "target", "taken", "copies")
-    mix = mix.select(ROW, *(F.col(c).alias(f"mix_{c}" if c in taken else c) for c in new))
-    return rows.join(mix, ROW).drop(ROW)
+    mix = mix.select(row, *(F.col(c).alias(_free(docs, c, "mix_")) for c in new))
+    return rows.join(mix, row).drop(row)
 
 
 STAGES = [
