@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from tideline.plans import catalog_queries, identity_queries, library_queries, media_queries, timeline_queries  # noqa: E402,F401
+from tideline.plans import catalog_queries, identity_queries, index_queries, library_queries, media_queries, timeline_queries  # noqa: E402,F401
