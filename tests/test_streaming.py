@@ -82,6 +82,23 @@ def test_late_data_widens_to_whole_events(spark, tmp_path):
     assert 0 in touched and max(i for i in touched if i < 500) < minutes.index(4_000)  # the whole event, but not all of history
 
 
+def test_history_is_filtered_before_any_shuffle(spark, tmp_path):
+    """Where history lies in files, a batch reads on what its spans touch, without an exchange; a batch may come twice."""
+    base = [(1, i, T0 + timedelta(minutes=5 * i)) for i in range(2_000)]
+    spark.createDataFrame(base, SCHEMA).select("user_id", "id", F.unix_micros("ts").alias("us")).write.parquet(str(tmp_path / "history"))
+    history = spark.read.parquet(str(tmp_path / "history"))
+    late = spark.createDataFrame([(1, 5_000, T0 + timedelta(hours=30))], SCHEMA).select("user_id", "id", F.unix_micros("ts").alias("us"))
+    near = inc.affected_items(history, late, "user_id", "us")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    assert near.count() == 145  # six hours each way
+    seen = []
+    stream = _stream(spark, tmp_path, [[(1, 5_000, T0 + timedelta(hours=30))], [(1, 5_000, T0 + timedelta(hours=30)), (1, 360, T0 + timedelta(minutes=1_800))]])
+    stream = stream.select("user_id", "id", F.unix_micros("ts").alias("us"))
+    _run(inc.resegment_on_arrival(stream, lambda: history, lambda df: df, lambda df, n: seen.append(sorted(r["id"] for r in df.collect())), "user_id", "us"), tmp_path)
+    assert [len(s) for s in seen] == [146, 146] and all(len(set(s)) == len(s) for s in seen)
+
+
 def test_refreshed_views_and_marks(spark):
     rows = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "k long, v long")
     got = inc.refreshed_views(spark.createDataFrame([(1,), (1,)], "k long"), rows, "k", lambda df: df.groupBy("k").agg(F.sum("v").alias("s")))

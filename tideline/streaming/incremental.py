@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tideline.operators.graph import cut
 
 PAD_HOURS = 6
+#: Spans of time that are sent to all tasks, so that history isn't shuffled to meet them.
+SPANS = 200_000
 
 
 def arrivals_once(stream: DataFrame, ts: str, keys: list[str], late: str = "1 day") -> DataFrame:
@@ -95,28 +97,32 @@ def affected_items(history: DataFrame, arrived: DataFrame, group: str, us: str,
     these or each other's spans cut (see widened_spans), so that no event is judged from its middle."""
     width = pad_hours * 3_600_000_000
     spans = widened_spans(arrived, events, group, us, pad_hours)
-    near = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
+    near = cut(spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))))
+    if near.limit(SPANS + 1).count() <= SPANS:  # then history is filtered where it lies; else it meets them by a shuffle
+        near = F.broadcast(near)
     rows = history.withColumn("_b", F.floor(F.col(us) / width))
     return rows.join(near, [group, "_b"]).where(F.col(us).between(F.col("lo"), F.col("hi"))).select(history.columns)
 
 
 def resegment_on_arrival(
     stream: DataFrame, history: Callable[[], DataFrame], segmenter: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], group: str, us: str,
-    events: Callable[[], DataFrame] | None = None,
+    events: Callable[[], DataFrame] | None = None, key: str = "id",
 ):
     """A writer that recomputes the segments that each micro-batch touches and hands them to `write` with the batch's number.
 
     history() gives the rows before the batch, best from a table partitioned or sorted by group and time, and events()
     the (group, start_us, end_us) of their events. `write` replaces the rows of these items; as it gets the batch's
-    number, a repeated batch can be told apart.
+    number, a repeated batch can be told apart. Of history only what lies in the touched spans is read on; rows that arrive
+    again, by `key`, replace those there, so that a batch may come twice. Rows of history that are equal stay apart.
     """
 
     def batch(arrived: DataFrame, number: int) -> None:
         arrived = arrived.persist()
         try:
             if not arrived.isEmpty():
-                rows = history().unionByName(arrived).dropDuplicates()
-                write(segmenter(affected_items(rows, arrived, group, us, events=events() if events else None)), number)
+                near = affected_items(history(), arrived, group, us, events=events() if events else None)
+                new = arrived.dropDuplicates([key])
+                write(segmenter(near.join(new.select(key), key, "left_anti").select(arrived.columns).unionByName(new)), number)
         finally:
             arrived.unpersist()
 
