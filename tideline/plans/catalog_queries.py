@@ -467,13 +467,15 @@ def _faces_vectors(spark, sf_dir):
 
 @query(
     "retag_due",
-    """WITH s AS (SELECT label, count(*) AS n, avg(embedding[1]) AS now, avg(embedding[1]) FILTER (vec_id % 3 > 0) AS was FROM embeddings GROUP BY label) SELECT label, n >= 40 AND coalesce(abs(now - was) > 0.1 * abs(was), true) AS due FROM s""",
+    """WITH s AS (SELECT label, count(*) AS n, count(*) FILTER (vec_id % 3 > 0) AS was FROM embeddings GROUP BY label) SELECT label, n, n >= 40 AND (was = 0 OR abs(n - was) > 0.1 * was) AS due FROM s""",
 )
 def _retag(spark, sf_dir):
-    """Tags are rewritten where a group has enough pictures and its statistics have drifted by more than a tenth."""
-    x = F.get("embedding", F.lit(0)).cast("double")
-    s = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.avg(x).alias("now"), F.avg(F.when(F.col("vec_id") % 3 > 0, x)).alias("was"))
-    return s.select("label", ((F.col("n") >= 40) & F.coalesce(F.abs(F.col("now") - F.col("was")) > 0.1 * F.abs("was"), F.lit(True))).alias("due"))
+    """Tags are rewritten where a group has enough pictures and has grown by more than a tenth since its statistics."""
+    from tideline.operators.tag_stats import retag_due
+
+    rows = table(spark, sf_dir, "embeddings")
+    now, before = (df.groupBy("label").agg(F.count("*").alias("n")) for df in (rows, rows.where("vec_id % 3 > 0")))
+    return retag_due(now, before, ["label"])
 
 
 @query(
