@@ -244,10 +244,43 @@ def test_ratios_alone_find_the_article(monkeypatch):
     from tideline.llm import html_extract as hx
 
     assert main_text(NEUTRAL) == MARKED
-    monkeypatch.setattr(hx, "path_ratios", lambda blocks: ({b[1]: 1.0 for b in blocks}, 0.5))
+    monkeypatch.setattr(hx, "path_ratios", lambda blocks, tree: ({b[1]: 1.0 for b in blocks}, 0.5))
     assert all(x in main_text(NEUTRAL) for x in ("Buy now", "Great deals", "I disagree"))  # constant ratios let all through
 
 
+def test_ratios_equal_sums_by_whole_paths():
+    """Against paths spelled out from the root, ratios by hand and a mean over each block's neighbours of its kind."""
+    from tideline.llm import html_extract as hx
+
+    blocks, tree = hx.blocks_of(NEUTRAL)
+    blocks = [b for b in blocks if not b[3]]
+    spelled = ["/".join(f"{tree.tag[n]}.{n}" if tree.tag[n] == "body" else tree.tag[n] for n in tree.line(b[2])) for b in blocks]
+    classes = {"".join(b[0].split())[:12]: p for b, p in zip(blocks, spelled, strict=True)}
+    assert classes["Home"].endswith("/div/div") and classes["Titleofit"].endswith("/div/h1") and classes["Oneitem"].endswith("/ul/li")
+    own = lambda i, f: [f(b) for b in blocks if b[1] == blocks[i][1]]
+    sizes = [sum(own(i, lambda b: len(b[0]) - b[4])) / len(own(i, len)) for i in range(len(blocks))]
+    marks = [sum(own(i, lambda b: sum(c in ".,;:!?" for c in b[0]) + 1)) / len(own(i, len)) for i in range(len(blocks))]
+    text = [tree.tag[b[2]] in hx.TEXTUAL for b in blocks]
+
+    def mean(x, i):
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(x) and text[j] == text[i]]
+        return (x[i] + sum(0.5 * x[j] for j in near)) / (1 + 0.5 * len(near))
+
+    fused = [(mean(sizes, i) * mean(marks, i)) ** 0.5 for i in range(len(blocks))]
+    ratio, _ = hx.path_ratios(blocks, tree)
+    for i, b in enumerate(blocks):
+        same = [x for x, c in zip(fused, blocks, strict=True) if c[1] == b[1]]
+        assert ratio[b[1]] == pytest.approx(sum(same) / len(same))
+
+
+def test_deep_pages_and_kept_elements():
+    began = time.perf_counter()
+    deep = main_text("<div>line, and more of it.".join([""] + ["x"] * 100_000))
+    assert deep.count("\n") > 99_000 and time.perf_counter() - began < 60
+    page = "<article><p>Let <math><mi>x</mi></math> be, as said, one of the many.</p><noscript>Plain, for all.</noscript><xmp><b>&amp;</b></xmp></article>"
+    assert main_text(page) == "Let x be, as said, one of the many.\nPlain, for all.\n<b>&amp;</b>"
+
+
 def test_ratios_on_pages_without_names():
     """The pages' own names and article tags taken away, most articles still come out exactly; and an advert goes."""
     import pyarrow.parquet as pq

@@ -26,7 +26,7 @@ from tideline.llm.common import slices
 
 #: HTML elements by how they lay out text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp".split())
+RAW = frozenset("script style textarea title iframe template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td "
@@ -55,40 +55,72 @@ PUNCTUATION = re.compile(r"[.,;:!?。，；：！？、]")
 SHARE, ENOUGH = 0.5, 20.0
 
 
-class Block:
-    __slots__ = ("text", "path", "nodes", "outside", "linked")
-
-    def __init__(self, path, nodes, outside):
-        self.text, self.path, self.nodes, self.outside, self.linked = [], path, nodes, outside, 0
+class Tree:
+    """The block elements of a page: parent, tag, and path of each, numbered in the order they open; 0 stands above all.
 
+    A path is a number, too: that of the path before it and the element's name. What holds of all elements around one is
+    passed down from number to number, so that depth costs nothing.
+    """
 
-def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
-    """(text, path, element numbers from the root, whether it is outside of content, characters of link text)."""
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number, outside, name in the path
-    out, now, count, links, at = [], None, 0, 0, 0
+    def __init__(self):
+        self.parent, self.tag, self.path, self.paths = [0], [""], [0], {}
+
+    def open(self, parent: int, tag: str, name: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[parent], name), len(self.paths) + 1))
+        return len(self.parent) - 1
+
+    def line(self, element: int) -> list[int]:
+        """The elements from the root down to this one."""
+        out = []
+        while element:
+            out.append(element)
+            element = self.parent[element]
+        return out[::-1]
+
+    def since(self, held) -> tuple[list[int], list[bool]]:
+        """For each element: the innermost of `held` that it is or lies in (or 0), and whether only text elements part it
+        from there."""
+        inner, plain = [0] * len(self.parent), [True] * len(self.parent)
+        for n in range(1, len(self.parent)):
+            if n in held:
+                inner[n] = n
+            else:
+                inner[n], plain[n] = inner[self.parent[n]], plain[self.parent[n]] and self.tag[n] in TEXTUAL
+        return inner, plain
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, int, int, bool, int]], Tree]:
+    """((text, path, element, whether it is outside of content, characters of link text) of each block, elements)."""
+    tree = Tree()
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, innermost block element, whether within outside, is a block
+    opened: dict[str, int] = {}
+    out, held, linked, links, at, place = [], [], 0, 0, 0, (0, False)
 
     def add(raw: str):
-        nonlocal now
-        if not raw or (now is None and raw.isspace()):
-            return
-        if now is None:
-            own = [s for s in stack if s[3]]
-            now = Block("/".join(s[3] for s in own), tuple(s[1] for s in own), any(s[2] for s in stack))
-        now.text.append(raw)
-        if links:
-            now.linked += len(raw)
+        nonlocal linked, place
+        if raw and (held or not raw.isspace()):
+            if not held:
+                place = stack[-1][1:3] if stack else (0, False)
+            held.append(raw)
+            if links:
+                linked += len(raw)
 
     def end():
-        nonlocal now
-        if now is not None:
-            text = " ".join(html.unescape("".join(now.text)).split())
+        nonlocal linked
+        if held:
+            text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((text, now.path, now.nodes, now.outside, now.linked))
-            now = None
+                out.append((text, tree.path[place[0]], *place, linked))
+            held.clear()
+            linked = 0
 
     def close(i: int):
         nonlocal links
-        links -= sum(s[0] == "a" for s in stack[i:])
+        for s in stack[i:]:
+            opened[s[0]] -= 1
+            links -= s[0] == "a"
         del stack[i:]
 
     while True:
@@ -101,6 +133,8 @@ def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
             continue
         tag = m[2].lower()
         if m[1]:
+            if not opened.get(tag):
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if any(s[3] for s in stack[i:]):
@@ -110,8 +144,12 @@ def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
                 if stack[i][3] and tag not in BLOCK:
                     break  # an inline end tag doesn't close blocks
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "xmp":
             done = re.compile(rf"</{re.escape(tag)}[\s/>]", re.IGNORECASE).search(page, at)
+            if tag == "xmp":  # text as it stands, markup and references too
+                end()
+                add(html.escape(page[at : done.start() if done else len(page)]))
+                end()
             at = page.find(">", done.start()) + 1 or len(page) if done else len(page)
             continue
         if tag == "br" or tag == "hr":
@@ -131,19 +169,17 @@ def blocks_of(page: str) -> list[tuple[str, str, tuple[int, ...], bool, int]]:
             continue
         attributes = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(m[3])} if m[3] else {}
         names = " ".join(v for k, v in attributes.items() if k in ("class", "id", "role"))
-        inner = any(s[0] == "article" for s in stack)  # an article in an article is a comment, where its name says so
+        inner = bool(opened.get("article"))  # an article in an article is a comment, where its name says so
         outside = tag in OUTSIDE and not (tag == "header" and inner)
         outside = outside or bool(names and (tag not in WHOLE or (tag == "article" and inner)) and NAMED.search(names))
         outside = outside or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(attributes.get("style", "")))
-        count += 1
-        stack.append((tag, count, outside, (f"{tag}.{names.split()[0].replace('/', '_')}" if names.strip() else tag) if block else ""))
+        parent, within = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        element = tree.open(parent, tag, f"{tag}.{names.split()[0].replace('/', '_')}" if names.strip() else tag) if block else parent
+        stack.append((tag, element, within or outside, block))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     end()
-    return out
-
-
-def tags_of(path: str) -> list[str]:
-    return [n.partition(".")[0] for n in path.split("/")] if path else []
+    return out, tree
 
 
 def smoothed(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -157,19 +193,19 @@ def smoothed(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return total / weight
 
 
-def path_ratios(found: list) -> tuple[dict[str, float], float]:
+def path_ratios(found: list, tree: Tree) -> tuple[dict[int, float], float]:
     """(fused ratio of each path, threshold) of a page's blocks."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for text, path, _, _, linked in found:
         s = sums.setdefault(path, [0.0, 0.0, 0.0])
         s[0] += max(0, len(text) - linked)
         s[1] += len(PUNCTUATION.findall(text)) + 1
         s[2] += 1
-    kind = np.array([(tags_of(b[1]) or [""])[-1] in TEXTUAL for b in found])
+    kind = np.array([tree.tag[b[2]] in TEXTUAL for b in found])
     length = smoothed(np.array([sums[b[1]][0] / sums[b[1]][2] for b in found]), kind)
     marks = smoothed(np.array([sums[b[1]][1] / sums[b[1]][2] for b in found]), kind)
     fused = np.sqrt(length * marks)
-    of: dict[str, list[float]] = {}
+    of: dict[int, list[float]] = {}
     for b, x in zip(found, fused.tolist(), strict=True):
         of.setdefault(b[1], []).append(x)
     order = np.argsort(fused, kind="stable")
@@ -178,58 +214,50 @@ def path_ratios(found: list) -> tuple[dict[str, float], float]:
     return {p: sum(x) / len(x) for p, x in of.items()}, min(SHARE * middle, ENOUGH)
 
 
-def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Elements from the root that two lines of them have in common."""
-    n = 0
-    while n < len(a) and n < len(b) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def _article(found: list, line: tuple[int, ...], tags: list[str], depth: int) -> int:
+def _article(found: list, tree: Tree, line: list[int], depth: int) -> int:
     """Depth in `line`, at most `depth`, of the article around the element at `depth`: the outermost `article`, or else
     `main`, or else the highest element in which unlinked text stands outside of containers."""
     for tag in ("article", "main"):
-        if tag in tags[:depth]:
-            return tags.index(tag) + 1
-    top = depth
-    for text, path, nodes, _, linked in found:
-        at = _shared(nodes, line[:depth])
-        if 0 < at < top and 2 * linked <= len(text) and all(t in TEXTUAL for t in tags_of(path)[at:]):
-            top = at
-    return top
+        for at, n in enumerate(line[:depth]):
+            if tree.tag[n] == tag:
+                return at + 1
+    place = {n: at + 1 for at, n in enumerate(line[:depth])}
+    inner, plain = tree.since(place)
+    return min((place[inner[n]] for text, _, n, _, linked in found if inner[n] and plain[n] and 2 * linked <= len(text)), default=depth)
 
 
 def main_text(page: str | None) -> str:
     """Content blocks of a page, one per line."""
-    found = [b for b in blocks_of(page or "") if not b[3]]
+    blocks, tree = blocks_of(page or "")
+    found = [b for b in blocks if not b[3]]
     if not found:
         return ""
-    ratio, least = path_ratios(found)
+    ratio, least = path_ratios(found, tree)
     chosen = {p for p, x in ratio.items() if x >= least and x > 0} or {max(ratio, key=ratio.get)}
     # Down from the root, as long as one child holds most of the chosen text.
-    weight: dict[int, int] = {}
-    for text, path, nodes, _, _ in found:
+    weight = [0] * len(tree.parent)
+    for text, path, n, _, _ in found:
         if path in chosen:
-            for n in nodes:
-                weight[n] = weight.get(n, 0) + len(text)
-    whole = sum(len(b[0]) for b in found if b[1] in chosen)
+            weight[n] += len(text)
+    for n in range(len(weight) - 1, 0, -1):
+        weight[tree.parent[n]] += weight[n]
     lead = max((b for b in found if b[1] in chosen), key=lambda b: len(b[0]))
-    tags = tags_of(lead[1])
-    depth = sum(5 * weight[n] >= 4 * whole for n in lead[2])
-    while depth and tags[depth - 1] in TEXTUAL:
+    line = tree.line(lead[2])
+    depth = sum(5 * weight[n] >= 4 * weight[0] for n in line)
+    while depth and tree.tag[line[depth - 1]] in TEXTUAL:
         depth -= 1  # a single paragraph is not the whole article
-    top = _article(found, lead[2], tags, depth)
-    outer = lead[2][top - 1] if top else None
-    first = next(i for i, b in enumerate(found) if b[1] in chosen and (outer is None or outer in b[2]))
+    top = _article(found, tree, line, depth)
+    outer = line[top - 1] if top else 0
+    inside = tree.since({outer})[0] if outer else [0] * len(tree.parent)
+    _, plain = tree.since({n for n, w in enumerate(weight) if n and w})  # elements around it that hold chosen text
+    within = [outer == inside[b[2]] for b in found]
+    first = next(i for i, b in enumerate(found) if b[1] in chosen and within[i])
     kept = []
-    for i, (text, path, nodes, _, linked) in enumerate(found):
-        if outer is not None and outer not in nodes:
+    for i, (text, path, n, _, linked) in enumerate(found):
+        if not within[i]:
             continue
-        own = tags_of(path)
-        held = sum(n in weight for n in nodes)  # elements around it that hold chosen text
-        loose = all(t in TEXTUAL for t in own[held:]) and 2 * linked <= len(text)
-        title = bool(own) and own[-1] in HEADINGS and i < first
+        loose = plain[n] and 2 * linked <= len(text)
+        title = tree.tag[n] in HEADINGS and i < first
         if path in chosen or loose or title:
             kept.append(text)
     return "\n".join(kept)
@@ -247,8 +275,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str,
     """Columns `keep`, text and n_chars (code points) per row of `pages`; the text is empty if there is none.
 
     Null and empty pages give empty texts, and so does markup without content. Unclosed and stray tags are read as a
-    browser would in the main. Pages of any length are read whole, each by itself, as are rows that repeat; an empty
-    table gives no rows. Other columns are ignored; of a kept column named text or n_chars the result's stands last.
+    browser would in the main. Pages of any length and depth are read whole, each by itself, in time linear in both, as are
+    rows that repeat; an empty table gives no rows. Formulas, `noscript` and `xmp` are text like any other. Other columns are ignored; of a kept column named text or n_chars the result's stands last.
     """
     base = pages.select(F.struct(*keep).alias("row"), F.col(html_col).alias("html"))
     shape = f"row {base.schema['row'].dataType.simpleString()}, text string, n_chars long"
