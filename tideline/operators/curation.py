@@ -69,15 +69,20 @@ def counted(rows: DataFrame, keys: list[str], of: str, n: str = "n") -> DataFram
 def event_confidence(members: DataFrame, event: str, us: str, tie: str, confidence: str, splits: Column | None = None, edge: int = 3) -> DataFrame:
     """(event, confidence): the mean of the members', the first and last `edge` ones counting twice, less 0.1 per split.
 
-    Ends are found by aggregates of the smallest and greatest places, not by an order of the whole event.
+    Each end is a window of its own whose rank is bounded, so that every partition keeps an event's `edge` rows before any
+    shuffle; rows of short events that are at both ends count twice only. (us, tie) is unique within an event.
     """
     place = F.struct(us, tie)
-    ends = members.groupBy(event).agg(F.count("*").alias("_n"), F.sum(confidence).alias("_sum"), *([F.max(splits).alias("_splits")] if splits is not None else [F.lit(0).alias("_splits")]))
-    asc, desc = (F.row_number().over(Window.partitionBy(event).orderBy(o)) for o in (place.asc(), place.desc()))
-    near = members.withColumns({"_a": asc, "_b": desc}).where((F.col("_a") <= edge) | (F.col("_b") <= edge))
-    more = near.groupBy(event).agg(F.sum(confidence).alias("_more"), F.count("*").alias("_m"))
+    split = F.max(splits) if splits is not None else F.lit(0)
+    whole = members.groupBy(event).agg(F.count("*").alias("_n"), F.sum(confidence).alias("_sum"), split.alias("_splits"))
+    ends = None
+    for order in (place.asc(), place.desc()):
+        rank = F.row_number().over(Window.partitionBy(event).orderBy(order))
+        end = members.select(event, us, tie, F.col(confidence).alias("_c")).withColumn("_r", rank).where(F.col("_r") <= edge).drop("_r")
+        ends = end if ends is None else ends.unionByName(end)
+    more = ends.groupBy(event, us, tie).agg(F.first("_c").alias("_c")).groupBy(event).agg(F.sum("_c").alias("_more"), F.count("*").alias("_m"))
     value = (F.col("_sum") + F.col("_more")) / (F.col("_n") + F.col("_m")) - 0.1 * F.col("_splits")
-    return ends.join(more, event).select(event, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4).alias("confidence"))
+    return whole.join(more, event).select(event, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 4).alias("confidence"))
 
 
 def tagged(tags: DataFrame, add: DataFrame, remove: DataFrame, known: DataFrame, keys: list[str], person: str) -> DataFrame:
