@@ -31,21 +31,23 @@ def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, pe
     """(face, person, best, margin, tier): greatest cosine with any prototype of a person, and its lead over the next person.
 
     Ties go to the higher person; a single person leads by its whole score. Prototypes are broadcast in blocks of whole
-    persons, about PROTOTYPES at a time; each block leaves two persons per face, and the best two of all blocks remain.
+    persons, about PROTOTYPES and PROTOTYPE_BYTES at most at a time; each block leaves two persons per face, and the best two
+    of all blocks remain.
     """
     spark = faces.sparkSession
     held = prototypes.select(F.col(person).cast("long").alias("person"), "proto")
-    blocks = max(1, -(-held.count() // PROTOTYPES))
+    count, width = held.agg(F.count("*"), F.coalesce(F.max(F.size("proto")), F.lit(0))).first()
+    blocks = max(1, -(-count // PROTOTYPES), -(-count * width * 8 // PROTOTYPE_BYTES))
     rows = faces.select(F.col(face).cast("long").alias("face"), emb)
     found = None
     for n in range(blocks):
         part = (held if blocks == 1 else held.where(F.pmod(F.xxhash64("person"), F.lit(blocks)) == n)).toArrow()
-        owner = np.array(part.column(0).to_pylist(), np.int64)
+        owner = part.column(0).to_numpy().astype(np.int64)
         if not len(owner):
             continue
         order = np.argsort(owner, kind="stable")
         names, starts = np.unique(owner[order], return_index=True)
-        vec = np.array(part.column(1).to_pylist(), np.float64).reshape(len(owner), -1)[order]
+        vec = part.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(owner), -1)[order]
         shared = spark.sparkContext.broadcast((names, starts, vec))
 
         def matched(batches, shared=shared):
@@ -73,8 +75,8 @@ def match_faces(faces: DataFrame, prototypes: DataFrame, face: str, emb: str, pe
     return out.withColumn("tier", match_tier(F.col("best"), F.col("margin"), boost if boost is not None else F.lit(0.0)))
 
 
-#: Prototypes of a broadcast block, and faces that a worker scores against it at a time.
-PROTOTYPES, FACES = 50_000, 200
+#: Prototypes and bytes of a broadcast block, and faces that a worker scores against it at a time.
+PROTOTYPES, PROTOTYPE_BYTES, FACES = 50_000, 64_000_000, 200
 
 
 def mean_prototypes(faces: DataFrame, person: str, emb: str) -> DataFrame:
