@@ -198,3 +198,31 @@ def chapters(events: DataFrame, group: str, start: str, end: str, tie: str, city
     rows = rows.withColumn("_broken", broken).withColumn("_off", F.sum("_broken").over(run.rowsBetween(Window.unboundedPreceding, 0))).where("_off = 0")
     out = rows.groupBy(group, "_run").agg(F.first("_where").alias("city"), F.min(start).alias("from_us"), F.max(end).alias("to_us"), F.count("*").alias("n"), F.max(F.col(end) - F.col(start)).alias("_long"))
     return out.where((F.col("n") >= 2) | (F.col("_long") > 20 * 3_600_000_000)).drop("_run", "_long")
+
+
+def quiet(interest: Column, least: float = 0.3) -> Column:
+    """Whether an event is quiet: of known, low interest. Unknown interest isn't."""
+    return F.coalesce(interest < least, F.lit(False))
+
+
+def opened(public: Column, contributed: Column, wanted: Column) -> Column:
+    """Whether an event is open after someone asked for it: only those who contributed change anything."""
+    return F.when(F.coalesce(contributed, F.lit(False)), wanted).otherwise(public)
+
+
+def renamed(rows: DataFrame, asked: DataFrame, key: str, name: str, allowed: Column) -> DataFrame:
+    """Rows under the names asked for (key, name; one per key), where `allowed` holds of the row."""
+    both = rows.join(asked.select(key, F.col(name).alias("_name")), key, "left")
+    return both.withColumn(name, F.when(F.coalesce(allowed, F.lit(False)), F.coalesce("_name", name)).otherwise(F.col(name))).select(rows.columns)
+
+
+def clusterable_faces(faces: DataFrame, flags: Column, unnamed: Column, against: DataFrame, owner: str) -> DataFrame:
+    """Faces without a person that are good enough to cluster, but for those of owners (`against`) who don't agree."""
+    poor = F.arrays_overlap(flags, F.array(F.lit("too_small"), F.lit("low_confidence")))
+    return faces.where(unnamed & ~F.coalesce(poor, F.lit(False))).join(against.select(owner), owner, "left_anti")
+
+
+def participant_counts(items: DataFrame, event: str, item: str, persons: str) -> DataFrame:
+    """(event, person, n): how many of an event's items show each person, an item counting once."""
+    once = items.select(event, item, F.explode(persons).alias("person")).distinct()
+    return once.groupBy(event, "person").agg(F.count("*").alias("n"))

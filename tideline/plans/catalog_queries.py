@@ -245,8 +245,18 @@ def _fan_out(spark, sf_dir):
 
 @query("audit_trail", "SELECT o_orderkey AS target, o_custkey AS actor, 'event.view' AS action FROM orders UNION ALL SELECT c_custkey, c_custkey, 'member.join' FROM customer")
 def _audit_trail(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("actor"), F.lit("event.view").alias("action"))
-    return held.unionByName(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.col("c_custkey").alias("actor"), F.lit("member.join").alias("action")))
+    """An audit log to which two batches are appended, each handed in twice and kept once."""
+    import uuid
+
+    from tideline.operators.graph import shared_folder
+    from tideline.sources.committed import CommittedTable
+
+    seen = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("actor"), F.lit("event.view").alias("action"))
+    joined = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target"), F.col("c_custkey").alias("actor"), F.lit("member.join").alias("action"))
+    log = CommittedTable(spark, f"{shared_folder(spark)}/{uuid.uuid4()}", seen.schema, ["target"], buckets=8)
+    for batch, rows in (0, seen), (1, joined), (0, seen), (1, joined):
+        log.append(rows, batch)
+    return log.read()
 
 
 @query("cursors", """SELECT o_orderkey, rtrim(replace(replace(to_base64(encode('{"t":"' || strftime(o_orderdate, '%Y-%m-%d') || '?","id":' || o_orderkey || '}')), '+', '-'), '/', '_'), '=') AS cursor, o_orderkey AS back FROM orders""")
@@ -271,7 +281,7 @@ def _policies(spark, sf_dir):
 @query("quiet_filter", "WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice / 500000 END AS i FROM orders) SELECT o_orderkey, coalesce(i >= 0.3, true) AS shown, coalesce(i < 0.3, false) AS quiet FROM r")
 def _quiet(spark, sf_dir):
     """Quiet events are those of known, low interest; hide leaves the others, only shows them."""
-    quiet = F.coalesce(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500_000) < 0.3, F.lit(False))
+    quiet = cu.quiet(F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 500_000))
     return table(spark, sf_dir, "orders").select("o_orderkey", (~quiet).alias("shown"), quiet.alias("quiet"))
 
 
@@ -308,9 +318,9 @@ def _person_by_name(spark, sf_dir):
 def _unknown_faces(spark, sf_dir):
     """Faces without a person that are good enough to cluster, of owners who agree."""
     flags = F.array(F.when(F.col("l_discount") < 0.02, "too_small").otherwise(""), F.when(F.col("l_tax") < 0.02, "low_confidence").otherwise(""))
-    rows = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "N") & ~F.arrays_overlap(flags, F.array(F.lit("too_small"), F.lit("low_confidence"))))
     against = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return rows.join(against, "l_suppkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    rows = cu.clusterable_faces(table(spark, sf_dir, "lineitem"), flags, F.col("l_returnflag") == "N", against, "l_suppkey")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("regraded", "WITH u AS (SELECT p_partkey, p_size, CASE WHEN p_size % 3 = 0 AND p_type IN ('ECONOMY', 'SMALL') THEN 'camera' ELSE 'unknown' END AS origin FROM part) SELECT p_partkey, origin, CASE WHEN origin = 'camera' THEN 1 ELSE 0 END AS version FROM u")
@@ -486,7 +496,7 @@ def _opened(spark, sf_dir):
     """A contributor opens live events and closes the others; anyone else changes nothing."""
     own = table(spark, sf_dir, "lineitem").where("l_suppkey = 7").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(True).alias("own")).distinct()
     rows = table(spark, sf_dir, "orders").join(own, "o_orderkey", "left")
-    return rows.select("o_orderkey", F.when(F.col("own"), F.col("o_orderstatus") != "F").otherwise(F.col("o_orderpriority") == "1-URGENT").alias("public"))
+    return rows.select("o_orderkey", cu.opened(F.col("o_orderpriority") == "1-URGENT", F.col("own"), F.col("o_orderstatus") != "F").alias("public"))
 
 
 @query(
@@ -537,9 +547,8 @@ def _merged_persons(spark, sf_dir):
 def _renamed(spark, sf_dir):
     """New names hold for places of the user's own group only."""
     rows = table(spark, sf_dir, "customer")
-    asked = rows.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("Place "), F.col("c_custkey").cast("string")).alias("_name"))
-    rows = rows.join(asked, "c_custkey", "left")
-    return rows.select("c_custkey", F.when(F.col("c_nationkey") == 3, F.coalesce("_name", "c_name")).otherwise(F.col("c_name")).alias("name"))
+    asked = rows.where("c_custkey % 2 = 0").select("c_custkey", F.concat(F.lit("Place "), F.col("c_custkey").cast("string")).alias("c_name"))
+    return cu.renamed(rows, asked, "c_custkey", "c_name", F.col("c_nationkey") == 3).select("c_custkey", F.col("c_name").alias("name"))
 
 
 @query(
@@ -557,8 +566,8 @@ def _purge(spark, sf_dir):
     "SELECT l_orderkey, l_suppkey % 100 AS person, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY ALL",
 )
 def _participant_counts(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.collect_set(F.col("l_suppkey") % 100).alias("persons"))
-    return items.select("l_orderkey", F.explode("persons").alias("person")).groupBy("l_orderkey", "person").agg(F.count("*").alias("n"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.array(F.col("l_suppkey") % 100).alias("persons"))
+    return cu.participant_counts(items, "l_orderkey", "l_partkey", "persons")
 
 
 @query(
