@@ -154,7 +154,7 @@ def test_visibility_without_viewer_person_and_null_sets(spark):
 
 
 def test_density_clusters_match_brute_force():
-    from tideline.operators.segment import density_clusters
+    from tideline.operators.splits import density_clusters
 
     rng = np.random.default_rng(3)
     for n, core in ((0, 3), (1, 1), (200, 3), (200, 5)):

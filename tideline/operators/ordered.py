@@ -45,3 +45,19 @@ def running_sum(items: DataFrame, group: str, value: str, out: str, size: int =
     inside = Window.partitionBy(group, "_block").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     out_col = F.col("_before") + F.sum(value).over(inside)
     return items.join(sums, [group, "_block"]).withColumn(out, out_col).drop("_block", "_before")
+
+
+def carried(items: DataFrame, group: str, value: str, size: int = BLOCK) -> DataFrame:
+    """Adds `before` and `after`: the value of the row itself, or else the last one before and the next one after it that
+    isn't null; needs `ix`."""
+    items = items.withColumn("_block", F.floor(F.col("ix") / size))
+    known = F.when(F.col(value).isNotNull(), F.col("ix"))
+    ends = items.groupBy(group, "_block").agg(F.max_by(value, known).alias("_end"), F.min_by(value, known).alias("_start"))
+    others = (Window.unboundedPreceding, -1)
+    prev = F.last("_end", ignorenulls=True).over(Window.partitionBy(group).orderBy("_block").rowsBetween(*others))
+    nxt = F.last("_start", ignorenulls=True).over(Window.partitionBy(group).orderBy(F.desc("_block")).rowsBetween(*others))
+    ends = ends.select(group, "_block", prev.alias("_prev"), nxt.alias("_next"))
+    rows = items.join(ends, [group, "_block"])
+    upto = (Window.unboundedPreceding, 0)
+    inside = [F.last(value, ignorenulls=True).over(Window.partitionBy(group, "_block").orderBy(o).rowsBetween(*upto)) for o in (F.asc("ix"), F.desc("ix"))]
+    return rows.withColumns({"before": F.coalesce(inside[0], "_prev"), "after": F.coalesce(inside[1], "_next")}).drop("_block", "_prev", "_next")

@@ -19,12 +19,12 @@ from tideline.functions.columns import centroid, haversine_m, tier
 from tideline.operators.graph import cut
 from tideline.operators.joins import mutual_best, set_matches
 from tideline.operators.ordered import running_sum, with_halo, with_row_index
+from tideline.operators.splits import CONTRIB_SPLIT_M, SPLIT_EPS_M, SPLIT_MIN_GPS, SPLIT_ROWS, SPLIT_SPAN_MINUTES, split_by_cells, split_one
 from tideline.operators.timeline import CUT, boundaries, cut_segments, membership, participants
 
-#: Hours of an event at most; items and minutes below which it is loose; metres and spans of splits; the
+#: Hours of an event at most; items and minutes below which it is loose; the
 #: band of scores, minutes and overlap of people within which neighbours merge.
 MAX_HOURS, MIN_ITEMS, MIN_MINUTES = 18.0, 3, 10.0
-SPLIT_EPS_M, SPLIT_CORE, SPLIT_SPAN_MINUTES, SPLIT_MIN_GPS, CONTRIB_SPLIT_M = 500.0, 3, 30.0, 6, 5000.0
 MERGE_LOW, MERGE_HIGH, MERGE_MINUTES, SAME_PLACE_M = 0.5, 0.6, 90.0, 300.0
 #: Anchors of items whose time can't be trusted; least overlap for an id to go on; confidence of the two upper tiers;
 #: moments: minutes, metres, threshold, weights, and the score and share of items that a label's tag needs.
@@ -114,129 +114,6 @@ def without_overlong(bounds: DataFrame, group: str) -> DataFrame:
     return near.groupBy(group, "_slab").applyInArrow(lambda t: _overlong(t, group), shape)
 
 
-def density_clusters(xy: np.ndarray, eps: float, core: int) -> np.ndarray:
-    """Cluster of each point, -1 for noise: points with `core` points within eps are dense, and dense points within eps
-    of each other are of one cluster, as are others within eps of a dense one (of several clusters the first).
-
-    Points of a grid cell whose diagonal is eps are all near each other, so a full cell is dense as a whole, and cells
-    rather than points are joined.
-    """
-    if not len(xy):
-        return np.zeros(0, np.int64)
-    grid = np.floor(xy / (eps / math.sqrt(2) * (1 - 1e-12))).astype(np.int64)
-    cells, of = np.unique(grid, axis=0, return_inverse=True)
-    of = of.ravel()
-    order = np.argsort(of, kind="stable")
-    members = np.split(order, np.cumsum(np.bincount(of, minlength=len(cells)))[:-1])
-    number = {tuple(c): i for i, c in enumerate(cells.tolist())}
-    around = [[number[k] for dx in range(-2, 3) for dy in range(-2, 3) if (k := (x + dx, y + dy)) in number] for x, y in cells.tolist()]
-
-    def near(i: int, others: np.ndarray) -> np.ndarray:
-        return others[((xy[others] - xy[i]) ** 2).sum(axis=1) <= eps * eps]
-
-    dense = np.zeros(len(xy), bool)
-    for c, own in enumerate(members):
-        if len(own) >= core:
-            dense[own] = True
-        else:
-            others = np.concatenate([members[k] for k in around[c]])
-            dense[own] = [len(near(i, others)) >= core for i in own]
-    cores = [own[dense[own]] for own in members]
-    parent = list(range(len(cells)))
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    for c, own in enumerate(cores):
-        for k in around[c] if len(own) else ():
-            if k > c and len(cores[k]) and root(k) != root(c) and any(len(near(i, cores[k])) for i in own):
-                parent[max(root(k), root(c))] = min(root(k), root(c))
-    first: dict[int, int] = {}
-    for i in np.flatnonzero(dense).tolist():  # clusters are numbered by their first dense point
-        first.setdefault(root(of[i]), len(first))
-    label = np.full(len(xy), -1)
-    for c, own in enumerate(cores):
-        if len(own):
-            label[own] = first[root(c)]
-    for i in np.flatnonzero(~dense).tolist():
-        others = np.concatenate([cores[k] for k in around[of[i]]])
-        reached = near(i, others)
-        if len(reached):
-            label[i] = label[reached].min()
-    return label
-
-
-def _plane(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-    la, lo = np.radians(lat), np.radians(lon)
-    return 6_371_000.0 * np.column_stack([(lo - lo.mean()) * np.cos(la.mean()), la - la.mean()])
-
-
-def concurrent_parts(us: np.ndarray, lat: np.ndarray, lon: np.ndarray, contrib: np.ndarray, people: list) -> tuple[np.ndarray, np.ndarray]:
-    """Part of each item: 0 for all, unless places that are apart have long spans that overlap in time; and which items
-    nothing ties to their part."""
-    n = len(us)
-    gps = np.flatnonzero(~np.isnan(lat) & ~np.isnan(lon))
-    none = np.zeros(n, np.int64), np.zeros(n, bool)
-    if len(gps) < SPLIT_MIN_GPS:
-        return none
-    label = density_clusters(_plane(lat[gps], lon[gps]), SPLIT_EPS_M, SPLIT_CORE)
-    spans = {k: (us[gps[label == k]].min(), us[gps[label == k]].max()) for k in range(label.max() + 1)}
-    good = [k for k, (a, b) in spans.items() if b - a >= SPLIT_SPAN_MINUTES * 60e6]
-    if not any(spans[a][0] <= spans[b][1] and spans[b][0] <= spans[a][1] for i, a in enumerate(good) for b in good[i + 1 :]):
-        return none
-    of = np.full(n, -1)
-    for k in good:
-        of[gps[label == k]] = k
-    known = np.flatnonzero(of >= 0)
-    largest = max(good, key=lambda k: int((of == k).sum()))
-    met = {k: {x for i in np.flatnonzero(of == k) for x in people[i] or ()} for k in good}
-    untied = np.zeros(n, bool)
-    for i in np.flatnonzero(of < 0):  # the contributor's nearest placed item, else the most people met, else the largest place
-        own = known[contrib[known] == contrib[i]]
-        if len(own):
-            of[i] = of[own[np.abs(us[own] - us[i]).argmin()]]
-            continue
-        seen = set(people[i] or ())
-        best = max(good, key=lambda k: len(met[k] & seen))
-        untied[i] = not met[best] & seen
-        of[i] = largest if untied[i] else best
-    return np.searchsorted(np.array(sorted(good)), of), untied
-
-
-def contributor_parts(lat: np.ndarray, lon: np.ndarray, contrib: np.ndarray) -> np.ndarray:
-    """Part of each item by groups of contributors whose centres lie within CONTRIB_SPLIT_M of each other, chained."""
-    placed = np.flatnonzero(~np.isnan(lat) & ~np.isnan(lon))
-    names, of = np.unique(contrib[placed], return_inverse=True)
-    if len(names) < 2:
-        return np.zeros(len(contrib), np.int64)
-    n = np.bincount(of)
-    label = density_clusters(_plane(np.bincount(of, lat[placed]) / n, np.bincount(of, lon[placed]) / n), CONTRIB_SPLIT_M, 1)
-    largest = int(np.bincount(label[of]).argmax())  # takes those without a position
-    at = np.minimum(np.searchsorted(names, contrib), len(names) - 1)
-    return np.where(names[at] == contrib, label[at], largest)
-
-
-def _split(table: pa.Table) -> pa.Table:
-    """Adds `part` to one segment's items: concurrent places, then distant contributors."""
-    table = table.sort_by([("us", "ascending"), ("id", "ascending")])
-    us = table.column("us").to_numpy()
-    lat, lon = (table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("lat", "lon"))
-    contrib, people = np.array(table.column("contrib").to_pylist()), table.column("people").to_pylist()
-    places, untied = concurrent_parts(us, lat, lon, contrib, people)
-    part, n = np.zeros(len(us), np.int64), 0
-    for q in range(int(places.max(initial=-1)) + 1):
-        own = np.flatnonzero(places == q)
-        parts = contributor_parts(lat[own], lon[own], contrib[own])
-        part[own] = n + parts
-        n += int(parts.max()) + 1
-    at = table.schema.get_field_index("people")
-    table = table.set_column(at, "people", table.column(at).cast(pa.list_(pa.int64())))
-    return table.append_column("part", pa.array(part)).append_column("contiguous", pa.array(np.full(len(us), n == 1))).append_column("untied", pa.array(untied))
-
-
 def segment(
     items: DataFrame, group: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None,
     trusted: str | None = None, constraints: Constraints | None = None, existing: DataFrame | None = None, zone_us: int = 3_600_000_000,
@@ -276,12 +153,15 @@ def segment(
     wide = 6_371_000.0 * F.hypot(F.radians(outer[1]), F.radians(outer[2]))
     distant = (F.count_distinct("contrib") > 1) & (wide > CONTRIB_SPLIT_M)
     apart = (F.count(placed) >= SPLIT_MIN_GPS) & (wide > SPLIT_EPS_M) & (outer[0] >= SPLIT_SPAN_MINUTES * 60e6)
-    sizes = rows.groupBy("grp", "segment").agg(F.coalesce(distant | apart, F.lit(False)).alias("_split"))
+    way = F.when(F.coalesce(distant | apart, F.lit(False)), F.when(F.count("*") > SPLIT_ROWS, 2).otherwise(1)).otherwise(0)
+    sizes = cut(rows.groupBy("grp", "segment").agg(way.alias("_split"), F.avg(F.when(placed.isNotNull(), F.radians("lat"))).alias("_lat")))
     flagged = rows.join(sizes, ["grp", "segment"])
-    plain = flagged.where("NOT _split").drop("_split").withColumns({"part": F.lit(0).cast("long"), "contiguous": F.lit(True), "untied": F.lit(False)})
+    plain = flagged.where("_split = 0").drop("_split", "_lat").withColumns({"part": F.lit(0).cast("long"), "contiguous": F.lit(True), "untied": F.lit(False)})
     order = plain.columns
-    split = flagged.where("_split").drop("_split").select(order[:-3])
-    split = split.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "segment").groupBy("grp", "segment").applyInArrow(lambda t: _split(t).select(order), _ddl(plain))
+    split = flagged.where("_split = 1").select(order[:-3])
+    split = split.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp", "segment").groupBy("grp", "segment").applyInArrow(lambda t: split_one(t).select(order), _ddl(plain))
+    if not sizes.where("_split = 2").isEmpty():
+        split = split.unionByName(split_by_cells(flagged.where("_split = 2").select(*order[:-3], "_lat"), "_lat"))
     rows = cut(_loose(cut(_merged(cut(plain.unionByName(split)))), zone_us))
     if trusted:
         rest = plain_names(items.where(~F.coalesce(F.col(trusted), F.lit(False))))
