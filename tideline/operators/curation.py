@@ -226,3 +226,9 @@ def participant_counts(items: DataFrame, event: str, item: str, persons: str) ->
     """(event, person, n): how many of an event's items show each person, an item counting once."""
     once = items.select(event, item, F.explode(persons).alias("person")).distinct()
     return once.groupBy(event, "person").agg(F.count("*").alias("n"))
+
+
+def place_counts(places: DataFrame, events: DataFrame, place: str, named: Column) -> DataFrame:
+    """Places with `n`, how many of `events` (those that the viewer sees) are there; without any only if `named`."""
+    seen = events.groupBy(place).agg(F.count("*").alias("n"))
+    return places.join(seen, place, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).where((F.col("n") > 0) | F.coalesce(named, F.lit(False)))

@@ -50,7 +50,10 @@ class Constraints:
 
 
 def constrained(bounds: DataFrame, voters: DataFrame, c: Constraints, group: str, us: str, tie: str) -> DataFrame:
-    """The boundaries with `cut` as the constraints have it, and `reason`: score, kept_together, frozen or pinned."""
+    """The boundaries with `cut` as the constraints have it, and `reason`: score, kept_together, frozen or pinned.
+
+    A group's constraints are one row; adaptive execution sends them along where they are small and splits uneven groups.
+    """
     a, b = F.col("left_us"), F.col("right_us")
     kept = edge = pinned = F.lit(False)
 
@@ -58,14 +61,14 @@ def constrained(bounds: DataFrame, voters: DataFrame, c: Constraints, group: str
         return F.coalesce(F.exists(name, test), F.lit(False))
 
     if c.pins is not None:
-        bounds = bounds.join(F.broadcast(c.pins.groupBy(group).agg(F.collect_list(us).alias("_pins"))), group, "left")
+        bounds = bounds.join(c.pins.groupBy(group).agg(F.collect_list(us).alias("_pins")), group, "left")
         pinned = any_of("_pins", lambda p: (a < p) & (p <= b))
     if c.together is not None:
         spans = c.together.join(voters.select(group, tie, us), [group, tie]).groupBy(group, "set_id").agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-        bounds = bounds.join(F.broadcast(spans.groupBy(group).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))), group, "left")
+        bounds = bounds.join(spans.groupBy(group).agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")), group, "left")
         kept = any_of("_spans", lambda s: (s["lo"] <= a) & (b <= s["hi"]))
     if c.frozen is not None:
-        bounds = bounds.join(F.broadcast(c.frozen.groupBy(group).agg(F.collect_list(F.struct("start_us", "end_us")).alias("_frozen"))), group, "left")
+        bounds = bounds.join(c.frozen.groupBy(group).agg(F.collect_list(F.struct("start_us", "end_us")).alias("_frozen")), group, "left")
         kept = kept | any_of("_frozen", lambda e: (e["start_us"] <= a) & (b <= e["end_us"]))
         edge = any_of("_frozen", lambda e: ((a < e["start_us"]) & (e["start_us"] <= b)) | ((a <= e["end_us"]) & (e["end_us"] < b)))
     reason = F.when(pinned, "pinned").when(edge, "frozen").when(kept, "kept_together").otherwise("score")

@@ -408,23 +408,25 @@ def _event_contributors(spark, sf_dir):
 @query("place_counts", "WITH n AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' GROUP BY o_custkey) SELECT c_custkey, c_name, coalesce(n, 0) AS n FROM customer LEFT JOIN n ON c_custkey = o_custkey WHERE coalesce(n, 0) > 0 OR c_mktsegment = 'MACHINERY'")
 def _place_counts(spark, sf_dir):
     """Places with the events there that the viewer sees; places without any only if they have a name."""
-    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "customer").join(seen, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return rows.where("n > 0 OR c_mktsegment = 'MACHINERY'").select("c_custkey", "c_name", "n")
+    seen = table(spark, sf_dir, "orders").where("o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return cu.place_counts(table(spark, sf_dir, "customer"), seen, "c_custkey", F.col("c_mktsegment") == "MACHINERY").select("c_custkey", "c_name", "n")
 
 
 @query(
     "widened_windows",
-    """WITH a AS (SELECT l_suppkey AS g, epoch_us(l_shipdate) - 21600000000 AS lo, epoch_us(l_shipdate) + 21600000000 AS hi FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber = 1),
+    """WITH l AS (SELECT l_suppkey AS g, epoch_us(l_shipdate) AS us, l_returnflag = 'N' AS fresh, CAST(l_quantity AS BIGINT) * 3600000000 AS us_long FROM lineitem),
+    a AS (SELECT g, CASE WHEN fresh THEN us - 21600000000 ELSE us END AS lo, CASE WHEN fresh THEN us + 21600000000 ELSE us + us_long END AS hi, fresh FROM l),
     s AS (SELECT *, lo <= max(hi) OVER (PARTITION BY g ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS joins FROM a), n AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY g ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS no FROM s)
-    SELECT g, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY g, no""",
+    SELECT g, min(lo) AS lo, max(hi) AS hi FROM n GROUP BY g, no HAVING bool_or(fresh)""",
 )
 def _widened(spark, sf_dir):
-    """The spans that new items open, padded and joined; no events stand yet that would widen them."""
+    """The spans that new items open, padded, joined and widened to the events that stand: of all lines those not yet
+    returned are new items, the others events of as many hours as their quantity."""
     from tideline.streaming.incremental import widened_spans
 
-    arrived = table(spark, sf_dir, "lineitem").where("l_returnflag = 'N' AND l_linenumber = 1").select(F.col("l_suppkey").alias("g"), F.unix_micros("l_shipdate").alias("us"))
-    return widened_spans(arrived, None, "g", "us")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("g"), F.unix_micros("l_shipdate").alias("us"), "l_returnflag", "l_quantity")
+    events = rows.where("l_returnflag <> 'N'").select("g", F.col("us").alias("start_us"), (F.col("us") + F.col("l_quantity").cast("long") * 3_600_000_000).alias("end_us"))
+    return widened_spans(rows.where("l_returnflag = 'N'"), events, "g", "us")
 
 
 @query(
@@ -469,9 +471,9 @@ def _raw_scores(spark, sf_dir):
     return cu.vocabulary_scores(rows, words, "vec_id", "embedding", "tag", "vec").select("vec_id", "tag", F.round("score", 5).alias("score"))
 
 
-@query("faces_with_vectors", "SELECT l_orderkey, l_linenumber, l_partkey, label FROM lineitem JOIN embeddings ON l_partkey = vec_id WHERE l_returnflag <> 'R'")
+@query("faces_with_vectors", "SELECT l_orderkey, l_linenumber, l_partkey, label FROM lineitem JOIN embeddings ON l_partkey = vec_id")
 def _faces_vectors(spark, sf_dir):
-    faces = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+    faces = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return faces.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("l_partkey"), "label"), "l_partkey")
 
 
@@ -553,12 +555,22 @@ def _renamed(spark, sf_dir):
 
 @query(
     "consent_purge",
-    """WITH ok AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey IN (SELECT * FROM ok) THEN CAST(l_suppkey AS VARCHAR) END AS person, CASE WHEN l_suppkey IN (SELECT * FROM ok) THEN l_returnflag END AS tier FROM lineitem""",
+    """WITH ok AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0), f AS (SELECT 'face' AS kind, l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_suppkey IN (SELECT * FROM ok) AS known FROM lineitem)
+    SELECT kind, l_orderkey AS id, l_linenumber AS idx, CASE WHEN known THEN l_suppkey END AS person, CASE WHEN known THEN l_returnflag END AS tier FROM f
+    UNION ALL SELECT DISTINCT 'label', l_partkey, 0, l_suppkey, NULL FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey IN (SELECT * FROM ok)
+    UNION ALL SELECT DISTINCT 'prototype', l_suppkey, l_linenumber, l_suppkey, NULL FROM lineitem WHERE l_suppkey IN (SELECT * FROM ok)""",
 )
 def _purge(spark, sf_dir):
-    faces = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("person"), F.col("l_returnflag").alias("tier"))
+    """All three results after persons withdrew their consent: faces without their names, and the labels and prototypes
+    of those who still agree. Returned lines stand for labels given by hand, line numbers for prototypes."""
+    lines = table(spark, sf_dir, "lineitem")
+    person, none = F.col("l_suppkey").alias("person"), F.lit(None).cast("string").alias("tier")
+    faces = lines.select(F.lit("face").alias("kind"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("idx"), person, F.col("l_returnflag").alias("tier"))
+    labels = lines.where("l_returnflag = 'R'").select(F.lit("label").alias("kind"), F.col("l_partkey").alias("id"), F.lit(0).cast(faces.schema["idx"].dataType).alias("idx"), person, none).distinct()
+    prototypes = lines.select(F.lit("prototype").alias("kind"), F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("idx"), person, none).distinct()
     eligible = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("person"))
-    return cu.purged(faces, faces.select("person"), faces.select("person"), eligible, "person")[0].withColumn("person", F.col("person").cast("string"))
+    kept = [df.select(faces.columns) for df in cu.purged(faces, labels, prototypes, eligible, "person")]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 @query(
