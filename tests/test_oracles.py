@@ -28,3 +28,14 @@ def test_widened_windows_sql_leaves_no_ties():
                 want.add((g, low, high))
             low, high, fresh = lo, hi, new
     assert got == want
+
+
+def test_retag_due_reads_the_vectors(spark, tmp_path):
+    """Pictures without a vector count nowhere, and statistics that moved are told from groups that grew."""
+    rows = [(i, [1.0 if i % 3 else 9.0], 1) for i in range(60)] + [(100 + 3 * i + 1, [2.0], 2) for i in range(45)] + [(900 + i, None, 2) for i in range(30)] + [(1000 + i, [1.0], 3) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {tuple(r) for r in registry.QUERIES["retag_due"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 60, True, True), (2, 45, False, False), (3, 30, False, False)}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert set(db.sql(registry.ORACLES["retag_due"]).fetchall()) == got
