@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tideline.operators import visibility as vis
 from tideline.operators.policies import CATALOGUE, Secured
 from tideline.operators.visibility import Viewer
 
@@ -107,3 +108,19 @@ COLLECTED = {
     *((t, "select") for t in DDL), ("groups", "insert"), ("groups", "update"), ("group_members", "delete"), ("group_invites", "insert"), ("devices", "update"), ("blobs", "insert"), ("assets", "delete"),
     ("persons", "delete"), ("face_labels", "insert"), ("unknown_clusters", "update"), ("events", "update"), ("event_person_tags", "insert"), ("event_constraints", "insert"), ("audit_log", "insert"),
 }
+
+
+def test_visibility_reasons_in_blocks_of_members(spark, monkeypatch):
+    """Members in several blocks, sent or not; null sets, nulls in sets and members of other groups; no row is shuffled."""
+    monkeypatch.setattr(vis, "MEMBERS", 2)
+    rows = [(1, 0, [1, 9], [1, 2], False), (2, 0, None, [3], True), (3, 1, [7], [7, None], None), (4, 1, [1], None, True), (5, None, [1], [1], True)]
+    events = spark.createDataFrame(rows, "e long, g long, c array<long>, p array<long>, o boolean")
+    asked = spark.createDataFrame([(0, m) for m in (1, 2, 3, 4, 5)] * 2 + [(1, 7), (1, 8), (None, 1)], "g long, m long")
+    want = {(1, 1, "contributor,face"), (1, 2, "face"), (3, 7, "contributor,face"), (4, 7, "opened"), (4, 8, "opened")} | {(2, m, "face,opened" if m == 3 else "opened") for m in (1, 2, 3, 4, 5)}
+    for sent in (1_000, 3):
+        monkeypatch.setattr(vis, "SENT", sent)
+        out = vis.visibility_reasons(events, "e", "g", {"face": "p", "contributor": "c"}, "o", asked, "m")
+        got = [(r["e"], r["m"], ",".join(r["reasons"])) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want)
+    text = vis.visibility_reasons(events, "e", "g", {"face": "p", "contributor": "c"}, "o", asked, "m", separator="+")
+    assert {tuple(r) for r in text.collect()} == {(e, m, r.replace(",", "+")) for e, m, r in want}

@@ -63,8 +63,8 @@ def _visible_assets(spark, sf_dir):
 )
 def _visibility_reasons(spark, sf_dir):
     asked = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("group_id"), F.col("s_suppkey").alias("member"))
-    out = vis.visibility_reasons(_events(spark, sf_dir), "o_orderkey", "group_id", {"contributor": "contributors", "face": "persons"}, "public", asked, "member")
-    return out.select("o_orderkey", "member", F.array_join("reasons", ",").alias("reasons"))
+    out = vis.visibility_reasons(_events(spark, sf_dir), "o_orderkey", "group_id", {"contributor": "contributors", "face": "persons"}, "public", asked, "member", separator=",")
+    return out.select("o_orderkey", "member", "reasons")
 
 
 @query(
