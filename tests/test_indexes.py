@@ -53,3 +53,22 @@ def test_title_index_equals_a_scan(spark, tmp_path):
     got = {(r["query"], r["key"]): round(r["similarity"], 9) for r in ti.search_titles(spark, str(tmp_path / "t"), queries, "q", "text", buckets=5).collect()}
     scan = queries.crossJoin(titles).withColumn("s", trigram_similarity("text", "title")).where("s >= 0.35")
     assert got == {(r["q"], r["id"]): round(r["s"], 9) for r in scan.collect()} and len(got) > 100
+
+
+def test_titles_of_one_class_are_found_from_every_query(spark, tmp_path, monkeypatch):
+    """Equal titles and queries are compared once, and all of them come out, ranked by key among equals."""
+    names = ["red bolt", "Red  bolt", "bolt red", "red bolts", "hot ring", "--", None] * 6
+    titles = spark.createDataFrame(list(enumerate(names)), "id long, title string")
+    ti.build_title_index(titles, "id", "title", str(tmp_path / "t"), buckets=3)
+    assert spark.read.parquet(str(tmp_path / "t" / "titles")).count() == 3
+    scan = titles.select(F.col("id").alias("q"), F.col("title").alias("text")).crossJoin(titles).withColumn("s", F.round(trigram_similarity("text", "title"), 9)).where("s >= 0.35")
+    rows = sorted((r["q"], -r["s"], r["id"]) for r in scan.collect())
+    want, last = [], None
+    for q, s, key in rows:
+        last, n = q, (n + 1 if q == last else 1)
+        want.append((q, key, -s, n))
+    for sent in (1_000, 1):
+        monkeypatch.setattr(ti, "SENT", sent)
+        monkeypatch.setattr(ti, "QUERIES", 4)
+        out = ti.search_titles(spark, str(tmp_path / "t"), titles.select(F.col("id").alias("q"), F.col("title").alias("text")), "q", "text", buckets=3)
+        assert sorted((r["query"], r["key"], round(r["similarity"], 9), r["rank"]) for r in out.collect()) == sorted(want)
