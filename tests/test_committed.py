@@ -71,3 +71,17 @@ def test_views_by_changes_equal_recomputation(spark, tmp_path):
     got = views.with_fallback(counts, ["event"], "user", ["strong", "trusted", "anyone"], "users").collect()
     assert sorted((r["event"], r["users"], r["level"]) for r in got) == [(1, [6], "trusted"), (2, [8], "strong")]
     assert views.changes(counts, counts).count() == 0
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from tideline.sources.committed import CommittedTable
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16KB")
+    try:
+        store = CommittedTable(spark, str(tmp_path / "t"), "id long, x long", ["id"], buckets=1)
+        store.upsert(spark.range(0, 60_000, 1, 8).selectExpr("id", "xxhash64(id) AS x"), 0)
+    finally:
+        spark.conf.unset(size)
+    assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) > 1
+    assert store.read().distinct().count() == 60_000

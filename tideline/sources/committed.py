@@ -70,7 +70,7 @@ class CommittedTable:
     def _staged(self, rows: DataFrame) -> dict[str, str]:
         """Writes rows by bucket into a folder of this attempt; bucket -> folder."""
         folder = f"data/{uuid.uuid4()}"
-        rows.select([f.name for f in self.schema]).withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        rows.select([f.name for f in self.schema]).withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return {n.partition("=")[2]: f"{folder}/{n}" for n in self._names(folder) if n.startswith("_bucket=")}
 
     def _commit(self, batch: int, state: dict, folders: dict[str, list[str]]) -> None:
