@@ -322,3 +322,10 @@ def test_overlong_cuts_against_the_best_boundary_again_and_again(spark):
     got = sg.without_overlong(bounds, "grp").collect()
     assert len(got) == len(rows) and {(r["grp"], r["ix"]) for r in got if r["cut"]} == want
     assert {(r["grp"], r["ix"]) for r in got if r["reason"] == "overlong"} == want - {(x[0], x[1]) for x in rows if x[5]}
+
+
+def test_linked_groups_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SENT", 3)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(5, 9), (9, 7), (50, 50)], "a long, b long")
+    got = {r["node"]: r["group_id"] for r in graph.linked_groups(edges, "a", "b").collect()}
+    assert got == {i: 20 for i in range(20, 41)} | {5: 5, 9: 5, 7: 5, 50: 50}

@@ -35,16 +35,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Directed edges up to which labels may be broadcast: beyond, each round would send them through the driver.
+SENT = 100_000
+
+
 def linked_groups(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, group_id): group_id is the smallest node reachable. Labels jump along each other until none changes."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
     both = cut(both)
+    met = (lambda df: df) if both.limit(SENT + 1).count() <= SENT else (lambda df: df.hint("merge"))
     labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("x").alias("y"), F.col("label").alias("theirs")), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
+        near = both.join(met(labels.select(F.col("x").alias("y"), F.col("label").alias("theirs"))), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
+        step = labels.join(met(near), "x").select("x", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "label", "left").select("x", "old", F.coalesce(F.least("far", "label"), "label").alias("label")))
+        step = cut(step.join(met(jump), "label", "left").select("x", "old", F.coalesce(F.least("far", "label"), "label").alias("label")))
         labels = step.select("x", "label")
         if step.where("old <> label").isEmpty():
             return labels.select(F.col("x").alias("node"), F.col("label").alias("group_id"))
