@@ -1,6 +1,9 @@
 """Timeline, join and visibility operators on small hand-made rows."""
 
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.operators import graph, identity, joins, ordered, timeline
@@ -329,3 +332,60 @@ def test_linked_groups_without_broadcasts(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20, 40)] + [(5, 9), (9, 7), (50, 50)], "a long, b long")
     got = {r["node"]: r["group_id"] for r in graph.linked_groups(edges, "a", "b").collect()}
     assert got == {i: 20 for i in range(20, 41)} | {5: 5, 9: 5, 7: 5, 50: 50}
+
+
+def test_boundary_windows_are_read_in_one_pass_over_batches(spark):
+    """Sets, gaps and positions of both windows against plain Python, with blocks that batches cut; no window per term."""
+    import random
+
+    rnd, rows, us = random.Random(5), [], 0
+    for i in range(4500):
+        us += rnd.choice([0, 0, 60, 600, 4000]) * 1_000_000
+        people = None if rnd.random() < 0.1 else [rnd.choice([1, 2, 3, None]) for _ in range(rnd.randrange(3))]
+        rows.append(("a" if i < 4400 else "b", i, us, None if rnd.random() < 0.1 else rnd.randrange(12), people, None if rnd.random() < 0.3 else 60 + rnd.random() / 50, 10.0))
+    df = spark.createDataFrame(rows, "g string, id long, us long, c long, p array<long>, lat double, lon double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        bounds = timeline.boundaries(df, "g", "us", "id", "c", "p", "lat", "lon")
+        got = {r["left_id"]: r for r in bounds.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "collect_set" not in bounds._jdf.queryExecution().toString()
+    assert len(got) == 4498
+    ends = {"a": (0, 4400), "b": (4400, 4500)}
+    for i, (g, _, at, *_rest) in enumerate(rows):
+        low, high = ends[g]
+        if i + 1 == high:
+            assert i not in got
+            continue
+        left, right = rows[max(low, i - 7) : i + 1], rows[i + 1 : min(high, i + 9)]
+        cl, cr = ({r[3] for r in w if r[3] is not None} for w in (left, right))
+        pl, pr = ({x for r in w for x in r[4] or ()} for w in (left, right))
+        around = rows[max(low, i - 7) : min(high, i + 9)]
+        gaps = sorted(b[2] - a[2] for a, b in zip(around, around[1:], strict=False) if b[2] > a[2])
+        median = (gaps[(len(gaps) - 1) // 2] + gaps[len(gaps) // 2]) / 2 / 60e6 if gaps else 20.0
+        r = got[i]
+        assert (r["right_id"], r["right_us"]) == (rows[i + 1][1], rows[i + 1][2])
+        assert r["contrib"] == pytest.approx(1 - len(cl & cr) / len(cl | cr) if cl | cr else 0.0)
+        assert r["people"] == pytest.approx(1 - len(pl & pr) / len(pl | pr) if pl and pr else 0.5)
+        assert r["tau"] == pytest.approx(max(20.0, min(120.0, 4 * median)))
+        (n, a), (m, b) = ((len(x), sum(x) / max(1, len(x))) for x in ([q[5] for q in w if q[5] is not None] for w in (left, right)))
+        if n < 2 or m < 2:
+            assert r["dist"] == 0.5
+        else:
+            d, minutes = math.radians(abs(a - b)) * 6_371_000, r["minutes"]
+            want = 1 - math.exp(-d / 800)
+            slow = 0 < minutes < 30 and d / 1000 / (minutes / 60) < 90
+            assert r["dist"] == pytest.approx(want / 2 if slow else want, abs=1e-4)
+
+
+def test_membership_of_many_participants_equals_that_of_few(spark, monkeypatch):
+    rows = [(f"e{i % 5}", i, i * 60_000_000, i % 3, [i % 4, None] if i % 7 else None, 60.0, 10.0 + i * 1e-5) for i in range(60)]
+    df = spark.createDataFrame(rows, "ev string, id long, us long, c long, p array<long>, lat double, lon double").withColumn("v", F.col("id") % 2 == 0)
+    few = timeline.membership(df, "ev", "us", "id", "c", "p", "lat", "lon", voter="v")
+    monkeypatch.setattr(timeline, "FEW", 0)
+    many = timeline.membership(df, "ev", "us", "id", "c", "p", "lat", "lon", voter="v")
+    of = lambda d: {r["id"]: (r["people_term"], r["n_voters"], round(r["confidence"], 9)) for r in d.collect()}
+    assert of(few) == of(many) and len(of(few)) == 60
+    assert of(few)[0][1] == sum(r[0] == "e0" and r[3] == 0 and r[1] % 2 == 0 for r in rows)

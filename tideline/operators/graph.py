@@ -35,6 +35,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a checked table up to which it is broadcast.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Checkpoint of a table that is small as a rule, such as a row per event: broadcast after a count of FEW rows at most,
+    so that the rows that meet it aren't shuffled first."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 #: Directed edges up to which labels may be broadcast: beyond, each round would send them through the driver.
 SENT = 100_000
 

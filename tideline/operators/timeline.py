@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StructField, StructType
 
-from tideline.functions.columns import centroid, clamp, dot, haversine_m, jaccard, sigmoid
+from tideline.functions.columns import centroid, clamp, dot, haversine_m, sigmoid
+from tideline.operators.graph import FEW, cut, few
 from tideline.operators.ordered import running_sum, with_halo, with_row_index
 
 #: Rows of the left and right window, minutes and weights of the boundary score.
@@ -41,10 +45,121 @@ def gap_segments(items: DataFrame, group: str, us: str, tie: str, contributor: s
     )
 
 
-def _median(v: Column) -> Column:
-    """Of a sorted array; null for an empty one."""
-    n = F.size(v)
-    return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
+def _shared(at: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Of each row: the distinct keys of its left window, of its right one, and of both.
+
+    `key` occurs in row `at` and in one block only, which goes from row `low` to `high`. A key counts for the left window
+    from its last occurrence there, for the right one from its first: each is a stretch of rows, summed by its two ends.
+    """
+    n, order = len(low), np.lexsort((at, key))
+    at, key = at[order], key[order]
+    same = key[1:] == key[:-1]
+    first, last = low[at], high[at]
+    prev, follow = first - 1, last + 1
+    prev[1:][same], follow[:-1][same] = at[:-1][same], at[1:][same]
+    a, b = at[:-1][same], at[1:][same]
+    left = at, np.minimum(np.minimum(at + WINDOW - 1, follow - 1), last)
+    right = np.maximum(np.maximum(at - WINDOW, prev), first), at - 1
+    both = np.maximum(a, b - WINDOW), np.minimum(b - 1, a + WINDOW - 1)
+    out = []
+    for start, end in (left, right, both):
+        start, end = start[start <= end], end[start <= end]
+        out.append(np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(end + 1, minlength=n + 1))[:n])
+    return out
+
+
+def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Numbers of a column's values, null being one of them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return column.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _frames(table: pa.Table, new: np.ndarray, us: str, names: list[str], gaps: bool, people: bool, placed: bool) -> pa.Table:
+    """What the boundary after each of the blocks' own rows reads of both windows; `new` tells where a block starts."""
+    n = table.num_rows
+    block = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    low, high = starts[block], np.append(starts[1:], n)[block] - 1
+    row = np.arange(n)
+    time = table.column(us).to_numpy()
+    nxt = np.minimum(row + 1, high)
+    out = {"right_us": time[nxt], "_gap": (time[nxt] - time) / 60e6}
+    if gaps:  # the median of the positive ones of both windows
+        around = row[:, None] + np.arange(1 - WINDOW, WINDOW)
+        gap = out["_gap"][np.clip(around, 0, n - 1)]
+        gap = np.sort(np.where((around >= low[:, None]) & (around < high[:, None]) & (gap > 0), gap, np.inf), axis=1)
+        k = np.isfinite(gap).sum(axis=1)
+        middle = (gap[row, np.maximum(k - 1, 0) // 2] + gap[row, np.minimum(k // 2, gap.shape[1] - 1)]) / 2
+        out["_median"] = pa.array(middle, mask=k == 0)
+    known = np.asarray(table.column("_who").is_valid())
+    one, two, both = _shared(row[known], (_codes(table.column("_who")) * len(starts) + block)[known], low, high)
+    either = one + two - both
+    out["_same"] = np.where(either == 0, 1.0, both / np.maximum(either, 1))
+    if people:
+        lists = table.column("_people").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        at = row[lists.is_valid().to_numpy(zero_copy_only=False)].repeat(np.asarray(lists.drop_null().value_lengths()))
+        one, two, both = _shared(at, _codes(lists.flatten()) * len(starts) + block[at], low, high)
+        none = (one == 0) | (two == 0)
+        out["_met"] = pa.array(np.where(none, 0.0, both / np.maximum(one + two - both, 1)), mask=none)
+    if placed:
+        has = np.asarray(table.column("_x").is_valid())
+        for side, steps in (("left", range(1 - WINDOW, 1)), ("right", range(1, WINDOW + 1))):
+            sums, count = {v: np.zeros(n) for v in "xyz"}, np.zeros(n, np.int64)
+            value = {v: table.column(f"_{v}").fill_null(0.0).to_numpy() for v in "xyz"}
+            for k in steps:  # in the order of the rows, as a sum over the frame
+                j = np.clip(row + k, 0, n - 1)
+                inside = (row + k >= low) & (row + k <= high) & has[j]
+                count += inside
+                for v in "xyz":
+                    sums[v] += np.where(inside, value[v][j], 0.0)
+            out |= {f"_{side}_{v}": sums[v] / np.maximum(count, 1) for v in "xyz"} | {f"_{side}_n": count}
+    own = np.asarray(table.column("own")) & (row < high)
+    out = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()}
+    told = table.select(names)
+    tie = told.column(1).take(pa.array(nxt))
+    for k, v in [("right_id", tie), *out.items()]:
+        told = told.append_column(k, v)
+    return told.filter(pa.array(own))
+
+
+def _with_frames(rows: DataFrame, group: str, us: str, tie: str, contributor: str, people: str | None, more: list[str], gaps: bool) -> DataFrame:
+    """Own rows of blocks that have a next one, with it and the windows' gaps, sets and mean positions (`_x`, `_y`, `_z`).
+
+    Blocks come one after the other in a task; what a batch leaves of its last block waits for the next batch.
+    """
+
+    def flat(c: str) -> Column:
+        whole = isinstance(rows.schema[c].dataType, (ArrayType, MapType, StructType))
+        return F.when(F.col(c).isNotNull(), F.to_json(F.struct(c))) if whole else F.col(c)
+
+    placed = "_x" in rows.columns
+    names = [group, tie, us, "ix", *more]
+    held = [flat(group).alias("_of"), flat(contributor).alias("_who"), *([F.col(people).alias("_people")] if people else []), *([F.col(f"_{v}") for v in "xyz"] if placed else [])]
+    sorted_ = rows.sortWithinPartitions(group, "block", "ix").select(*names, "block", "own", *held)
+    numbers = ["_gap", *(["_median"] if gaps else []), "_same", *(["_met"] if people else [])]
+    sides = [(f"_{s}_{v}", LongType() if v == "n" else DoubleType()) for s in ("left", "right") for v in "xyzn"] if placed else []
+    fields = [("right_id", rows.schema[tie].dataType), ("right_us", LongType()), *((c, DoubleType()) for c in numbers), *sides]
+    shape = StructType([rows.schema[c] for c in names] + [StructField(c, t) for c, t in fields])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            of, block = _codes(table.column("_of")), table.column("block").to_numpy()
+            new = np.r_[True, (of[1:] != of[:-1]) | (block[1:] != block[:-1])]
+            end = int(np.flatnonzero(new)[-1])
+            rest = table.slice(end)
+            if end:
+                yield from _frames(table.slice(0, end), new[:end], us, names, gaps, people is not None, placed).to_batches()
+        if rest is not None and rest.num_rows:
+            yield from _frames(rest, np.arange(rest.num_rows) == 0, us, names, gaps, people is not None, placed).to_batches()
+
+    return sorted_.mapInArrow(run, shape)
 
 
 def gap_term(minutes: Column, tau: Column) -> Column:
@@ -65,25 +180,27 @@ def boundaries(
     rows = with_halo(numbers, group, before=WINDOW, after=WINDOW)
     order = Window.partitionBy(group, "block").orderBy("ix")
     left, right = order.rowsBetween(-(WINDOW - 1), 0), order.rowsBetween(1, WINDOW)
-    rows = rows.withColumn("_gap", (F.lead(us).over(order) - F.col(us)) / 60e6).withColumns({"right_id": F.lead(tie).over(order), "right_us": F.lead(us).over(order)})
-    # What a term reads more than once is a column of its own, so that each frame is gathered, sorted and united once.
-    gaps = F.sort_array(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap"))).over(order.rowsBetween(-(WINDOW - 1), WINDOW - 1)))
-    rows = rows.withColumn("_gaps", gaps).withColumn("tau", F.lit(fixed_tau) if fixed_tau else clamp(TAU_TIMES * F.coalesce(_median(F.col("_gaps")), F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
-    minutes = F.col("_gap")
-    terms = {"gap": gap_term(minutes, F.col("tau"))}
-    terms["contrib"] = 1 - jaccard(F.collect_set(contributor).over(left), F.collect_set(contributor).over(right))
-    if people:
-        met = {n: F.array_distinct(F.flatten(F.collect_list(people).over(w))) for n, w in (("_met_left", left), ("_met_right", right))}
-        rows = rows.withColumns(met)
-        a, b = F.col("_met_left"), F.col("_met_right")
-        terms["people"] = F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(1 - jaccard(a, b))
+    if emb:
+        a, b = (F.collect_list(emb).over(w) for w in (left, right))
+        cross, within = _mean_dot(a, b), [_within(v) for v in (a, b)]
+        mean = (F.coalesce(within[0], F.lit(0.0)) + F.coalesce(within[1], F.lit(0.0))) / F.nullif(
+            within[0].isNotNull().cast("int") + within[1].isNotNull().cast("int"), F.lit(0)
+        )
+        rows = rows.withColumn("_visual", F.coalesce(clamp(0.5 + (mean - cross) * 2), F.lit(0.5)))
     if lat and lon:
         la, lo = F.radians(lat), F.radians(lon)
         rows = rows.withColumns({"_x": F.cos(la) * F.cos(lo), "_y": F.cos(la) * F.sin(lo), "_z": F.when(F.col(lon).isNotNull(), F.sin(la))})
+    rows = _with_frames(rows, group, us, tie, contributor, people, ["_visual"] if emb else [], fixed_tau is None)
+    rows = rows.withColumn("tau", F.lit(fixed_tau) if fixed_tau else clamp(TAU_TIMES * F.coalesce("_median", F.lit(TAU_MIN)), TAU_MIN, TAU_MAX))
+    minutes = F.col("_gap")
+    terms = {"gap": gap_term(minutes, F.col("tau")), "contrib": 1 - F.col("_same")}
+    if people:
+        terms["people"] = F.coalesce(1 - F.col("_met"), F.lit(0.5))
+    if lat and lon:
         sides = []
-        for w in (left, right):
-            mx, my, mz = (F.avg(v).over(w) for v in ("_x", "_y", "_z"))
-            sides.append((F.count("_x").over(w), F.degrees(F.atan2(mz, F.sqrt(mx * mx + my * my))), F.degrees(F.atan2(my, mx))))
+        for side in ("left", "right"):
+            mx, my, mz, n = (F.col(f"_{side}_{v}") for v in "xyzn")
+            sides.append((n, F.degrees(F.atan2(mz, F.sqrt(mx * mx + my * my))), F.degrees(F.atan2(my, mx))))
         (n1, lat1, lon1), (n2, lat2, lon2) = sides
         rows = rows.withColumn("_d", F.when((n1 >= 2) & (n2 >= 2), haversine_m(lat1, lon1, lat2, lon2)))
         d = F.col("_d")
@@ -91,16 +208,11 @@ def boundaries(
         slow = (minutes > 0) & (minutes < TRAVEL_MINUTES) & ((d / 1000) / (minutes / 60) < TRAVEL_KMH)
         terms["dist"] = F.when(d.isNull(), 0.5).when(slow, dist * 0.5).otherwise(dist)
     if emb:
-        a, b = (F.collect_list(emb).over(w) for w in (left, right))
-        cross, within = _mean_dot(a, b), [_within(v) for v in (a, b)]
-        mean = (F.coalesce(within[0], F.lit(0.0)) + F.coalesce(within[1], F.lit(0.0))) / F.nullif(
-            within[0].isNotNull().cast("int") + within[1].isNotNull().cast("int"), F.lit(0)
-        )
-        terms["visual"] = F.coalesce(clamp(0.5 + (mean - cross) * 2), F.lit(0.5))
+        terms["visual"] = F.col("_visual")
     for name in WEIGHTS:  # in this order, so that sums at the threshold come out alike
         rows = rows.withColumn(name, terms.get(name, F.lit(0.5)))
     score = sum((w * F.col(n) for n, w in WEIGHTS.items()), F.lit(0.0))
-    rows = rows.where("own AND right_id IS NOT NULL").withColumn("score", score)
+    rows = rows.withColumn("score", score)
     return rows.select(group, F.col(tie).alias("left_id"), "right_id", F.col(us).alias("left_us"), "right_us", "ix", minutes.alias("minutes"), "tau", *WEIGHTS, "score", (F.col("score") >= CUT).alias("cut"))
 
 
@@ -162,10 +274,11 @@ def mean_vectors(items: DataFrame, event: str, emb: str) -> DataFrame:
 
 
 def membership(
-    items: DataFrame, event: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None, faces: str | None = None,
+    items: DataFrame, event: str, us: str, tie: str, contributor: str, people: str | None = None, lat: str | None = None, lon: str | None = None, emb: str | None = None, faces: str | None = None, voter: str | None = None,
 ) -> DataFrame:
-    """Membership confidence of each item of an event: adds the five terms and their weighted sum, `confidence`, and with
-    positions the distance from the event's centre, `centre_m`.
+    """Membership confidence of each item of an event: adds the five terms and their weighted sum, `confidence`, with
+    positions the distance from the event's centre, `centre_m`, and with `voter` the contributor's items in the event for
+    which it holds, `n_voters`.
 
     interior: 0, 0.5 or 1 for three neighbours within half an hour on no, one or both sides, 0 at the event's ends;
     geo: 1 within NEAR_M of the event's centre, falling to 0 at FAR_M; people: 1 with a participant of the event, 0 with
@@ -175,25 +288,33 @@ def membership(
     """
     rows = neighbours(items, [event], us, 1800 * 1_000_000)
     at = F.struct(us, tie)
-    rows = rows.join(items.groupBy(event).agg(F.min(at).alias("_first"), F.max(at).alias("_last")), event)
+    centre = []
+    if lat and lon:
+        placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+        centre = [c.alias(n) for c, n in zip(centroid(F.when(placed, F.col(lat)), F.when(placed, F.col(lon))), ("_clat", "_clon"), strict=True)]
+    rows = rows.join(few(items.groupBy(event).agg(F.min(at).alias("_first"), F.max(at).alias("_last"), *centre)), event)
     edge = (at == F.col("_first")) | (at == F.col("_last"))
     sides = (F.col("n_before") >= 3).cast("int") + (F.col("n_after") >= 3).cast("int")
     who = F.to_json(F.struct(contributor))  # never null, so that joins keep all rows
-    own = items.groupBy(event, who.alias("_who")).agg(F.count("*").alias("_n_own"))
+    voters = [F.count_if(F.coalesce(F.col(voter), F.lit(False))).alias("n_voters")] if voter else []
+    own = items.groupBy(event, who.alias("_who")).agg(F.count("*").alias("_n_own"), *voters)
     rows = rows.withColumn("_who", who).join(own, [event, "_who"])
     n = F.col("_n_own")
     rows = rows.withColumn("interior", F.when(edge, 0.0).otherwise(sides / 2)).withColumn("support", F.when(n >= 5, 1.0).when(n >= 2, 0.5).otherwise(0.0))
     geo = seen = visual = F.lit(0.5)
     if lat and lon:
-        placed = items.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-        rows = rows.join(placed.groupBy(event).agg(*(c.alias(n) for c, n in zip(centroid(lat, lon), ("_clat", "_clon"), strict=True))), event, "left")
         d = haversine_m(lat, lon, "_clat", "_clon")
         unplaced = F.col(lat).isNull() | F.col(lon).isNull()  # least() in the distance skips nulls
         rows = rows.withColumn("centre_m", F.when(~unplaced, d))
         geo = F.when(unplaced, 0.5).when(d <= NEAR_M, 1.0).when(d > FAR_M, 0.0).otherwise(1 - (d - NEAR_M) / (FAR_M - NEAR_M))
     if people:
-        own = items.select(event, tie, F.explode(people).alias("person")).join(participants(items, event, tie, people), [event, "person"])
-        rows = rows.join(own.select(event, tie, F.lit(True).alias("_part")).distinct(), [event, tie], "left")
+        known = cut(participants(items, event, tie, people))
+        if known.limit(FEW + 1).count() <= FEW:
+            known = F.broadcast(known.groupBy(event).agg(F.collect_list("person").alias("_known")))
+            rows = rows.join(known, event, "left").withColumn("_part", F.arrays_overlap(people, "_known")).drop("_known")
+        else:
+            own = items.select(event, tie, F.explode(people).alias("person")).join(known, [event, "person"])
+            rows = rows.join(own.select(event, tie, F.lit(True).alias("_part")).distinct(), [event, tie], "left")
         unknown = F.coalesce(F.size(people), F.lit(0)) <= 0
         if faces:
             unknown = unknown | (F.coalesce(F.col(faces), F.lit(0)) == 0)

@@ -147,6 +147,7 @@ def _wbs(spark, sf_dir):
     items = _items(spark, sf_dir).withColumn("people", F.array_compact(F.array((k % 5).cast("long"))))
     items = items.withColumns({"lat": 59.9 + (F.col("user_id") % 3) * 0.002 + k * 1e-6, "lon": 10.7 + (F.col("user_id") % 2) * 0.2 + k * 1e-6})
     got = cut(segment(items, "group_id", "us", "event_id", "user_id", "people", "lat", "lon"))
-    events = got.where("kind = 'event'").select("segment_id", "event_id", "us", "user_id").join(items.select("event_id", "lat", "lon"), "event_id")
+    events = got.where("kind = 'event'").join(items.select("event_id", "lat", "lon"), "event_id")
     within, _ = moments(events, "segment_id", "us", "event_id", "user_id", "lat", "lon")
-    return got.join(within.select("event_id", "moment"), "event_id", "left")
+    loose = got.where("kind <> 'event'").withColumn("moment", F.lit(None).cast("long"))
+    return within.select("event_id", *(c for c in got.columns if c != "event_id"), "moment").unionByName(loose)
