@@ -389,3 +389,12 @@ def test_membership_of_many_participants_equals_that_of_few(spark, monkeypatch):
     of = lambda d: {r["id"]: (r["people_term"], r["n_voters"], round(r["confidence"], 9)) for r in d.collect()}
     assert of(few) == of(many) and len(of(few)) == 60
     assert of(few)[0][1] == sum(r[0] == "e0" and r[3] == 0 and r[1] % 2 == 0 for r in rows)
+
+
+def test_close_pairs_come_once_and_only_within_reach(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), int(t)) for i, (g, t) in enumerate(zip(rng.integers(0, 2, 400), rng.integers(0, 5000, 400) // 7 * 7, strict=True))]
+    got = joins.close_pairs(spark.createDataFrame(rows, "g long, id long, t long"), ["g"], "t", "id", 350).collect()
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and (a[2], a[1]) < (b[2], b[1]) and b[2] - a[2] <= 350}
+    assert len(got) == len(want) and {(r["id"], r["other_id"]) for r in got} == want
+    assert all(r["t"] <= r["other_t"] for r in got)
