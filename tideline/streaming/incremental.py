@@ -63,22 +63,32 @@ def coalesced(stream: DataFrame, debounce_ms: int = 60_000) -> DataFrame:
     return stream.groupBy("dedupe_key").applyInPandasWithState(fold, _JOB, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _islands(spans: DataFrame, group: str) -> DataFrame:
-    """(group, lo, hi) spans with those that touch joined."""
+def _islands(spans: DataFrame, group: str, kept: str | None = None) -> DataFrame:
+    """(group, lo, hi) spans with those that touch joined; with a flag only those that hold a flagged one."""
     order = Window.partitionBy(group).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("lo") <= reach, 0).otherwise(1)
     numbered = spans.withColumn("_new", new).withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(group, "_no").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_no")
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    if kept is None:
+        return numbered.groupBy(group, "_no").agg(*ends).drop("_no")
+    return numbered.groupBy(group, "_no").agg(*ends, F.max(kept).alias(kept)).where(kept).drop("_no", kept)
 
 
 def widened_spans(arrived: DataFrame, events: DataFrame | None, group: str, us: str, pad_hours: int = PAD_HOURS) -> DataFrame:
     """(group, lo, hi): the time within `pad_hours` of new rows, widened to whole events until nothing grows.
 
-    events: (group, start_us, end_us) as they stand. Spans meet events by buckets of the pad's width, then by overlap.
+    events: (group, start_us, end_us) as they stand. The spans of up to SPANS new rows meet events by buckets of the pad's
+    width, then by overlap, round by round. Of more new rows, spans and events are joined to islands in one pass, so that
+    events are sent on once, and not in each round to all of their buckets.
     """
     width = pad_hours * 3_600_000_000
-    spans = cut(_islands(arrived.select(group, (F.col(us) - width).alias("lo"), (F.col(us) + width).alias("hi")), group))
+    opened = arrived.select(group, (F.col(us) - width).alias("lo"), (F.col(us) + width).alias("hi"))
+    if events is not None and arrived.limit(SPANS + 1).count() > SPANS:
+        whole = events.where(F.col(group).isNotNull() & (F.col("start_us") <= F.col("end_us")))
+        spans = opened.withColumn("_kept", F.lit(True)).unionByName(whole.select(group, F.col("start_us").alias("lo"), F.col("end_us").alias("hi"), F.lit(False).alias("_kept")))
+        return _islands(spans, group, "_kept")
+    spans = cut(_islands(opened, group))
     if events is None:
         return spans
     buckets = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
